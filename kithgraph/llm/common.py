@@ -7,8 +7,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _OWN: dict[str, str] = {}
 
@@ -51,3 +54,22 @@ def by_rows(df: DataFrame, make: Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 def text_of(column: str = "text"):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def with_columns_from(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[list]]], added: str) -> DataFrame:
+    """Adds columns that Python computes from one column, batch by batch, without a shuffle.
+
+    make() is called once per task and gives a function from a batch's values to one list per added column. The other
+    columns pass through as they are, nulls and wide integers included.
+    """
+    fields = T.StructType(df.schema.fields + T._parse_datatype_string(added).fields)
+    kinds = [to_arrow_type(f.dataType) for f in fields[len(df.columns) :]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            new = f(values) if values else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, k) for x, k in zip(new, kinds, strict=True)]], names=fields.names)
+
+    return df.mapInArrow(run, fields)

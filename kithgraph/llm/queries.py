@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kithgraph.llm import fingerprints, pii
+from kithgraph.llm import decontaminate, fingerprints, packing, pii, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": simhash.op1_simhash,
+        "op2_packing": packing.op2_packing,
+        "op5_decontamination": decontaminate.op5_decontamination,
+        "op6_warc": warc.op6_warc,
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op10_personal_data": pii.op10_personal_data,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_warc": warc.OP6_SQL,
+    }
