@@ -64,7 +64,7 @@ def stars(nodes: np.ndarray, wide: np.ndarray, most: int) -> list[tuple[int, int
 
     wide: a row of 64-bit words per node. Memory is linear in the nodes: the links of one node at a time are looked at.
     """
-    rest, out = np.arange(len(nodes)), []
+    rest, out, wide = np.arange(len(nodes)), [], wide.view(np.uint64)  # of a signed number, numpy counts the bits of the absolute value
     while len(rest):
         root, stack, rest = rest[0], [rest[0]], rest[1:]
         while stack and len(rest):
