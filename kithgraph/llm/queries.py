@@ -6,21 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kithgraph.llm import decontaminate, fingerprints, packing, pii, simhash, warc
+import corpus_pipeline
+from kithgraph.llm import chat, decontaminate, fingerprints, packing, pii, quality, repeats, simhash, store, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_simhash": simhash.op1_simhash,
         "op2_packing": packing.op2_packing,
+        "op3_quality": quality.op3_quality,
+        "op4_store": store.op4_store,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_warc": warc.op6_warc,
+        "op7_chat": chat.op7_chat,
         "op8_fingerprints": fingerprints.op8_fingerprints,
+        "op9_repeats": repeats.op9_repeats,
         "op10_personal_data": pii.op10_personal_data,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {
         "op6_warc": warc.OP6_SQL,
+        "op7_chat": chat.OP7_SQL,
     }

@@ -191,28 +191,27 @@ def stage_fingerprints(text: str) -> list[list[int]]:
     return [[simhash(remixed(bag, i)) for i in range(MEETING)], [simhash(remixed(shingles, i)) for i in range(WORDS)]]
 
 
-def stage_groups(docs: DataFrame) -> DataFrame:
-    """Adds component_id to (doc_id, text): near-duplicates by five-word shingles at a similarity of 0.8 or more.
+def winners(docs: DataFrame) -> DataFrame:
+    """One key of (_key, doc_id, text) for each group of near-duplicates by five-word shingles at a similarity of 0.8 or more.
 
     A pair is a candidate when a fingerprint of its long words is within the covering's radius, and a link when the wide
-    fingerprints of its shingles say so. All candidates are compared.
+    fingerprints of its shingles say so. All candidates are compared. Of a group the row of the smallest doc_id wins,
+    rows without one last, ties by key.
     """
-    found = with_columns_from(docs.select("doc_id", text_of().alias("text")), "text", lambda: lambda texts: list(map(list, zip(*map(stage_fingerprints, texts), strict=True))), "meet array<long>, wide array<long>")
+    found = with_columns_from(docs, "text", lambda: lambda texts: list(map(list, zip(*map(stage_fingerprints, texts), strict=True))), "meet array<long>, wide array<long>")
     rows = written(found.drop("text").withColumn("node", F.xxhash64("meet", "wide")), "stage-fingerprints")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("meet").alias("meet"), F.first("wide").alias("wide"))
-    nodes, edges = written(nodes, "stage-nodes"), None
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")
+    nodes = written(rows.groupBy("node").agg(best, F.first("meet").alias("meet"), F.first("wide").alias("wide")), "stage-nodes")
+    edges = None
     for i in range(MEETING):
         part = bucket_edges(nodes.select("node", F.col("meet")[i].alias("fp"), "wide"), MEETING_RADIUS, bits_apart(), 31 + 10 * i)
         edges = part if edges is None else edges.unionByName(part)
-    return grouped(rows.select("doc_id", "node"), nodes, edges).select("doc_id", "component_id")
+    first = nodes.select("node", "first").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return first.groupBy("root").agg(F.min("first").alias("first")).select("first._key")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest doc_id; same columns.
-
-    Rows that repeat a kept doc_id with equal text stay as one row; a row without doc_id stays only if its group has no
-    other.
-    """
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    keys = stage_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return rows.join(keys, rows["doc_id"].eqNullSafe(keys["doc_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near-duplicates; same columns. Null texts are empty, and all of one group."""
+    rows = docs.withColumn("text", text_of()).withColumn("_key", F.xxhash64("doc_id", "text"))
+    kept = winners(rows.select("_key", "doc_id", "text"))
+    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
