@@ -3,6 +3,6 @@
 
 def load_all() -> None:
     """Imports every module of queries, which registers them."""
-    from kithgraph.plans import graph
+    from kithgraph.plans import graph, relational
 
-    _ = (graph,)
+    _ = (graph, relational)
