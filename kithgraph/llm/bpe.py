@@ -12,6 +12,7 @@ import os
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -77,7 +78,10 @@ class Encoder:
         return out
 
     def _chunk(self, texts: list[str]) -> list[np.ndarray]:
-        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special) or (not t.isascii() and max(t) >= chr(TABLED))}
+        joined = "".join(texts)
+        named = [s for s in self.special if s in joined]
+        wide = not joined.isascii() and int(np.frombuffer(joined.encode("utf-32-le"), np.uint32).max()) >= TABLED
+        odd = {i for i, t in enumerate(texts) if any(s in t for s in named) or (wide and max(t, default="") >= chr(TABLED))} if named or wide else set()
         plain = [t for i, t in enumerate(texts) if i not in odd] if odd else texts
         done = iter(self._split(plain))
         strange = iter([np.array(x, np.uint32) for x in self.whole([texts[i] for i in sorted(odd)])] if odd else [])
@@ -114,11 +118,13 @@ class Encoder:
             self._powers(n)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[codes] * self.up[:n])])
         keys = (sums[end] - sums[begin]) * self.down[begin]
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        size, rep = end - begin, begin[first]
-        same = (size == size[first][which]).all() and (codes[np.repeat(rep[which] - begin, size) + np.arange(n)] == codes).all()
-        if not same:  # two pre-tokens with one hash
-            return [np.array(x, np.uint32) for x in self.whole(texts)]
+        which, distinct = pd.factorize(keys)
+        first = np.empty(len(distinct), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        size, rep, plain = end - begin, begin[first], np.concatenate([[0], np.cumsum(codes, dtype=np.int64)])
+        for x in (size, plain[end] - plain[begin], codes[begin], codes[end - 1]):
+            if (x[first][which] != x).any():  # two pre-tokens with one hash
+                return [np.array(x, np.uint32) for x in self.whole(texts)]
         words = [joined[a:b] for a, b in zip(rep.tolist(), end[first].tolist(), strict=True)]
         missing = [w for w in words if w not in self.cache]
         if missing:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -36,24 +37,27 @@ def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int
 
 
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
-    """Partitions item numbers into `ways` near-equal lists by Karmarkar-Karp differencing."""
-    heap = []
-    for i, size in enumerate(sizes):
-        sums = np.zeros(ways, np.int64)
-        sums[0] = size
-        heap.append((-size, i, sums, [[i]] + [[] for _ in range(ways - 1)]))
+    """Partitions item numbers into `ways` lists of near-equal size by Karmarkar-Karp differencing.
+
+    A partial partition holds its non-empty lists by ascending size; all others count as empty. Of two, the fullest lists
+    of one meet the emptiest of the other.
+    """
+    heap = [(-size, i, [(size, [i])]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     count = len(sizes)
     while len(heap) > 1:
-        _, _, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
-        sums = a + b[::-1]
-        order = np.argsort(-sums, kind="stable")
-        both = [x + y if x and y else x or y for x, y in zip(in_a, reversed(in_b), strict=True)]
-        sums = sums[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), count, sums, [both[i] for i in order.tolist()]))
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        shared = len(a) + len(b) - ways  # lists that can't stay apart
+        if shared > 0:
+            met = [(x + y, one + two) for (x, one), (y, two) in zip(a[:shared], reversed(b[:shared]), strict=True)]
+            both = [*met, *a[shared:], *b[shared:]]
+        else:
+            both = a + b
+        both.sort(key=itemgetter(0))
+        heapq.heappush(heap, (-(both[-1][0] - (both[0][0] if len(both) == ways else 0)), count, both))
         count += 1
-    return heap[0][3] if heap else []
+    return [items for _, items in heap[0][2]] if heap else []
 
 
 def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
