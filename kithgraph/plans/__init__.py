@@ -3,6 +3,6 @@
 
 def load_all() -> None:
     """Imports every module of queries, which registers them."""
-    from kithgraph.plans import graph, relational
+    from kithgraph.plans import entities, graph, relational, text, views
 
-    _ = (graph, relational)
+    _ = (entities, graph, relational, text, views)
