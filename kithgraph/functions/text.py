@@ -85,7 +85,7 @@ def search_key(text: Column | str) -> Column:
 
 def couple_key(raw: Column | str) -> Column:
     """A pair of first names as one key: split at &, + or 'and' into exactly two, three letters or more, sorted."""
-    parts = F.transform(F.split(F.lower(F.trim(col(raw))), r"\s*(?:&|\+|\band\b)\s*"), lambda x: F.regexp_extract(F.trim(x), r"^([^\W\d_]+)", 1))
+    parts = F.transform(F.split(F.lower(F.trim(col(raw))), r"\s*(?:&|\+|\band\b)\s*"), lambda x: F.regexp_extract(F.trim(x), r"^(\p{L}+)", 1))
     good = (F.size(parts) == 2) & F.forall(parts, lambda x: F.char_length(x) >= 3)
     return F.when(good, F.array_join(F.array_sort(parts), "|"))
 
