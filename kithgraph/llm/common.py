@@ -73,3 +73,14 @@ def with_columns_from(df: DataFrame, column: str, make: Callable[[], Callable[[l
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, k) for x, k in zip(new, kinds, strict=True)]], names=fields.names)
 
     return df.mapInArrow(run, fields)
+
+
+def packed_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """Documents as (row, doc_id, text, ...): the whole row in a struct, so that no name in it can clash with ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text_of().alias("text"), *more)
+
+
+def unpacked_rows(rows: DataFrame, docs: DataFrame, text: str | None = None) -> DataFrame:
+    """The columns of documents again; with a text column, that as text (null texts are empty then) and n_chars counted anew."""
+    new = {"text": F.col(text), "n_chars": F.char_length(text).cast("long")} if text else {}
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

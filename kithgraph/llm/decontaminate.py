@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import text_of, with_columns_from, written
+from kithgraph.llm.common import packed_rows, text_of, unpacked_rows, with_columns_from, written
 
 N = 10
 #: Words of items that one broadcast set holds at most (about 100 bytes each).
@@ -181,12 +181,25 @@ def cleaned(text: str, hit: list[int]) -> str:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without the words that windows of the benchmark cover; those with no word left are dropped. Same columns."""
-    found = with_hits(docs.withColumn("text", text_of()), benchmark)
-    pairs = found.withColumn("_both", F.struct("text", F.array_sort("_hits").alias("hits")))
-    done = with_columns_from(pairs, "_both", lambda: lambda rows: [[cleaned(r["text"], r["hits"]) for r in rows]], "_clean string")
-    kept = done.where((F.size("_hits") == 0) | (F.size("_hits") < F.col("_n_words")))
-    return kept.withColumn("text", F.col("_clean")).withColumn("n_chars", F.char_length("_clean").cast("long")).select(*docs.columns)
+    found = with_hits(packed_rows(docs), benchmark).withColumn("_both", F.struct("text", F.array_sort("_hits").alias("hits")))
+    done = with_columns_from(found, "_both", lambda: lambda rows: [[cleaned(r["text"], r["hits"]) for r in rows]], "_clean string")
+    return unpacked_rows(done.where((F.size("_hits") == 0) | (F.size("_hits") < F.col("_n_words"))), docs, "_clean")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM s)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS x FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+h AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.x = bw.x),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ks FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import text_of
+from kithgraph.llm.common import packed_rows, text_of, unpacked_rows
 
 #: The order of kinds, base kinds first, and the patterns.
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
@@ -52,7 +52,7 @@ def mod97(value: Column) -> Column:
     plain = F.regexp_replace(value, " ", "")
     moved = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
     step = lambda acc, c: F.when(c.between("0", "9"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
-    return F.aggregate(F.split(moved, "(?!^)"), F.lit(0), lambda acc, c: step(acc, c).cast("int"))
+    return F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), lambda acc, c: step(acc, c).cast("int"))
 
 
 def admitted(kind: str, value: Column) -> Column:
@@ -139,9 +139,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """Documents with personal data masked and n_chars counted anew; same columns."""
-    rows = with_spans(docs.withColumn("text", text_of()), to="_spans")
-    rows = rows.withColumn("text", redacted(F.col("text"), F.col("_spans")))
-    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    rows = with_spans(packed_rows(docs))
+    return unpacked_rows(rows.withColumn("masked", redacted(F.col("text"), F.col("spans"))), docs, "masked")
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

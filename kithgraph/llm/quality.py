@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import by_rows, text_of, with_columns_from, written
+from kithgraph.llm.common import by_rows, packed_rows, text_of, unpacked_rows, with_columns_from, written
 
 #: Bound of the labelled sample: its documents, and so the broadcast, never exceed it.
 MOST = 8_192
@@ -176,8 +176,8 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
     """The documents that the classifier does not reject; same columns."""
-    rows = with_score(docs.withColumn("text", text_of()), labels, most)
-    return rows.where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    rows = with_score(packed_rows(docs), labels, most)
+    return unpacked_rows(rows.where(F.col("_score") >= THRESHOLD), docs)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

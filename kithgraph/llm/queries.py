@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
     return pipeline | {
+        "op5_decontamination": decontaminate.OP5_SQL,
         "op6_warc": warc.OP6_SQL,
         "op7_chat": chat.OP7_SQL,
     }

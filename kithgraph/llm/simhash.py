@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import by_rows, checkpointed, text_of, with_columns_from, written
+from kithgraph.llm.common import by_rows, checkpointed, packed_rows, text_of, unpacked_rows, with_columns_from, written
 
 BITS, RADIUS, SHINGLE = 64, 4, 4
 #: Nodes in a bucket that one call compares; larger buckets are split, LEVELS times at most, which leaves a few free bits.
@@ -212,6 +212,6 @@ def winners(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates; same columns. Null texts are empty, and all of one group."""
-    rows = docs.withColumn("text", text_of()).withColumn("_key", F.xxhash64("doc_id", "text"))
+    rows = packed_rows(docs, F.xxhash64("doc_id", text_of()).alias("_key"))
     kept = winners(rows.select("_key", "doc_id", "text"))
-    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    return unpacked_rows(rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]), docs)
