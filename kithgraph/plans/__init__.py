@@ -3,6 +3,6 @@
 
 def load_all() -> None:
     """Imports every module of queries, which registers them."""
-    from kithgraph.plans import entities, graph, relational, text, views
+    from kithgraph.plans import entities, graph, more, relational, text, views
 
-    _ = (entities, graph, relational, text, views)
+    _ = (entities, graph, more, relational, text, views)
