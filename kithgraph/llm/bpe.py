@@ -9,7 +9,7 @@ Texts outside the tabled characters, or with special tokens in them, go to the l
 from __future__ import annotations
 
 import os
-from itertools import chain
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Characters below this are split here, which covers the alphabetic scripts.
 TABLED = 0x3000
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
+#: Of a cache entry: the low bits hold the number of ids.
+LENGTH_BITS = 24
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -31,10 +33,12 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    def __init__(self, path: str, cached: int = 600_000):
+    def __init__(self, path: str, cached: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.cache = Tokenizer.from_file(path), cached, {}
+        self.library, self.most = Tokenizer.from_file(path), cached
+        self.cache: dict[str, int] = {}  # place and number of a pre-token's ids in the pool
+        self.pool = array("I")
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         split = self.library.pre_tokenizer.pre_tokenize_str
         self.kinds = np.full(TABLED, SPACE, np.uint8)
@@ -60,10 +64,13 @@ class Encoder:
         """The library itself."""
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def merged(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The ids of single pre-tokens, by the library's merges alone."""
+    def keep(self, words: list[str]) -> None:
+        """Adds the ids of single pre-tokens, by the library's merges alone, to the cache."""
         merge, signs = self.library.model.tokenize, self.bytes.__getitem__
-        return [tuple([x.id for x in merge("".join(map(signs, w.encode())))]) for w in words]
+        for w in words:
+            found = [x.id for x in merge("".join(map(signs, w.encode())))]
+            self.cache[w] = len(self.pool) << LENGTH_BITS | len(found)
+            self.pool.extend(found)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -130,13 +137,14 @@ class Encoder:
         if missing:
             if len(self.cache) + len(missing) > self.most:
                 self.cache.clear()
+                del self.pool[:]
                 missing = words
-            self.cache.update(zip(missing, self.merged(missing), strict=True))
-        found = [self.cache[w] for w in words]
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        pool = np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum()))
-        offset, each = np.cumsum(lens) - lens, lens[which]
+            self.keep(missing)
+        held = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+        pool, lens, offset = np.frombuffer(self.pool, np.uint32), held & ((1 << LENGTH_BITS) - 1), held >> LENGTH_BITS
+        each = lens[which]
         total = np.concatenate([[0], np.cumsum(each)])
         ids = pool[np.repeat(offset[which] - total[:-1], each) + np.arange(total[-1])]
+        del pool  # the pool can't grow while it is looked at
         cuts = total[np.searchsorted(begin, edges)]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]

@@ -135,20 +135,28 @@ def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     return [[(r.item_id, r.text) for r in rows.where(F.col("_block") == b).select("item_id", "text").collect()] for b in blocks]
 
 
-def with_hits(rows: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """Adds to rows with a text column its number of words, the numbers of hit words and the items that occur.
+def with_hits(rows: DataFrame, benchmark: DataFrame, n: int = N, clean: bool = False) -> DataFrame:
+    """Adds to rows with a text column its number of words, the numbers of hit words, the items that occur, and the text
+    without the hit words if it is to be cleaned.
 
     Blocks of items are scanned one after the other over the same rows, so no row is moved or joined.
     """
     out = rows.withColumn("_n_words", F.lit(0).cast("long")).withColumn("_hits", F.array().cast("array<int>")).withColumn("_items", F.array().cast("array<long>"))
-    for block in item_blocks(benchmark) or [[]]:
-        shared = rows.sparkSession.sparkContext.broadcast(Grams(block, n))
+    blocks = item_blocks(benchmark) or [[]]
+    for i, block in enumerate(blocks):
+        shared, last = rows.sparkSession.sparkContext.broadcast(Grams(block, n)), clean and i == len(blocks) - 1
 
-        def search(shared=shared):
-            return lambda texts: list(map(list, zip(*[x for part in in_chunks(texts) for x in scan(part, shared.value)], strict=True)))
+        def search(shared=shared, last=last):
+            def run(values: list[dict]) -> list[list]:
+                found = [x for part in in_chunks([v["text"] for v in values]) for x in scan(part, shared.value)]
+                own = [cleaned(v["text"], sorted({*v["hits"], *x[1]})) if last else None for v, x in zip(values, found, strict=True)]
+                return [[x[0] for x in found], [x[1] for x in found], [x[2] for x in found], own]
 
-        out = with_columns_from(out, "text", search, "_n long, _hit array<int>, _item array<long>").select(
-            *rows.columns, F.col("_n").alias("_n_words"), F.array_union("_hits", "_hit").alias("_hits"), F.array_union("_items", "_item").alias("_items")
+            return run
+
+        seen = out.drop("_clean").withColumn("_both", F.struct("text", F.col("_hits").alias("hits")))
+        out = with_columns_from(seen, "_both", search, "_n long, _hit array<int>, _item array<long>, _clean string").select(
+            *rows.columns, F.col("_n").alias("_n_words"), F.array_union("_hits", "_hit").alias("_hits"), F.array_union("_items", "_item").alias("_items"), "_clean"
         )
     return out
 
@@ -181,8 +189,7 @@ def cleaned(text: str, hit: list[int]) -> str:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without the words that windows of the benchmark cover; those with no word left are dropped. Same columns."""
-    found = with_hits(packed_rows(docs), benchmark).withColumn("_both", F.struct("text", F.array_sort("_hits").alias("hits")))
-    done = with_columns_from(found, "_both", lambda: lambda rows: [[cleaned(r["text"], r["hits"]) for r in rows]], "_clean string")
+    done = with_hits(packed_rows(docs), benchmark, clean=True)
     return unpacked_rows(done.where((F.size("_hits") == 0) | (F.size("_hits") < F.col("_n_words"))), docs, "_clean")
 
 
