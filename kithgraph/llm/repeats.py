@@ -158,10 +158,10 @@ def judged(records: DataFrame, name: str) -> DataFrame:
     """
     shared = written(records.groupBy("core").agg(F.count("*").alias("_c"), F.min("whole").alias("_lo"), F.max("whole").alias("_hi")).where("_c > 1"), f"{name}-cores")
     kept = written(records.join(shared, "core").withColumn("_id", F.xxhash64("k", "t", "at")), f"{name}-phrases")
-    wholes = kept.groupBy("core", "whole").agg(F.count("*").alias("_w"), F.min("_id").alias("_one"))
-    both = kept.join(wholes, ["core", "whole"])
-    mixed_core = F.col("_lo") != F.col("_hi")
-    return both.select("k", "t", "base", "at", "n", "x", (F.col("_w") > 1).alias("repeated"), (mixed_core & ((F.col("_w") == 1) | (F.col("_id") == F.col("_one")))).alias("open"))
+    wholes = written(kept.groupBy("core", "whole").agg(F.count("*").alias("_w"), F.min("_id").alias("_one")).where("_w > 1").drop("_w"), f"{name}-wholes")
+    both = kept.join(wholes, ["core", "whole"], "left")  # both sides are plain tables, so a whole of very many copies is split
+    repeated, mixed_core = F.col("_one").isNotNull(), F.col("_lo") != F.col("_hi")
+    return both.select("k", "t", "base", "at", "n", "x", repeated.alias("repeated"), (mixed_core & (~repeated | (F.col("_id") == F.col("_one")))).alias("open"))
 
 
 def contexts(opened: DataFrame, texts: DataFrame, name: str) -> DataFrame:
