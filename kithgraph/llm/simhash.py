@@ -60,11 +60,11 @@ def masks(radius: int, bits: list[int], seed: int) -> list[int]:
 
 
 def stars(nodes: np.ndarray, wide: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges from each node to one of its component in the graph of pairs that differ in at most `most` bits.
+    """Edges from each node to the least of its component in the graph of pairs that differ in at most `most` bits.
 
     wide: a row of 64-bit words per node. Memory is linear in the nodes: the links of one node at a time are looked at.
     """
-    rest, out, wide = np.arange(len(nodes)), [], wide.view(np.uint64)  # of a signed number, numpy counts the bits of the absolute value
+    rest, out, wide = np.argsort(nodes), [], wide.view(np.uint64)  # of a signed number, numpy counts the bits of the absolute value
     while len(rest):
         root, stack, rest = rest[0], [rest[0]], rest[1:]
         while stack and len(rest):
@@ -100,7 +100,7 @@ def bucket_edges(nodes: DataFrame, radius: int, most: int, seed: int = 11) -> Da
         sizes = written(rows.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
         small = sizes if depth == LEVELS - 1 else sizes.where(F.col("n") <= BUCKET)
         met = rows.select("node", "path", "key").join(small.drop("n"), ["path", "key"]).join(wide, "node")
-        part = by_rows(met.groupBy("path", "key").agg(F.collect_list(F.struct("node", "wide")).alias("found")).select("found"), linked, "a long, b long").distinct()
+        part = by_rows(met.groupBy("path", "key").agg(F.collect_list(F.struct("node", "wide")).alias("found")).select("found"), linked, "a long, b long")
         edges = part if edges is None else edges.unionByName(part)
         large = sizes.where(F.col("n") > BUCKET)
         if depth == LEVELS - 1 or large.isEmpty():
@@ -110,7 +110,16 @@ def bucket_edges(nodes: DataFrame, radius: int, most: int, seed: int = 11) -> Da
         deeper = [(m, i, m | x) for m in fixed for i, x in enumerate(masks(radius, [b for b in every if not (m >> b) & 1], seed + 1 + depth))]
         pairs = spark.createDataFrame(deeper, "mask long, i long, next long")
         rows = rows.join(F.broadcast(pairs), "mask").select("node", "fp", (F.col("path") * 1024 + F.col("i") + 1).alias("path"), F.col("next").alias("mask"), F.col("fp").bitwiseAND(F.col("next")).alias("key"))
-    return edges.distinct()
+    return to_least(edges)
+
+
+def to_least(edges: DataFrame) -> DataFrame:
+    """Edges with the same components, about one per node: each node and the others that it points to, to the least of those.
+
+    A node points to one other per bucket at most, so what is gathered for a node is bounded by the number of masks.
+    """
+    held = edges.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("others"))
+    return held.select(F.explode(F.concat(F.array("a"), "others")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -124,7 +133,7 @@ def components(edges: DataFrame) -> DataFrame:
     before, seen = None, mark(now)
     while seen != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")  # a plain table: the join can split a node of many edges
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(low, "u")
