@@ -2,7 +2,8 @@
 
 The library splits a text into pre-tokens and merges each by itself, so a pre-token's ids don't depend on its
 neighbours. Here whole batches are split at once by character class, each distinct pre-token goes to the library once,
-and its ids are kept in a bounded cache. The classes are asked from the library's own splitter when a worker starts.
+and its ids are kept in a bounded cache under the pre-token's 64-bit hash. A second hash is compared at every use; if it
+differs, the library encodes the batch. The classes are asked from the library's own splitter when a worker starts.
 Texts outside the tabled characters, or with special tokens in them, go to the library whole.
 """
 
@@ -19,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Characters below this are split here, which covers the alphabetic scripts.
 TABLED = 0x3000
-CHUNK_CHARS = 400_000
+CHUNK_CHARS = 600_000
 #: Of a cache entry: the low bits hold the number of ids.
 LENGTH_BITS = 24
 _ENCODERS: dict[str, Encoder] = {}
@@ -37,8 +38,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), cached
-        self.cache: dict[str, int] = {}  # place and number of a pre-token's ids in the pool
-        self.pool = array("I")
+        self.cache: dict[int, int] = {}  # by a pre-token's hash the row of its second hash, and of the place and number of its ids in the pool
+        self.seconds, self.places, self.pool = array("Q"), array("Q"), array("I")
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         split = self.library.pre_tokenizer.pre_tokenize_str
         self.kinds = np.full(TABLED, SPACE, np.uint8)
@@ -50,7 +51,7 @@ class Encoder:
             if not 0xD800 <= c < 0xE000:
                 self.bytes.update(zip(chr(c).encode(), "".join(x for x, _ in split(chr(c))), strict=True))
         self.bytes.setdefault(0, split("\0")[0][0])
-        self.values = np.random.default_rng(7).integers(1, 2**63, TABLED, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.values, self.others = np.random.default_rng(7).integers(1, 2**63, (2, TABLED), np.uint64) * np.uint64(2) + np.uint64(1)
         self._powers(1 << 16)
 
     def _powers(self, n: int) -> None:
@@ -64,14 +65,21 @@ class Encoder:
         """The library itself."""
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def keep(self, words: list[str]) -> None:
+    def keep(self, hashes: list[int], seconds: list[int], words: list[str]) -> None:
         """Adds the ids of single pre-tokens, by the library's merges alone, to the cache."""
         merge, signs = self.library.model.tokenize, self.bytes.__getitem__
-        for w in words:
+        for h, other, w in zip(hashes, seconds, words, strict=True):
             found = [x.id for x in merge("".join(map(signs, w.encode())))]
-            self.cache[w] = len(self.pool) << LENGTH_BITS | len(found)
+            self.cache[h] = len(self.places)
+            self.seconds.append(other)
+            self.places.append(len(self.pool) << LENGTH_BITS | len(found))
             self.pool.extend(found)
 
+    def forget(self) -> None:
+        self.cache.clear()
+        for held in (self.seconds, self.places, self.pool):
+            del held[:]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         out, at = [], 0
@@ -128,19 +136,24 @@ class Encoder:
         which, distinct = pd.factorize(keys)
         first = np.empty(len(distinct), np.int64)
         first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-        size, rep, plain = end - begin, begin[first], np.concatenate([[0], np.cumsum(codes, dtype=np.int64)])
-        for x in (size, plain[end] - plain[begin], codes[begin], codes[end - 1]):
-            if (x[first][which] != x).any():  # two pre-tokens with one hash
-                return [np.array(x, np.uint32) for x in self.whole(texts)]
-        words = [joined[a:b] for a, b in zip(rep.tolist(), end[first].tolist(), strict=True)]
-        missing = [w for w in words if w not in self.cache]
+        other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.others[codes])])
+        second = ((other[end] - other[begin]) * np.uint64(0x9E3779B97F4A7C15) + (end - begin).astype(np.uint64)) * np.uint64(0x2545F4914F6CDD1D) + codes[begin]
+        if (second[first][which] != second).any():  # two pre-tokens with one hash
+            return [np.array(x, np.uint32) for x in self.whole(texts)]
+        names = distinct.tolist()
+        rows = list(map(self.cache.get, names))
+        missing = [i for i, row in enumerate(rows) if row is None]
         if missing:
             if len(self.cache) + len(missing) > self.most:
-                self.cache.clear()
-                del self.pool[:]
-                missing = words
-            self.keep(missing)
-        held = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+                self.forget()
+                missing = range(len(names))
+            at = first[missing]
+            self.keep([names[i] for i in missing], second[at].tolist(), [joined[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+            rows = list(map(self.cache.__getitem__, names))
+        row = np.array(rows, np.int64)
+        if (np.array(self.seconds, np.uint64)[row] != second[first]).any():  # a pre-token and a kept one with one hash
+            return [np.array(x, np.uint32) for x in self.whole(texts)]
+        held = np.array(self.places, np.uint64)[row].astype(np.int64)
         pool, lens, offset = np.frombuffer(self.pool, np.uint32), held & ((1 << LENGTH_BITS) - 1), held >> LENGTH_BITS
         each = lens[which]
         total = np.concatenate([[0], np.cumsum(each)])
