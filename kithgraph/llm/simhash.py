@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kithgraph.llm.common import by_rows, checkpointed, packed_rows, text_of, unpacked_rows, with_columns_from, written
@@ -169,53 +170,133 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: Of the pipeline's stage: five-word shingles, similarity of 0.8 or more. Two sets of that similarity and like size
-#: have a cosine of 2 s / (1 + s), so about acos(that) / pi of the fingerprint's bits differ; WORDS fingerprints of 64 bits
-#: measure it, and SLACK standard errors are granted.
-STAGE_SHINGLE, SIMILARITY, WORDS, SLACK = 5, 0.8, 8, 1.0
-#: What makes pairs meet: fingerprints of the sets of longer words, of which an edit changes fewer than of shingles.
-LONG_WORD, MEETING_RADIUS, MEETING = 5, 5, 2
+#: Of the pipeline's stage: sets of five-word shingles, linked at a Jaccard similarity of 4/5 or more.
+STAGE_SHINGLE, LINK, OF = 5, 4, 5
+#: Hot shingles come from one document in SAMPLE; at most HOT of them are broadcast. They only set an order: no result depends on them.
+SAMPLE, HOT = 16, 100_000
+#: 64-bit words of the parity sketch of a set.
+SKETCH = 16
 
 
-def bits_apart(similarity: float = SIMILARITY, words: int = WORDS, slack: float = SLACK) -> int:
-    """The most bits of 64 x words that two fingerprints of that similarity may differ in."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    n = 64 * words
-    return int(n * share + slack * (n * share * (1 - share)) ** 0.5)
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(shingle_hashes(text, STAGE_SHINGLE))
 
 
-def stage_fingerprints(text: str) -> list[list[int]]:
-    """The meeting fingerprints and the wide fingerprint of a text."""
-    import xxhash
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Per bit, whether an odd number of the hashes fall on it: two sets differ in at least as many hashes as sketches in bits."""
+    at = (hashes >> np.uint64(20)).astype(np.int64) % (64 * SKETCH)
+    return np.packbits(np.bincount(at, minlength=64 * SKETCH) & 1, bitorder="little").view(np.int64)
+
+
+def prefix(hashes: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of a set of n, in one order for all sets: by hash, hot ones last and the hottest at the end.
+
+    Sets of similarity 0.8 share ceil(0.8 n) hashes or more with each, so the first one that they share is in both prefixes.
+    """
+    n, last = len(hashes), np.zeros(len(hashes), np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+        last = np.where(hot[at] == hashes, 1 + rank[at], 0)
+    return hashes[np.lexsort((hashes, last))][: n + LINK * -n // OF + 1].view(np.int64) if n else hashes.view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
+    return (LINK + OF) * len(np.intersect1d(a, b, assume_unique=True)) >= LINK * (len(a) + len(b))
+
+
+def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many documents of a sample, in order, and the rank of each by its documents."""
+    some = docs.where(F.pmod("_key", F.lit(SAMPLE)) == 0).select("text")
+    sets = with_columns_from(some, "text", lambda: lambda texts: [[shingle_set(t).view(np.int64) for t in texts]], "sh array<long>")
+    counts = sets.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "s").limit(HOT).toArrow()
+    hot, n = found["s"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(hot)
+    return hot[order], n[order].astype(np.int64)
+
+
+def close(a: str, b: str) -> Column:
+    """What the sizes and sketches of two sets leave possible: never false for sets of similarity 0.8."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return (F.least(na, nb) * OF >= F.greatest(na, nb) * LINK) & (apart * (LINK + OF) <= na + nb)
+
 
-    def remixed(hashes: np.ndarray, i: int) -> np.ndarray:
-        x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(29))
+def true_links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a similarity of 0.8 or more; only the texts of these nodes are hashed again."""
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    keys = nodes.select("node", F.col("key").alias("_key")).join(ends, "node", "left_semi")
+    texts = docs.select("_key", "text").join(keys, "_key").dropDuplicates(["node"])
+    sets = written(with_columns_from(texts, "text", lambda: lambda ts: [[shingle_set(t).view(np.int64) for t in ts]], "sh array<long>").select("node", "sh"), "sets")
 
-    shingles = np.unique(shingle_hashes(text, STAGE_SHINGLE))
-    words = set(text.encode().lower().split())
-    long = [w for w in words if len(w) >= LONG_WORD] or list(words)
-    bag = np.array([xxhash.xxh64_intdigest(w, 42) for w in long], np.uint64)
-    return [[simhash(remixed(bag, i)) for i in range(MEETING)], [simhash(remixed(shingles, i)) for i in range(WORDS)]]
+    def check(batches):
+        for batch in batches:
+            good = [alike(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
+    return written(met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+
+
+def links(docs: DataFrame, nodes: DataFrame, held: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of sets of similarity 0.8 or more.
+
+    docs: _key, text. nodes: node, key (of one document), n, sketch. held: node, s (of its prefix). Every such pair shares
+    an s. First each node is compared with its neighbour by size under each s, which joins groups of near copies at the
+    cost of a chain; then all pairs that those links have not joined. So a group is never gathered in one place, and a
+    group of near copies is never compared with itself.
+    """
+    shared = held.join(held.groupBy("s").agg(F.count("*").alias("of")).where("of > 1").select("s"), "s")
+    shared = written(shared.join(nodes.select("node", "n"), "node"), "shared-shingles")
+    before = Window.partitionBy("s").orderBy("n", "node")
+    chain = shared.select(F.lag("node").over(before).alias("a"), F.col("node").alias("b")).where("a is not null").distinct()
+    traits = nodes.select("node", "n", "sketch")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(traits.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("ta")), "a").join(traits.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("tb")), "b")
+        return both.where(close("ta", "tb")).select("a", "b")
+
+    first = true_links(possible(chain), docs, nodes)
+    roots = written(components(first), "roots")
+    rooted = shared.join(roots, "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("root"))
+    counts = rooted.groupBy("s", "root").agg(F.count("*").alias("of"))
+    top = counts.groupBy("s").agg(F.max(F.struct("of", "root"))["root"].alias("top"), F.count("*").alias("roots")).where("roots > 1").select("s", "top")
+    open_ = written(rooted.join(top, "s"), "open-shingles")
+    # of two roots under one s, one at least is not the most frequent there
+    x, y = open_.alias("x"), open_.where("root <> top").alias("y")
+    fits = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * OF >= F.greatest("x.n", "y.n") * LINK)
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(true_links(possible(met), docs, nodes))
 
 
 def winners(docs: DataFrame) -> DataFrame:
     """One key of (_key, doc_id, text) for each group of near-duplicates by five-word shingles at a similarity of 0.8 or more.
 
-    A pair is a candidate when a fingerprint of its long words is within the covering's radius, and a link when the wide
-    fingerprints of its shingles say so. All candidates are compared. Of a group the row of the smallest doc_id wins,
-    rows without one last, ties by key.
+    Groups are the components of all pairs whose sets of shingles have that Jaccard similarity, found by prefixes and
+    verified on the whole sets. Of a group the row of the smallest doc_id wins, rows without one last, ties by key.
     """
-    found = with_columns_from(docs, "text", lambda: lambda texts: list(map(list, zip(*map(stage_fingerprints, texts), strict=True))), "meet array<long>, wide array<long>")
-    rows = written(found.drop("text").withColumn("node", F.xxhash64("meet", "wide")), "stage-fingerprints")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
+
+    def make():
+        def run(texts: list[str]) -> list[list]:
+            sets = [shingle_set(t) for t in texts]
+            nodes = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets]
+            return [np.array(nodes, np.uint64).view(np.int64), [len(x) for x in sets], [sketch(x) for x in sets], [prefix(x, *hot.value) for x in sets]]
+
+        import xxhash
+
+        return run
+
+    rows = written(with_columns_from(docs, "text", make, "node long, n long, sketch array<long>, prefix array<long>").drop("text"), "stage-sets")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")
-    nodes = written(rows.groupBy("node").agg(best, F.first("meet").alias("meet"), F.first("wide").alias("wide")), "stage-nodes")
-    edges = None
-    for i in range(MEETING):
-        part = bucket_edges(nodes.select("node", F.col("meet")[i].alias("fp"), "wide"), MEETING_RADIUS, bits_apart(), 31 + 10 * i)
-        edges = part if edges is None else edges.unionByName(part)
-    first = nodes.select("node", "first").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = written(rows.groupBy("node").agg(best, F.min("_key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "stage-nodes")
+    own = nodes.select("node", F.col("key").alias("_key"))
+    held = written(rows.join(own, ["node", "_key"], "left_semi").select("node", F.explode("prefix").alias("s")).distinct(), "prefixes")
+    root = components(links(docs, nodes, held))
+    first = nodes.select("node", "first").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return first.groupBy("root").agg(F.min("first").alias("first")).select("first._key")
 
 
