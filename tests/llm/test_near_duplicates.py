@@ -53,3 +53,8 @@ def edits(rng, low, high, count):
 def test_no_near_copy_is_missed(spark):
     texts = edits(np.random.default_rng(7), 0.8, 0.9, 90)
     assert kept(spark, texts) == list(range(0, len(texts), 2)) == least_of_groups(texts)
+
+
+def test_no_document_under_the_similarity_is_removed(spark):
+    texts = edits(np.random.default_rng(8), 0.7, 0.8, 60)
+    assert kept(spark, texts) == list(range(len(texts))) == least_of_groups(texts)
