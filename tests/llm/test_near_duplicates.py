@@ -58,3 +58,13 @@ def test_no_near_copy_is_missed(spark):
 def test_no_document_under_the_similarity_is_removed(spark):
     texts = edits(np.random.default_rng(8), 0.7, 0.8, 60)
     assert kept(spark, texts) == list(range(len(texts))) == least_of_groups(texts)
+
+
+def test_documents_of_the_same_long_words(spark, monkeypatch):
+    """One template with other short words in each, and near copies of some: their fingerprints of long words are equal."""
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    rng = np.random.default_rng(9)
+    long = ["template", "sentence", "invoice", "customer", "delivery", "contract"]
+    texts = [" ".join(w for i in range(60) for w in (long[i % 6], str(rng.integers(10, 99)))) for _ in range(60)]
+    texts += [t + " 7" for t in texts[:10]] + [" ".join([*texts[20].split()[:119], str(i)]) for i in range(100, 130)]
+    assert kept(spark, texts) == least_of_groups(texts)
