@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: Rows of an Arrow batch that Python holds as objects at once.
+ROWS = 2_000
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one of our own, in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="kithgraph-")
@@ -33,17 +37,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read back from a table in the shared folder: cuts lineage, survives the loss of executors."""
-    path = new_path(df.sparkSession, name)
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Writes rows to a path and reads them back."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows read back from a table in the shared folder: cuts lineage, survives the loss of executors."""
+    return stored(df, new_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Written tables that are deleted at the end of a with block; what must outlive the block is written outside of it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, name))
+        return stored(df, self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.clear()
 
 
 def by_rows(df: DataFrame, make: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
@@ -67,10 +92,11 @@ def with_columns_from(df: DataFrame, column: str, make: Callable[[], Callable[[l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            values = batch.column(batch.schema.get_field_index(column)).to_pylist()
-            new = f(values) if values else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, k) for x, k in zip(new, kinds, strict=True)]], names=fields.names)
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch = whole.slice(at, ROWS)
+                new = f(batch.column(batch.schema.get_field_index(column)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, k) for x, k in zip(new, kinds, strict=True)]], names=fields.names)
 
     return df.mapInArrow(run, fields)
 

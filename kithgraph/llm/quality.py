@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ MOST = 8_192
 #: Of the space: hashed features, latent dimensions; of the vote: neighbours and the power of their similarity.
 FEATURES, RANK, K, POWER = 2_048, 64, 24, 8
 THRESHOLD = 0.3
-BLOCK, CHUNK_CHARS = 512, 500_000
+BLOCK, CHUNK_CHARS = 256, 250_000
 SHAPES = 512
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,8 +99,11 @@ class Model:
     """What scoring needs: weights, the latent space, the labelled vectors and their labels."""
 
     def __init__(self, counted: np.ndarray, labels: np.ndarray, n_docs: int, having: np.ndarray):
+        """counted is used up: its memory holds the weighted features."""
         self.idf = np.log((1 + n_docs) / (1 + having)).astype(np.float32) + np.float32(0.1)
-        x = self.weighted(counted)
+        x = counted
+        for i in range(0, len(x), BLOCK):
+            x[i : i + BLOCK] = self.weighted(x[i : i + BLOCK])
         rank = min(RANK, *x.shape)
         rng = np.random.default_rng(3)
         q = np.linalg.qr(x.T @ (x @ rng.standard_normal((x.shape[1], rank + 8)).astype(np.float32)))[0]
@@ -107,16 +111,18 @@ class Model:
             q = np.linalg.qr(x.T @ (x @ q))[0]
         _, _, v = np.linalg.svd(x @ q, full_matrices=False)
         self.space = np.ascontiguousarray((q @ v.T)[:, :rank], np.float32)
-        self.vectors, self.labels = self.latent(counted), labels.astype(np.float32)
+        self.vectors, self.labels = self.unit(x @ self.space), labels.astype(np.float32)
         self.base = float(labels.mean())
 
     def weighted(self, counted: np.ndarray) -> np.ndarray:
-        x = np.log1p(counted) * self.idf
+        return self.unit(np.log1p(counted) * self.idf)
+
+    @staticmethod
+    def unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
     def latent(self, counted: np.ndarray) -> np.ndarray:
-        y = self.weighted(counted) @ self.space
-        return y / np.maximum(np.sqrt((y * y).sum(1, keepdims=True)), 1e-9)
+        return self.unit(self.weighted(counted) @ self.space)
 
     def scores(self, counted: np.ndarray) -> np.ndarray:
         """The share of label 1 among the nearest, by similarity; texts without features get the share of all labels."""
@@ -143,13 +149,17 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model | None
         return list(map(list, zip(*[(np.flatnonzero(c).tolist(), c[c > 0].tolist()) for i in range(0, len(texts), BLOCK) for c in features(texts[i : i + BLOCK])], strict=True)))
 
     counted = with_columns_from(rows, "text", lambda: sparse, "_at array<int>, _count array<float>").drop("text")
-    found = written(counted, "labelled").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(most).collect()
-    if not found:
+    having = document_frequencies(docs.select(text_of().alias("text")))
+    found = written(counted, "labelled").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(most).select("_quality", "_at", "_count").toArrow()
+    if not found.num_rows:
         return None
-    table = np.zeros((len(found), FEATURES), np.float32)
-    for i, r in enumerate(found):
-        table[i, r["_at"]] = r["_count"]
-    return Model(table, np.array([r["_quality"] for r in found]), *document_frequencies(docs.select(text_of().alias("text"))))
+    table = np.zeros((found.num_rows, FEATURES), np.float32)
+    lens = pc.list_value_length(found["_at"]).to_numpy()
+    values = [pc.list_flatten(found[c]).to_numpy() for c in ("_at", "_count")]
+    table[np.repeat(np.arange(len(lens)), lens), values[0]] = values[1]
+    labels_ = found["_quality"].to_numpy()
+    del found, values
+    return Model(table, labels_, *having)
 
 
 def with_score(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
@@ -168,17 +178,21 @@ def with_score(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFram
 def scored(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
     """Per document its held_out flag, score and prediction (op3's contract).
 
-    Null texts count as empty, repeated rows each give a row, columns but doc_id and text are ignored.
+    Null and empty texts get the share of label 1 among the sample; very long texts are counted whole. Repeated rows each
+    give a row, a null doc_id counts as held out, labels without id or quality teach nothing, and of several labels of a
+    document the larger counts. Ties among neighbours go by numpy's partition. An empty table gives no rows; without
+    labels every score is 0.5. Columns but doc_id and text are ignored, whatever their names.
     """
     rows = with_score(docs.select("doc_id", text_of().alias("text")), labels, most)
     return rows.select("doc_id", (remainder() == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
-    """The documents that the classifier does not reject; same columns."""
+    """The documents that the classifier does not reject; same columns, whatever their names. Odd rows as in scored."""
     rows = with_score(packed_rows(docs), labels, most)
     return unpacked_rows(rows.where(F.col("_score") >= THRESHOLD), docs)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; see scored for nulls and other odd rows."""
     return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import by_rows, checkpointed, packed_rows, text_of, unpacked_rows, with_columns_from, written
+from kithgraph.llm.common import Scratch, by_rows, packed_rows, text_of, unpacked_rows, with_columns_from, written
 
 BITS, RADIUS, SHINGLE = 64, 4, 4
 #: Nodes in a bucket that one call compares; larger buckets are split, LEVELS times at most, which leaves a few free bits.
@@ -60,57 +60,53 @@ def masks(radius: int, bits: list[int], seed: int) -> list[int]:
     return sorted(m - (1 << 64) if m >> 63 else m for m in found)
 
 
-def stars(nodes: np.ndarray, wide: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges from each node to the least of its component in the graph of pairs that differ in at most `most` bits.
+def stars(found: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Edges from each fingerprint to the least of its component in the graph of pairs that differ in at most `most` bits.
 
-    wide: a row of 64-bit words per node. Memory is linear in the nodes: the links of one node at a time are looked at.
+    Memory is linear in the fingerprints: the links of one at a time are looked at.
     """
-    rest, out, wide = np.argsort(nodes), [], wide.view(np.uint64)  # of a signed number, numpy counts the bits of the absolute value
+    rest, out = np.sort(found), []
     while len(rest):
         root, stack, rest = rest[0], [rest[0]], rest[1:]
         while stack and len(rest):
-            near = np.bitwise_count(wide[rest] ^ wide[stack.pop()]).sum(1, dtype=np.int64) <= most
-            out += [(int(nodes[i]), int(nodes[root])) for i in rest[near]]
+            # of a signed number, numpy counts the bits of the absolute value
+            near = np.bitwise_count(rest.view(np.uint64) ^ np.int64(stack.pop()).view(np.uint64)) <= most
+            out += [(int(x), int(root)) for x in rest[near]]
             stack += rest[near].tolist()
             rest = rest[~near]
     return out
 
 
 def bucket_edges(nodes: DataFrame, radius: int, most: int, seed: int = 11) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of nodes within the radius that differ in `most` bits at most.
+    """Edges (a, b) whose components are those of all pairs of fingerprints that differ in `most` bits, at most the radius.
 
-    nodes: node long, fp long (whose pairs within the radius are sure to meet), wide array<long> (what is compared).
-    Buckets come from a count per key, pre-aggregated where the rows are; only rows of shared buckets are moved again.
+    nodes: fp long, distinct. Buckets come from a count per key, pre-aggregated where the rows are; only rows of shared
+    buckets are moved again. Each level has one covering of all positions, whose masks are added to those of the large
+    buckets: a pair agrees outside its differing bits, which some mask of every level avoids. So masks are 31 constants a
+    level, and after LEVELS a bucket holds few fingerprints, as they are distinct.
     """
 
     def linked(batches):
         import pandas as pd
 
         for rows in batches:
-            out = []
-            for found in rows["found"]:
-                at = np.array([x["node"] for x in found], np.int64)
-                out += stars(at, np.array([x["wide"] for x in found], np.int64).reshape(len(at), -1), most)
+            out = [e for found in rows["found"] for e in stars(np.array(found, np.int64), most)]
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    spark, every, wide = nodes.sparkSession, list(range(BITS)), nodes.select("node", "wide")
-    table = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(m).alias("m")) for i, m in enumerate(masks(radius, every, seed))])
-    rows = nodes.select("node", "fp", F.explode(table).alias("x")).select("node", "fp", F.col("x.i").alias("path"), F.col("x.m").alias("mask"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"))
-    edges = None
+    rows, edges = nodes.select("fp", F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("mask")), None
     for depth in range(LEVELS):
+        table = F.array(*[F.struct(F.lit(i + 1).cast("long").alias("i"), F.lit(m).alias("m")) for i, m in enumerate(masks(radius, list(range(BITS)), seed + depth))])
+        rows = rows.select("fp", "path", "mask", F.explode(table).alias("x")).select("fp", (F.col("path") * 1024 + F.col("x.i")).alias("path"), F.col("mask").bitwiseOR(F.col("x.m")).alias("mask"))
+        rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = written(rows.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
         small = sizes if depth == LEVELS - 1 else sizes.where(F.col("n") <= BUCKET)
-        met = rows.select("node", "path", "key").join(small.drop("n"), ["path", "key"]).join(wide, "node")
-        part = by_rows(met.groupBy("path", "key").agg(F.collect_list(F.struct("node", "wide")).alias("found")).select("found"), linked, "a long, b long")
+        met = rows.select("fp", "path", "key").join(small.drop("n"), ["path", "key"])
+        part = by_rows(met.groupBy("path", "key").agg(F.collect_list("fp").alias("found")).select("found"), linked, "a long, b long")
         edges = part if edges is None else edges.unionByName(part)
         large = sizes.where(F.col("n") > BUCKET)
         if depth == LEVELS - 1 or large.isEmpty():
             break
-        rows = written(rows.join(large.drop("n"), ["path", "key"]), "large-buckets")
-        fixed = [r[0] for r in rows.select("mask").distinct().collect()]  # a constant number for the radius and the level
-        deeper = [(m, i, m | x) for m in fixed for i, x in enumerate(masks(radius, [b for b in every if not (m >> b) & 1], seed + 1 + depth))]
-        pairs = spark.createDataFrame(deeper, "mask long, i long, next long")
-        rows = rows.join(F.broadcast(pairs), "mask").select("node", "fp", (F.col("path") * 1024 + F.col("i") + 1).alias("path"), F.col("next").alias("mask"), F.col("fp").bitwiseAND(F.col("next")).alias("key"))
+        rows = written(rows.join(large.drop("n"), ["path", "key"]).select("fp", "path", "mask"), "large-buckets")
     return to_least(edges)
 
 
@@ -123,59 +119,64 @@ def to_least(edges: DataFrame) -> DataFrame:
     return held.select(F.explode(F.concat(F.array("a"), "others")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, own: Scratch | None = None) -> DataFrame:
     """(node, root) of every node of an edge list (a, b): the least node that it is connected to.
 
-    Alternates large-star and small-star steps with a reliable checkpoint each, until nothing changes. Minima are
-    aggregated before they are moved, so a node of many edges is no hot group.
+    Alternates large-star and small-star steps, each a written table, until nothing changes; the table before is deleted.
+    Minima are aggregated before they are moved, so a node of many edges is no hot group. The result reads the last
+    table, which goes with `own`.
     """
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    spent = Scratch(edges.sparkSession)
+    now = spent(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     before, seen = None, mark(now)
     while seen != before:
+        fresh = Scratch(edges.sparkSession)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")  # a plain table: the join can split a node of many edges
+        least = spent(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")  # a plain table: the join can split a node of many edges
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(low, "u")
         small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
-        now = checkpointed(small.distinct())
+        now = fresh(small.distinct(), "edges")
         before, seen = seen, mark(now)
+        spent.clear()
+        spent = fresh
+    if own is not None:
+        own.paths += spent.paths
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def grouped(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds component_id to rows with doc_id and node: the smallest doc_id of the node's component."""
-    root = components(edges)
-    first = nodes.select("node", "first").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = first.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_node = first.join(least, "root").select("node", "component_id")
-    return rows.join(of_node, "node")
-
-
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id per row of docs: op1's contract.
 
-    Null and empty texts have fingerprint zero, which links like any other. Repeated rows each give a row. A null
-    doc_id keeps its row; a component of nulls only has a null id. Columns but doc_id and text are ignored.
+    Null and empty texts have fingerprint zero, which links like any other. Repeated rows and ties each give a row. A null
+    doc_id keeps its row; a component of nulls only has a null id. An empty table gives none. Very long texts are hashed
+    whole. Columns but doc_id and text are ignored, whatever their names.
     """
-    rows = with_fingerprint(docs.select("doc_id", text_of().alias("text")), size).select("doc_id", F.col("fp").alias("node"))
-    rows = written(rows, "fingerprints")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
-    edges = bucket_edges(nodes.select("node", F.col("node").alias("fp"), F.array("node").alias("wide")), radius, radius)
-    return grouped(rows, nodes, edges).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = written(with_fingerprint(docs.select("doc_id", text_of().alias("text")), size).select("doc_id", "fp"), "fingerprints")
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    root = components(bucket_edges(nodes.select("fp"), radius, radius)).withColumnRenamed("node", "fp")
+    first = nodes.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = first.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_node = first.join(least, "root").select("fp", "component_id")
+    return rows.join(of_node, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; see near_duplicates for nulls and other odd rows."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 #: Of the pipeline's stage: sets of five-word shingles, linked at a Jaccard similarity of 4/5 or more.
 STAGE_SHINGLE, LINK, OF = 5, 4, 5
-#: Hot shingles come from one document in SAMPLE; at most HOT of them are broadcast. They only set an order: no result depends on them.
+#: Hot shingles come from one document in SAMPLE; at most HOT of them are broadcast. They set an order that all sets share, no more.
 SAMPLE, HOT = 16, 100_000
+#: The chance that a pair of similarity 0.8 shares no key, per set; 64-bit hashes collide more often.
+MISS = 1e-12
 #: 64-bit words of the parity sketch of a set.
 SKETCH = 16
+KEY = ["_k1", "_k2"]
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -189,16 +190,23 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(at, minlength=64 * SKETCH) & 1, bitorder="little").view(np.int64)
 
 
-def prefix(hashes: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 of a set of n, in one order for all sets: by hash, hot ones last and the hottest at the end.
+def keys_of(hashes: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first hashes of a set in one order for all sets: by hash, hot ones last and the hottest at the end.
 
-    Sets of similarity 0.8 share ceil(0.8 n) hashes or more with each, so the first one that they share is in both prefixes.
+    Of a set of n, a set of similarity 0.8 lacks at most n / 5. So the first hash that both have is among the first
+    n - ceil(0.8 n) + 1 for sure; and, as the order of the cold ones is random, among the first m of them but for a chance
+    of (n / 5 cold)^m. The lesser number is taken, with that chance at MISS.
     """
     n, last = len(hashes), np.zeros(len(hashes), np.int64)
+    if not n:
+        return hashes.view(np.int64)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
         last = np.where(hot[at] == hashes, 1 + rank[at], 0)
-    return hashes[np.lexsort((hashes, last))][: n + LINK * -n // OF + 1].view(np.int64) if n else hashes.view(np.int64)
+    m, cold = n + LINK * -n // OF + 1, int((last == 0).sum())
+    if OF * cold > n:
+        m = min(m, int(np.ceil(np.log(MISS) / np.log(n / (OF * cold)))))
+    return hashes[np.lexsort((hashes, last))][:m].view(np.int64)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -208,7 +216,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of many documents of a sample, in order, and the rank of each by its documents."""
-    some = docs.where(F.pmod("_key", F.lit(SAMPLE)) == 0).select("text")
+    some = docs.where(F.pmod("_k1", F.lit(SAMPLE)) == 0).select("text")
     sets = with_columns_from(some, "text", lambda: lambda texts: [[shingle_set(t).view(np.int64) for t in texts]], "sh array<long>")
     counts = sets.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
     found = counts.orderBy(F.desc("n"), "s").limit(HOT).toArrow()
@@ -217,20 +225,23 @@ def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hot[order], n[order].astype(np.int64)
 
 
-def close(a: str, b: str) -> Column:
-    """What the sizes and sketches of two sets leave possible: never false for sets of similarity 0.8."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return (F.least(na, nb) * OF >= F.greatest(na, nb) * LINK) & (apart * (LINK + OF) <= na + nb)
+def sizes_fit(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can have a similarity of 0.8."""
+    return F.least(a, b) * OF >= F.greatest(a, b) * LINK
 
 
-def true_links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a similarity of 0.8 or more; only the texts of these nodes are hashed again."""
-    pairs = written(pairs, "pairs")
+def true_links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, keep: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a similarity of 0.8 or more.
+
+    Sizes and sketches leave out pairs that cannot; for the rest the texts of their nodes are hashed again and compared.
+    """
+    traits = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    may = sizes_fit(F.col("na"), F.col("nb")) & (apart * (LINK + OF) <= F.col("na") + F.col("nb"))
+    pairs = keep(pairs.distinct().join(traits("a"), "a").join(traits("b"), "b").where(may).select("a", "b"), "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    keys = nodes.select("node", F.col("key").alias("_key")).join(ends, "node", "left_semi")
-    texts = docs.select("_key", "text").join(keys, "_key").dropDuplicates(["node"])
-    sets = written(with_columns_from(texts, "text", lambda: lambda ts: [[shingle_set(t).view(np.int64) for t in ts]], "sh array<long>").select("node", "sh"), "sets")
+    texts = docs.select(*KEY, "text").join(nodes.select("node", *KEY).join(ends, "node", "left_semi"), KEY).dropDuplicates(["node"])
+    sets = keep(with_columns_from(texts, "text", lambda: lambda ts: [[shingle_set(t).view(np.int64) for t in ts]], "sh array<long>").select("node", "sh"), "sets")
 
     def check(batches):
         for batch in batches:
@@ -238,70 +249,78 @@ def true_links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
-    return written(met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    return keep(met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+
 
+def covered(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of nodes by the covering: each fingerprint's nodes in a row, and fingerprints within the radius."""
+    row = Window.partitionBy("fp").orderBy("n", "node")
+    same = nodes.select(F.lag("node").over(row).alias("a"), F.col("node").alias("b")).where("a is not null")
+    first = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
+    edges = bucket_edges(first.select("fp"), radius, radius).join(of("a"), "a").join(of("b"), "b")
+    return same.unionByName(edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
-def links(docs: DataFrame, nodes: DataFrame, held: DataFrame) -> DataFrame:
+
+def links(docs: DataFrame, nodes: DataFrame, keep: Scratch) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of sets of similarity 0.8 or more.
 
-    docs: _key, text. nodes: node, key (of one document), n, sketch. held: node, s (of its prefix). Every such pair shares
-    an s. First each node is compared with its neighbour by size under each s, which joins groups of near copies at the
-    cost of a chain; then all pairs that those links have not joined. So a group is never gathered in one place, and a
-    group of near copies is never compared with itself.
+    docs: _k1, _k2, text. nodes: node, the key of one document, n, fp, sketch, keys. The covering proposes what is within
+    its radius, and each node's neighbours by size under each shared key; true ones of these join groups of near copies
+    at the cost of a chain. Then come all pairs under a key that those links have not joined. So a group is never gathered
+    in one place, and a group of near copies is never compared with itself.
     """
-    shared = held.join(held.groupBy("s").agg(F.count("*").alias("of")).where("of > 1").select("s"), "s")
-    shared = written(shared.join(nodes.select("node", "n"), "node"), "shared-shingles")
-    before = Window.partitionBy("s").orderBy("n", "node")
-    chain = shared.select(F.lag("node").over(before).alias("a"), F.col("node").alias("b")).where("a is not null").distinct()
-    traits = nodes.select("node", "n", "sketch")
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(traits.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("ta")), "a").join(traits.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("tb")), "b")
-        return both.where(close("ta", "tb")).select("a", "b")
-
-    first = true_links(possible(chain), docs, nodes)
-    roots = written(components(first), "roots")
+    row = Window.partitionBy("s").orderBy("n", "node")
+    held = nodes.select("node", "n", F.explode("keys").alias("s"))
+    held = held.withColumn("before", F.lag(F.struct("node", "n")).over(row)).withColumn("after", F.lead("node").over(row))
+    shared = keep(held.where("before is not null or after is not null").drop("after"), "shared-shingles")
+    chain = shared.where(sizes_fit(F.col("before.n"), F.col("n"))).select(F.col("before.node").alias("a"), F.col("node").alias("b"))
+    roots = keep(components(true_links(chain.unionByName(covered(nodes)), docs, nodes, keep), keep), "roots")
     rooted = shared.join(roots, "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("root"))
     counts = rooted.groupBy("s", "root").agg(F.count("*").alias("of"))
     top = counts.groupBy("s").agg(F.max(F.struct("of", "root"))["root"].alias("top"), F.count("*").alias("roots")).where("roots > 1").select("s", "top")
-    open_ = written(rooted.join(top, "s"), "open-shingles")
+    rest = keep(rooted.join(top, "s"), "open-shingles")
     # of two roots under one s, one at least is not the most frequent there
-    x, y = open_.alias("x"), open_.where("root <> top").alias("y")
-    fits = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * OF >= F.greatest("x.n", "y.n") * LINK)
-    met = x.join(y, (F.col("x.s") == F.col("y.s")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(true_links(possible(met), docs, nodes))
+    x, y = rest.alias("x"), rest.where("root <> top").alias("y")
+    fits = (F.col("x.root") != F.col("y.root")) & sizes_fit(F.col("x.n"), F.col("y.n"))
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(true_links(met, docs, nodes, keep))
 
 
 def winners(docs: DataFrame) -> DataFrame:
-    """One key of (_key, doc_id, text) for each group of near-duplicates by five-word shingles at a similarity of 0.8 or more.
+    """One key of (_k1, _k2, doc_id, text) for each group of near-duplicates by five-word shingles at a similarity of 0.8 or more.
 
-    Groups are the components of all pairs whose sets of shingles have that Jaccard similarity, found by prefixes and
-    verified on the whole sets. Of a group the row of the smallest doc_id wins, rows without one last, ties by key.
+    Groups are the components of all pairs whose sets of shingles have that Jaccard similarity, verified on the whole
+    sets. Of a group the row of the smallest doc_id wins, rows without one last, ties by key.
     """
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
 
     def make():
+        import xxhash
+
         def run(texts: list[str]) -> list[list]:
             sets = [shingle_set(t) for t in texts]
-            nodes = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets]
-            return [np.array(nodes, np.uint64).view(np.int64), [len(x) for x in sets], [sketch(x) for x in sets], [prefix(x, *hot.value) for x in sets]]
-
-        import xxhash
+            wide = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+            return [wide[:, 0], wide[:, 1], [len(x) for x in sets], [simhash(x) for x in sets], [sketch(x) for x in sets], [keys_of(x, *hot.value) for x in sets]]
 
         return run
 
-    rows = written(with_columns_from(docs, "text", make, "node long, n long, sketch array<long>, prefix array<long>").drop("text"), "stage-sets")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")
-    nodes = written(rows.groupBy("node").agg(best, F.min("_key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "stage-nodes")
-    own = nodes.select("node", F.col("key").alias("_key"))
-    held = written(rows.join(own, ["node", "_key"], "left_semi").select("node", F.explode("prefix").alias("s")).distinct(), "prefixes")
-    root = components(links(docs, nodes, held))
-    first = nodes.select("node", "first").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return first.groupBy("root").agg(F.min("first").alias("first")).select("first._key")
+    with Scratch(docs.sparkSession) as keep:
+        rows = keep(with_columns_from(docs, "text", make, "lo long, hi long, n long, fp long, sketch array<long>, keys array<long>").drop("text"), "stage-sets")
+        same = rows.groupBy("lo", "hi").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "sketch", "keys")])
+        nodes = keep(same.withColumn("node", F.monotonically_increasing_id()).select("node", "first.*", "n", "fp", "sketch", "keys"), "stage-nodes")
+        root = components(links(docs, nodes, keep), keep)
+        first = nodes.select("node", F.struct("none", "doc_id", *KEY).alias("first")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return written(first.groupBy("root").agg(F.min("first").alias("first")).select("first._k1", "first._k2"), "winners")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates; same columns. Null texts are empty, and all of one group."""
-    rows = packed_rows(docs, F.xxhash64("doc_id", text_of()).alias("_key"))
-    kept = winners(rows.select("_key", "doc_id", "text"))
-    return unpacked_rows(rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]), docs)
+    """One document of each group of near-duplicates; same columns.
+
+    Null texts are empty, and all of one group; so are texts of white space. Texts under five words are one shingle.
+    Repeated rows are copies. A null doc_id loses to any other. Very long texts are compared whole. An empty table stays
+    empty. Other columns pass through, whatever their names.
+    """
+    rows = packed_rows(docs, F.xxhash64("doc_id", text_of()).alias("_k1"), F.xxhash64(F.lit("wide"), "doc_id", text_of()).alias("_k2"))
+    kept = winners(rows.select(*KEY, "doc_id", "text"))
+    return unpacked_rows(rows.join(kept, KEY, "left_semi").dropDuplicates(KEY), docs)
