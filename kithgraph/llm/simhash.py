@@ -171,7 +171,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Of the pipeline's stage: sets of five-word shingles, linked at a Jaccard similarity of 4/5 or more.
 STAGE_SHINGLE, LINK, OF = 5, 4, 5
 #: Hot shingles come from one document in SAMPLE; at most HOT of them are broadcast. They set an order that all sets share, no more.
-SAMPLE, HOT = 16, 100_000
+SAMPLE, HOT = 16, 400_000
 #: The chance that a pair of similarity 0.8 shares no key, per set; 64-bit hashes collide more often.
 MISS = 1e-12
 #: 64-bit words of the parity sketch of a set.
@@ -230,15 +230,20 @@ def sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * OF >= F.greatest(a, b) * LINK
 
 
+def may_be_alike(x: str, y: str) -> Column:
+    """What the sizes and sketches of two sets leave possible: never false for a similarity of 0.8. The terms are few and compiled."""
+    n = lambda side: F.col(f"{side}.n")
+    apart = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
+    return sizes_fit(n(x), n(y)) & (apart * (LINK + OF) <= n(x) + n(y))
+
+
 def true_links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, keep: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a similarity of 0.8 or more.
 
     Sizes and sketches leave out pairs that cannot; for the rest the texts of their nodes are hashed again and compared.
     """
-    traits = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    may = sizes_fit(F.col("na"), F.col("nb")) & (apart * (LINK + OF) <= F.col("na") + F.col("nb"))
-    pairs = keep(pairs.distinct().join(traits("a"), "a").join(traits("b"), "b").where(may).select("a", "b"), "pairs")
+    traits = lambda c: nodes.select(F.col("node").alias(c), F.struct("n", "sketch").alias(f"of_{c}"))
+    pairs = keep(pairs.distinct().join(traits("a"), "a").join(traits("b"), "b").where(may_be_alike("of_a", "of_b")).select("a", "b"), "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = docs.select(*KEY, "text").join(nodes.select("node", *KEY).join(ends, "node", "left_semi"), KEY).dropDuplicates(["node"])
     sets = keep(with_columns_from(texts, "text", lambda: lambda ts: [[shingle_set(t).view(np.int64) for t in ts]], "sh array<long>").select("node", "sh"), "sets")
@@ -279,11 +284,10 @@ def links(docs: DataFrame, nodes: DataFrame, keep: Scratch) -> DataFrame:
     rooted = shared.join(roots, "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("root"))
     counts = rooted.groupBy("s", "root").agg(F.count("*").alias("of"))
     top = counts.groupBy("s").agg(F.max(F.struct("of", "root"))["root"].alias("top"), F.count("*").alias("roots")).where("roots > 1").select("s", "top")
-    rest = keep(rooted.join(top, "s"), "open-shingles")
-    # of two roots under one s, one at least is not the most frequent there
+    rest = keep(rooted.join(top, "s").join(nodes.select("node", "sketch"), "node"), "open-shingles")
+    # of two roots under one s, one at least is not the most frequent there; the join tests a pair before it makes a row of it
     x, y = rest.alias("x"), rest.where("root <> top").alias("y")
-    fits = (F.col("x.root") != F.col("y.root")) & sizes_fit(F.col("x.n"), F.col("y.n"))
-    met = x.join(y, (F.col("x.s") == F.col("y.s")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & may_be_alike("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(true_links(met, docs, nodes, keep))
 
 
