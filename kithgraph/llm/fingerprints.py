@@ -1,17 +1,18 @@
 """Document fingerprints: a canonical exact digest, in DataFrame functions only.
 
 A text is normalised (NFKC), case-folded and has its white space folded; two chained xxhash64 values of that give a
-128-bit key. Texts in one bucket of equal keys are compared: in a row byte by byte, across rows by their SHA-512, which
-moves 64 bytes instead of the text. A bucket that holds different texts gets the SHA-256 as a suffix, so equal
-fingerprints always mean equal canonical texts.
+128-bit key. Rows are grouped by key, and in buckets of several rows the canonical texts are compared byte by byte. A
+bucket that holds different texts gets the SHA-256 as a suffix, so equal fingerprints always mean equal canonical texts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import text_of, written
+from kithgraph.llm.common import Scratch, text_of, written
 
 #: The public Unicode library that Spark ships for its collations.
 NORMALIZER, CHARACTERS = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
@@ -23,82 +24,88 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(folded, r"[\p{Z}\s]+", " "))
 
 
-def key_columns(canon: str, prefix: str) -> list[Column]:
-    """The two halves of the wide key and the digest that stands for the bytes."""
-    return [
-        F.xxhash64(canon).alias(f"{prefix}_a"),
-        F.xxhash64(F.lit("wide"), F.col(canon)).alias(f"{prefix}_b"),
-        F.sha2(F.col(canon), 512).alias(f"{prefix}_sha"),
-    ]
+def key_columns(canon: str, prefix: str = "") -> list[Column]:
+    """The two halves of the wide key."""
+    return [F.xxhash64(canon).alias(f"{prefix}a"), F.xxhash64(F.lit("wide"), F.col(canon)).alias(f"{prefix}b")]
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Each row with `next_text`, the text of the row that follows by ascending key; after the last comes the first.
 
     One shuffle: rows go by ranges of the key, whose bounds are sampled quantiles, and each range ends in a copy of the
-    head of the range after it. Only one key per range passes through the driver. Ties in the key are ordered by the
-    hash of the text, null keys come first.
+    head of the range after it. Only one key per range passes through the driver and comes back as a row of arrays. Ties
+    in the key are ordered by the hash of the text, null keys come first.
     """
     spark = docs.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted({int(x) for x in docs.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.25 / ranges)})
-    bounds = F.array(*[F.lit(x).cast("long") for x in cuts]) if cuts else F.array().cast("array<long>")
-    place = F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(key))) + 1)
-    rows = docs.withColumn("_range", place)
-    heads = [r for r in rows.groupBy("_range").agg(F.min(key).alias("head")).orderBy("_range").collect()]  # a row per range
-    follow = {heads[i]["_range"]: heads[i - 1]["_range"] for i in range(len(heads))}  # of a range, the one before it
+    step = max(1, math.isqrt(len(cuts)))  # bounds are looked up by block, then within the block
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)] + [[]]
+    tops = [x[-1] for x in blocks if len(x) == step]
+    bounds = spark.createDataFrame([(tops, blocks)], "_tops array<long>, _blocks array<array<long>>")
+    below = lambda array: F.size(F.filter(array, lambda b: b <= F.col(key)))
+    passed = below(F.col("_tops"))
+    place = F.when(F.col(key).isNull(), 0).otherwise(passed * step + below(F.get("_blocks", passed)) + 1)
+    rows = docs.crossJoin(bounds).withColumn("_range", place.cast("int")).drop("_tops", "_blocks")  # with one row
+    heads = rows.groupBy("_range").agg(F.min(key).alias("head")).orderBy("_range").collect()  # a row per range
     if not heads:
         return docs.withColumn("next_text", F.lit(None).cast("string"))
-    before = F.create_map(*[F.lit(x) for pair in follow.items() for x in pair])
-    firsts = [F.lit(r["head"]).cast("long") for r in heads if r["head"] is not None]
-    is_head = F.array_contains(F.array(*firsts), F.col(key)) if firsts else F.lit(False)
-    if heads[0]["head"] is None:
-        is_head = F.coalesce(is_head, F.lit(False)) | F.col(key).isNull()
-    copies = rows.where(is_head).withColumn("_range", before[F.col("_range")]).withColumn("_copy", F.lit(True))
+    first, before = [None] * (len(cuts) + 2), [None] * (len(cuts) + 2)
+    for i, r in enumerate(heads):
+        first[r["_range"]], before[r["_range"]] = r["head"], heads[i - 1]["_range"]
+    known = spark.createDataFrame([(first, before)], "_first array<long>, _before array<int>")
+    is_head = F.get("_first", F.col("_range")).eqNullSafe(F.col(key))
+    copies = rows.crossJoin(known).where(is_head).withColumn("_range", F.get("_before", F.col("_range"))).drop("_first", "_before")
     order = Window.partitionBy("_range").orderBy("_copy", F.col(key).asc_nulls_first(), F.xxhash64(text))
-    both = rows.withColumn("_copy", F.lit(False)).unionByName(copies)
+    both = rows.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)))
     return both.withColumn("next_text", F.lead(text).over(order)).where(~F.col("_copy")).drop("_range", "_copy")
 
 
-def fingerprints(rows: DataFrame, texts: dict[str, str], keep: list[str]) -> DataFrame:
-    """Fingerprints of text columns.
+def mixed_buckets(texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """Of the buckets (a, b) of several rows, those whose canonical texts differ. texts: a, b, canon.
 
-    texts: output column -> text column. keep: columns to carry. The bytes of texts in equal buckets are compared over
-    all rows and all the columns. Each
-    column after the first also gets `<output>_likeness`: 1 if its canonical bytes equal the first's, else 0.
+    Least and greatest texts are taken where the rows are, so of a group of copies one text per task is moved.
     """
-    names = list(texts)
-    canon = rows.select(*keep, *[canonical(F.col(t)).alias(f"{n}_canon") for n, t in texts.items()])
-    same = [(F.col(f"{names[0]}_canon") == F.col(f"{n}_canon")).cast("double").alias(f"{n}_likeness") for n in names[1:]]
-    hashed = written(canon.select(*keep, *same, *[c for n in names for c in key_columns(f"{n}_canon", n)]), "fingerprints")
-    every = None
-    for n in names:
-        part = hashed.select(F.col(f"{n}_a").alias("a"), F.col(f"{n}_b").alias("b"), F.col(f"{n}_sha").alias("sha"))
-        every = part if every is None else every.unionByName(part)
-    mixed = every.groupBy("a", "b").agg(F.min("sha").alias("lo"), F.max("sha").alias("hi")).where("lo <> hi").select("a", "b", F.lit(True).alias("mixed"))
-    mixed = written(mixed, "mixed-buckets")
-    out = hashed
-    for n in names:
-        plain = F.concat(F.lower(F.lpad(F.hex(f"{n}_a"), 16, "0")), F.lower(F.lpad(F.hex(f"{n}_b"), 16, "0")))
-        key = mixed.select(F.col("a").alias(f"{n}_a"), F.col("b").alias(f"{n}_b"), F.col("mixed").alias(f"{n}_mixed"))
-        out = out.join(key, [f"{n}_a", f"{n}_b"], "left").withColumn(n, F.when(F.col(f"{n}_mixed"), F.concat(plain, F.lit("-"), F.left(F.col(f"{n}_sha"), F.lit(64)))).otherwise(plain))
-    return out.select(*keep, *names, *[f"{n}_likeness" for n in names[1:]])
+    ends = texts.join(shared, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
+    return ends.where("lo <> hi").select("a", "b", F.lit(True).alias("mixed"))
+
+
+def fingerprint_of(a: Column, b: Column, mixed: Column, digest: Column) -> Column:
+    """Both halves of the key as hex, and in a mixed bucket the digest of the canonical text."""
+    plain = F.concat(F.lower(F.lpad(F.hex(a), 16, "0")), F.lower(F.lpad(F.hex(b), 16, "0")))
+    return F.when(mixed, F.concat(plain, F.lit("-"), digest)).otherwise(plain)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of whole documents, of their edited texts, and how like they are (op8's contract).
 
-    Nulls count as empty texts; repeated rows each give a row; an empty table gives none. Columns other than doc_id and
-    text are ignored.
+    Nulls count as empty texts; empty texts and texts of white space share a fingerprint; very long texts are digested
+    whole. Repeated rows each give a row; ties of doc_id go by the hash of the text, null ids come first; an empty table
+    gives none. Columns other than doc_id and text are ignored, whatever their names. An exact digest knows only equal
+    and different, so near_edited and near_next are 0 or 1.
     """
     base = docs.select("doc_id", text_of().alias("text"))
-    n, cut = F.char_length("text"), F.floor(F.col("n_chars") / 4).cast("int")
-    rows = with_next(base, "doc_id", "text").withColumn("n_chars", n.cast("long"))
+    cut = F.floor(F.col("n_chars") / 4).cast("int")
+    rows = with_next(base, "doc_id", "text").withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     rows = rows.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited"), 256))
-    out = fingerprints(rows, {"fingerprint": "text", "edited_fingerprint": "edited", "next_fingerprint": "next_text"}, ["doc_id", "n_chars", "edited_sha256"])
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.col("edited_fingerprint_likeness").alias("near_edited"), F.col("next_fingerprint_likeness").alias("near_next"))
+    canon = rows.select("doc_id", "n_chars", "edited_sha256", *[canonical(F.col(c)).alias(f"{c}_canon") for c in ("text", "edited", "next_text")])
+    like = lambda c: (F.col("text_canon") == F.col(c)).cast("double")
+    ready = canon.select("doc_id", "n_chars", "edited_sha256", *key_columns("text_canon", "t"), *key_columns("edited_canon", "e"), F.sha2("text_canon", 256).alias("t_sha"), "edited_canon", like("edited_canon").alias("near_edited"), like("next_text_canon").alias("near_next"))
+    hashed = written(ready, "fingerprints")
+    with Scratch(docs.sparkSession) as keep:
+        keys = hashed.select(F.col("ta").alias("a"), F.col("tb").alias("b")).unionAll(hashed.select("ea", "eb"))
+        shared = keep(keys.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "shared-buckets")
+        own = base.select(canonical(F.col("text")).alias("canon")).select(*key_columns("canon"), "canon")
+        mixed = written(mixed_buckets(own.unionByName(hashed.select(F.col("ea").alias("a"), F.col("eb").alias("b"), F.col("edited_canon").alias("canon"))), shared), "mixed-buckets")
+    of = lambda c: mixed.select(F.col("a").alias(f"{c}a"), F.col("b").alias(f"{c}b"), F.col("mixed").alias(f"{c}_mixed"))
+    out = hashed.join(of("t"), ["ta", "tb"], "left").join(of("e"), ["ea", "eb"], "left")
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint_of(F.col("ta"), F.col("tb"), F.col("t_mixed"), F.col("t_sha")).alias("fingerprint"),
+        fingerprint_of(F.col("ea"), F.col("eb"), F.col("e_mixed"), F.sha2("edited_canon", 256)).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts; see edited_fingerprints for nulls and other odd rows."""
     return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
