@@ -5,9 +5,10 @@ where the longer output starts with the shorter, the rest is the new turn's span
 rewrites history, which is reported, and the span starts where the two outputs part. Rendering a turn once more with a
 mark for its text tells header and trailer apart, so the loss mask covers the text alone.
 
-If a template renders two lists of turns as it renders them joined (probed on the driver), long conversations are cut
-into segments that tasks render apart; otherwise a task renders a conversation through a window of earlier turns.
-Either way a task holds the turns of one segment, never a whole hot conversation.
+If a template renders two lists of turns as it renders them joined (probed on the driver, and again on the real turns of
+every segment), long conversations are cut into segments that tasks render apart, so a task holds the turns of one
+segment. Any other template sees each conversation whole, since a black box may look back any distance: a task then holds
+one conversation, and rendering it costs the square of its turns.
 """
 
 from __future__ import annotations
@@ -62,53 +63,73 @@ def common(a: str, b: str) -> int:
     return low
 
 
-def spans(turns: Turns, template: Template, earlier: Turns = ()) -> tuple[str, list[tuple[int, int, int, int]], int]:
-    """Renders turns after earlier ones: the text they add; of each turn the span and within it its text's; rewrites.
+def spans(turns: Turns, template: Template, local: bool = False) -> tuple[str, list[tuple[int, int, int, int]], int]:
+    """Renders turns: the whole text; of each turn the span that it added and its text's place in the whole; rewrites.
 
-    Positions are in the added text. Rendering a prefix again for each turn costs the square of the number of turns,
-    which is bounded by the segment.
+    Prefixes are rendered one turn longer at a time, which costs the square of the turns. The place of a text is found by rendering all turns with a mark in its stead (of a local
+    template, that turn alone), so it is right in the final text even where later turns rewrite earlier ones; a text that the template leaves out has the place (0, 0).
     """
-    before = list(earlier)
-    start = shown = template(before) if before else ""
-    out, rewrites = [], 0
-    for role, text in turns:
-        after = template([*before, (role, text)])
+    shown, added, rewrites = "", [], 0
+    for i in range(len(turns)):
+        after = template(turns[: i + 1])
         at = len(shown)
         if not after.startswith(shown):
             rewrites += 1
             at = common(shown, after)
-        marked = template([*before, (role, MARK)])
-        inner = marked.rfind(MARK)
-        tail = len(marked) - inner - len(MARK)
-        out.append((at - len(start), len(after) - len(start), inner - len(start), len(after) - tail - len(start)) if inner >= 0 else (at - len(start), len(after) - len(start), 0, 0))
-        before.append((role, text))
+        added.append((at, len(after)))
         shown = after
-    return shown[len(start) :], out, rewrites
+    out = []
+    for i, (role, _) in enumerate(turns):
+        begin, end = added[i] if local else (0, len(shown))
+        marked = template([(role, MARK)] if local else [*turns[:i], (role, MARK), *turns[i + 1 :]])
+        inner = marked.rfind(MARK) if turns[i][1] == MARK else marked.find(MARK)
+        out.append((*added[i], begin + inner, end - (len(marked) - inner - len(MARK))) if inner >= 0 else (*added[i], 0, 0))
+    return shown, out, rewrites
 
 
 def is_local(template: Template) -> bool:
     """Whether the template renders lists of turns one after the other as it renders them joined, on probes."""
-    probes: list[Turns] = [[("user", "a")], [("assistant", "b"), ("user", "c")], [("system", ""), ("assistant", "### x </turn>")]]
+    probes: list[Turns] = [[("user", "a")], [("assistant", "b"), ("user", "c")], [("system", ""), ("assistant", "### x </turn>")], [("user" if i % 2 else "assistant", str(i)) for i in range(40)]]
     return all(template(a + b) == template(a) + template(b) for a in probes for b in probes)
 
 
-def formatted(turns: DataFrame, template: Template = default_template, window: int = 16) -> DataFrame:
-    """Rows (conv_id, part, number, text, starts, ends, rewrites): segments of rendered conversations in order, with loss spans.
+def cut_up(text: str, loss: list[tuple[int, int]], every: int) -> list[tuple[str, list[int], list[int]]]:
+    """A rendered text and its loss spans in slices that end before every so many-th span, where spans are in order."""
+    ordered = all(a[1] <= b[0] for a, b in zip(loss, loss[1:], strict=False))
+    cuts = [0, *[a for a, _ in loss[every::every] if ordered], len(text)]
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own = [(x - a, y - a) for x, y in loss if a <= x < b or (x == b == len(text))]
+        out.append((text[a:b], [x for x, _ in own], [y for _, y in own]))
+    return out
 
-    turns: conv_id, turn, role, text. Null texts and roles are empty. Turns go by (turn, role, text), null turns first. A
-    null conv_id is a conversation. starts and ends are the assistant texts' places in the segment.
+
+def formatted(turns: DataFrame, template: Template = default_template, local: bool | None = None) -> DataFrame:
+    """Rows (conv_id, part, number, text, starts, ends, rewrites): slices of rendered conversations in order, with loss spans.
+
+    turns: conv_id, turn, role, text. Null texts and roles are empty. Turns go by (turn, role, text), null turns first;
+    repeated rows are turns. A null conv_id is a conversation. Very long texts and conversations are rendered whole. An
+    empty table gives none; other columns are ignored, whatever their names. starts and ends are the assistant texts'
+    places in the slice. `local` overrides the probes; a local template that joins turns otherwise fails the job.
     """
-    local = is_local(template)
+    local = is_local(template) if local is None else local
     rows = turns.select(F.col("conv_id").cast("string"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-1)).cast("long") if local else F.lit(0).cast("long"))
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, past, number = None, [], [], 0
+        key, held, number = None, [], 0
 
         def flush() -> list[tuple]:
-            text, found, rewrites = spans(held, template, past)
-            loss = [(a, b) for (_, _, a, b), (role, _) in zip(found, held, strict=True) if role == "assistant"]
-            return [(*key, number, text, [a for a, _ in loss], [b for _, b in loss], rewrites)] if held else []
+            nonlocal number
+            text, found, rewrites = spans(held, template, local)
+            half = len(held) // 2
+            if local and template(held[:half]) + template(held[half:]) != text:
+                raise ValueError(f"conversation {key[0]}: the template does not render turns one by one; pass local=False")
+            loss = [(a, b) for (_, _, a, b), (role, _) in zip(found, held, strict=True) if role == "assistant" and (a, b) != (0, 0)]
+            slices = [(text, [a for a, _ in loss], [b for _, b in loss])] if local else cut_up(text, loss, SEGMENT // 2)
+            out = [(*key, number + i, *x, rewrites if not i else 0) for i, x in enumerate(slices)]
+            number += len(out)
+            return out
 
         def frame(out: list[tuple]) -> pd.DataFrame:
             return pd.DataFrame(out, columns=["conv_id", "part", "number", "text", "starts", "ends", "rewrites"])
@@ -116,11 +137,9 @@ def formatted(turns: DataFrame, template: Template = default_template, window: i
         for batch in batches:
             out = []
             for conv, part, role, text in zip(*[batch[c].tolist() for c in ("conv_id", "part", "role", "text")], strict=True):
-                if (conv, part) != key or len(held) >= SEGMENT:
-                    if key is not None:
-                        out += flush()
-                    past = [] if local or (conv, part) != key else [*past, *held][-window:]
-                    number = number + 1 if (conv, part) == key else 0
+                if (conv, part) != key or (local and len(held) >= SEGMENT):
+                    out += flush() if key is not None else []
+                    number = number if (conv, part) == key else 0
                     key, held = (conv, part), []
                 held.append((role, text))
             yield frame(out)
@@ -132,7 +151,11 @@ def formatted(turns: DataFrame, template: Template = default_template, window: i
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """What the written segments say of each conversation (op7's contract). Segments come in order; digests are updated by segment."""
+    """What the written segments say of each conversation (op7's contract). Segments come in order; digests are updated by segment.
+
+    A digest over a conversation's turns is sequential, so the segments of one conversation are read by one task, one at
+    a time.
+    """
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, state, first = None, None, True

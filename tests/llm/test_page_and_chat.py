@@ -66,13 +66,31 @@ def test_black_box_spans_and_rewrites():
 
 
 def test_template_that_looks_back(spark):
-    """A template whose turns depend on the one before is rendered through a window and gives what it gives whole."""
+    """A template whose turns depend on the one before gives what it gives whole."""
     looks = lambda ts: "".join(f"{'same ' if i and ts[i - 1][0] == r else ''}{r}: {t}|" for i, (r, t) in enumerate(ts))
     rows = spark.createDataFrame([(1, i, "user" if i % 3 else "assistant", str(i)) for i in range(600)], "conv_id long, turn long, role string, text string")
     parts = chat.formatted(rows, looks).orderBy("number").collect()
     assert len(parts) > 1 and "".join(p.text for p in parts) == looks([("user" if i % 3 else "assistant", str(i)) for i in range(600)])
 
 
+def test_template_that_rewrites_history(spark):
+    """600 turns, each of which changes the first line and hides the reasoning of all turns but the last."""
+    hides = lambda ts: f"[{len(ts)} turns]\n" + "".join(f"{r}: {'' if i < len(ts) - 1 else '<think>'}{t}|" for i, (r, t) in enumerate(ts))
+    turns = [("user" if i % 3 else "assistant", f"text {i}") for i in range(600)]
+    rows = spark.createDataFrame([(1, i, *x) for i, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    parts = chat.formatted(rows, hides).orderBy("number").collect()
+    assert "".join(p.text for p in parts) == hides(turns) and sum(p.rewrites for p in parts) == 599
+    assert [p.text[a:b] for p in parts for a, b in zip(p.starts, p.ends, strict=True)] == [t for r, t in turns if r == "assistant"]
+
+
+def test_template_that_looks_local_at_first(spark):
+    late = lambda ts: "".join(f"{r}: {t}|" for r, t in ts) + ("many turns" if len(ts) > 100 else "")
+    rows = spark.createDataFrame([(1, i, "user", str(i)) for i in range(300)], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="local=False"):
+        chat.formatted(rows, late).collect()
+    assert "".join(p.text for p in chat.formatted(rows, late, local=False).orderBy("number").collect()) == late([("user", str(i)) for i in range(300)])
+
+
 def test_quality_scores(spark):
     good = [(i, f"Calm words number {i} about rivers and hills, told slowly. " * 5) for i in range(60)]
     bad = [(100 + i, f"BUY NOW!! item{i} $$$ CHEAP!! *** ### " * 6) for i in range(60)]
