@@ -223,6 +223,25 @@ def test_fingerprints(spark):
     assert fingerprints.edited_fingerprints(empty(spark)).count() == 0
 
 
+def test_fingerprints_equal_an_independent_canonical_form(spark):
+    import unicodedata
+
+    fold = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).casefold()).strip(" ")
+    cases = ["a  B", "A b", "ﬁne", "FINE", "①", "1", "x\u00a0y", "X Y", "", " ", "é", "e\u0301", "Ω", "ω", "long " * 9_000, "LONG " * 9_000]
+    rows = {r.doc_id: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    for i, x in enumerate(cases):
+        assert rows[i].near_next == float(fold(x) == fold(cases[(i + 1) % len(cases)]))
+        for j, y in enumerate(cases):
+            assert (rows[i].fingerprint == rows[j].fingerprint) == (fold(x) == fold(y)), (x, y)
+
+
+def test_texts_in_one_bucket_are_told_apart_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "key_columns", lambda canon, prefix="": [F.length(canon).cast("long").alias(f"{prefix}a"), F.lit(0).cast("long").alias(f"{prefix}b")])
+    docs = spark.createDataFrame([(1, "aaaa"), (2, "bbbb"), (3, "AAAA"), (4, "alone in its bucket")], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    assert got[1].fingerprint == got[3].fingerprint != got[2].fingerprint and "-" in got[1].fingerprint
+
+
 def repeated(all_texts):
     seen: dict = {}
     for t in all_texts:
