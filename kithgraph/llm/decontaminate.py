@@ -1,8 +1,8 @@
 """Benchmark decontamination: a broadcast set of normalised test n-grams against the word windows of every document.
 
 Words and windows become 64-bit hashes over whole batches in numpy; a window whose hash is in the set is compared word
-by word before it counts. The set is broadcast only as far as its size is bounded: items are dealt into blocks of at
-most BLOCK_WORDS words, known from a sum over the items, and every block is scanned against all documents.
+by word before it counts. The set is broadcast only as far as its size is bounded: items are dealt into blocks of some
+BLOCK_WORDS words, as many as a sum over the items asks for, and every block is scanned against all documents.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithgraph.llm.common import packed_rows, text_of, unpacked_rows, with_columns_from, written
@@ -123,33 +123,40 @@ def in_chunks(texts: list[str], most: int = CHUNK_BYTES) -> Iterator[list[str]]:
         yield held
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """Distinct items (item_id, text) in blocks of bounded size. Items without id or text are left out: they have no words or no name."""
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """Distinct items (item_id, text) in blocks of some BLOCK_WORDS words by a hash of the id, one at a time on the driver.
+
+    Items without id or text are left out: they have no words or no name. A single item is never cut, so a block is
+    bounded by BLOCK_WORDS and its longest item.
+    """
     rows = benchmark.select(F.col("item_id").cast("long"), text_of().alias("text")).where("item_id is not null and text <> ''").distinct()
-    rows = rows.withColumn("_block", F.floor(F.sum(F.length("text")).over(Window.orderBy("item_id", "text")) / (6 * BLOCK_WORDS)))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size <= 6 * BLOCK_WORDS:
-        return [[(r.item_id, r.text) for r in rows.select("item_id", "text").collect()]]
-    rows = written(rows, "benchmark-blocks")
-    blocks = [r[0] for r in rows.select("_block").distinct().orderBy("_block").collect()]
-    return [[(r.item_id, r.text) for r in rows.where(F.col("_block") == b).select("item_id", "text").collect()] for b in blocks]
+    blocks = max(1, -(-size // (6 * BLOCK_WORDS)))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    rows = written(rows, "benchmark-blocks") if blocks > 1 else rows
+    for b in range(blocks):
+        yield [(r.item_id, r.text) for r in rows.where(F.col("_block") == b).select("item_id", "text").collect()]
 
 
 def with_hits(rows: DataFrame, benchmark: DataFrame, n: int = N, clean: bool = False) -> DataFrame:
     """Adds to rows with a text column its number of words, the numbers of hit words, the items that occur, and the text
     without the hit words if it is to be cleaned.
 
-    Blocks of items are scanned one after the other over the same rows, so no row is moved or joined.
+    Blocks of items are scanned one after the other over the same rows, so no row is moved or joined. Between two blocks the
+    rows are written, and the block before is released on the driver and the executors.
     """
     out = rows.withColumn("_n_words", F.lit(0).cast("long")).withColumn("_hits", F.array().cast("array<int>")).withColumn("_items", F.array().cast("array<long>"))
-    blocks = item_blocks(benchmark) or [[]]
-    for i, block in enumerate(blocks):
-        shared, last = rows.sparkSession.sparkContext.broadcast(Grams(block, n)), clean and i == len(blocks) - 1
-
-        def search(shared=shared, last=last):
+    shared = None
+    for block in item_blocks(benchmark):
+        if shared is not None:
+            out = written(out, "scanned")
+            shared.destroy()
+        shared = rows.sparkSession.sparkContext.broadcast(Grams(block, n))
+
+        def search(shared=shared):
             def run(values: list[dict]) -> list[list]:
                 found = [x for part in in_chunks([v["text"] for v in values]) for x in scan(part, shared.value)]
-                own = [cleaned(v["text"], sorted({*v["hits"], *x[1]})) if last else None for v, x in zip(values, found, strict=True)]
+                own = [cleaned(v["text"], sorted({*v["hits"], *x[1]})) if clean else None for v, x in zip(values, found, strict=True)]
                 return [[x[0] for x in found], [x[1] for x in found], [x[2] for x in found], own]
 
             return run
@@ -164,8 +171,9 @@ def with_hits(rows: DataFrame, benchmark: DataFrame, n: int = N, clean: bool = F
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document what occurs in it of the benchmark (op5's contract).
 
-    Null and empty texts have no words and no hits; repeated rows each give a row; an empty benchmark hits nothing.
-    Columns but doc_id and text are ignored.
+    Null and empty texts have no words and no hits; very long texts are scanned whole; repeated rows each give a row; an
+    empty table gives none; an empty benchmark hits nothing. Several rows of an item_id are one item with the windows of
+    all. Columns but doc_id and text are ignored, whatever their names.
     """
     found = with_hits(docs.select("doc_id", text_of().alias("text")), benchmark)
     digest = F.sha2(F.array_join(F.array_sort(F.transform("_items", lambda x: x.cast("string"))), ","), 256)
@@ -188,12 +196,17 @@ def cleaned(text: str, hit: list[int]) -> str:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without the words that windows of the benchmark cover; those with no word left are dropped. Same columns."""
+    """Documents without the words that windows of the benchmark cover; those with no word left are dropped. Same columns.
+
+    Null and empty texts have no words and stay, as do repeated rows; very long texts are scanned whole; an empty table or
+    an empty benchmark changes nothing. Other columns pass through, whatever their names.
+    """
     done = with_hits(packed_rows(docs), benchmark, clean=True)
     return unpacked_rows(done.where((F.size("_hits") == 0) | (F.size("_hits") < F.col("_n_words"))), docs, "_clean")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents; see contamination for nulls and other odd rows."""
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
