@@ -3,7 +3,7 @@
 A payload goes into an HTTP response with chunked transfer framing. A long block is cut into segments: the first record
 and continuation records that name it as their origin, the last with the total length. Chunks end inside every
 occurrence of the version line's text, so that it appears nowhere but at the start of records, and Spark's text reader
-can split archives there in any number of tasks. Reading groups the segments by origin, orders them by number, checks
+takes archives apart there. An archive is compressed as a whole, so one task reads it; PER_FILE bounds its records. Reading groups the segments by origin, orders them by number, checks
 the total length, and decodes the framing.
 """
 
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import by_rows, new_path
+from kithgraph.llm.common import by_rows, new_path, written
 
 VERSION = "WARC/1.1"
 #: Characters of a block in one record, and of a payload in one chunk.
@@ -29,6 +29,9 @@ SEGMENT, CHUNK = 65_536, 16_384
 LEAST = 1_000
 #: Records in a file, which bounds what one task must unpack.
 PER_FILE = 50_000
+#: What the standard asks of a record.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+CONTENT = "application/http;msgtype=response"
 ONE = "kind string, page string, refers string, digest string, origin string, copy string, segment int, total long, block string"
 
 
@@ -67,23 +70,30 @@ def record(headers: list[tuple[str, object]], block: str) -> str:
 def decisions(pages: DataFrame) -> DataFrame:
     """Adds digest, n_bytes, record_type and refers_to: of equal payloads of LEAST bytes or more, the largest page_id answers.
 
-    Only digests and ids are grouped. Rows that share both the payload and that page_id are all responses; a group
-    without any page_id has only responses.
+    Only digests, ids and urls are grouped. Rows that share both the payload and that page_id are all responses; a group
+    without any page_id has only responses. What is chosen is a written table, so that Spark can split a payload that a
+    large part of the pages share.
     """
     rows = pages.withColumn("digest", F.sha1(F.encode("payload", "UTF-8"))).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    chosen = rows.where(F.col("n_bytes") >= LEAST).groupBy("digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    chosen = rows.where(F.col("n_bytes") >= LEAST).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("_top"), F.count("*").alias("_n")).where("_n > 1")
+    chosen = written(chosen.select("digest", F.col("_top.page_id").alias("_first"), F.col("_top.url").alias("_first_url")), "responses")
     again = F.coalesce(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")) & (F.col("n_bytes") >= LEAST), F.lit(False))
     return rows.join(chosen, "digest", "left").select(
         "page_id", "url", "payload", "digest", "n_bytes",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"),
+        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"), F.when(again, F.col("_first_url")).alias("refers_url"),
     )
 
 
-def records(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def uri(url: str | None) -> str | None:
+    """A url as a header value: no white space or control characters."""
+    return quote(url or "", safe=":/?#[]@!$&'()*+,;=%") or None
+
+
+def records(rows: Iterator[pd.DataFrame], date: str) -> Iterator[pd.DataFrame]:
     part, count = TaskContext.get().partitionId(), 0
     for batch in rows:
         out = []
-        for page, url, payload, digest, kind, refers in zip(*[batch[c].tolist() for c in ("page", "url", "payload", "digest", "record_type", "refers")], strict=True):
+        for page, url, payload, digest, kind, refers, refers_url in zip(*[batch[c].tolist() for c in ("page", "url", "payload", "digest", "record_type", "refers", "refers_url")], strict=True):
             count += 1
             name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{part}/{count}/{page}')}>"
             block = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + ("" if kind == "revisit" else chunked(payload))
@@ -94,8 +104,13 @@ def records(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 headers = [
                     ("WARC-Type", kind if i == 1 else "continuation"),
                     ("WARC-Record-ID", name if i == 1 else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{i}')}>"),
-                    ("WARC-Target-URI", quote(url or "", safe=":/?#[]@!$&'()*+,;=%") or None),
+                    ("WARC-Date", date),
+                    ("WARC-Target-URI", uri(url) or f"urn:page:{page}"),
+                    ("Content-Type", CONTENT if i == 1 else None),
                     ("WARC-Payload-Digest", f"sha1:{digest}"),
+                    ("WARC-Profile", PROFILE if kind == "revisit" and i == 1 else None),
+                    ("WARC-Refers-To-Target-URI", (uri(refers_url) or f"urn:page:{refers}") if kind == "revisit" and i == 1 else None),
+                    ("WARC-Refers-To-Date", date if kind == "revisit" and i == 1 else None),
                     ("WARC-Page-ID", page),
                     ("WARC-Refers-To-Page-ID", refers),
                     ("WARC-Segment-Number", i if split else None),
@@ -106,11 +121,16 @@ def records(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"value": out})
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Writes archives of the pages (page_id, url, html) to a folder. Null html is an empty payload, null url none."""
+def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Writes archives of the pages (page_id, url, html) to a folder, as captured at a date.
+
+    Null html is an empty payload; a null or empty url gives a urn of the page_id; very long payloads are cut into
+    segments. Repeated rows are records of their own, equal ids and payloads all responses. An empty table gives archives
+    without records. Other columns are ignored, whatever their names.
+    """
     rows = decisions(pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")))
-    texts = rows.select(F.col("page_id").cast("string").alias("page"), F.col("url").cast("string"), "payload", "digest", "record_type", F.col("refers_to").cast("string").alias("refers"))
-    lines = by_rows(texts, records, "value string")
+    texts = rows.select(F.col("page_id").cast("string").alias("page"), F.col("url").cast("string"), "payload", "digest", "record_type", F.col("refers_to").cast("string").alias("refers"), F.col("refers_url").cast("string"))
+    lines = by_rows(texts, lambda rows: records(rows, date), "value string")
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
