@@ -7,7 +7,7 @@ file the number of ids and the root of a Merkle tree over its documents, and the
 the recipes, fetches chunks that other rows own, and verifies counts, checksums and roots.
 
 The format is Parquet: store/part=N (doc_id, row, n_tokens, crc, digests, own, ids) and manifest (part, rows, tokens,
-root). ids are the owned chunks' ids, little-endian, of 2 bytes each if the vocabulary allows, else 4.
+root). ids are the owned chunks' ids, little-endian, of `width` bytes; a vocabulary that needs more is refused.
 """
 
 from __future__ import annotations
@@ -94,12 +94,17 @@ def leaf(doc: str | None, digests: list[bytes]) -> bytes:
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, width: int = 2) -> str:
     """Writes the store of all documents' ids and returns its root.
 
-    Repeated rows are documents of their own and share their chunks; null doc_ids come first. Only digests are grouped
-    to find owners; a document's ids are moved once, to their place in the order.
+    Repeated rows are documents of their own and share their chunks; null doc_ids come first, ties go by row. Null and
+    empty texts have the end id only; very long texts are chunked whole. An empty table gives a store without documents.
+    Columns but doc_id and text are ignored, whatever their names. Only digests are grouped to find owners; a document's
+    ids are moved once, to their place in the order. Owners are a written table, so that Spark can split a chunk that very
+    many documents share.
     """
+    if max(end_id, bpe.encoder(vocabulary).library.get_vocab_size() - 1) >= 256**width:
+        raise ValueError(f"ids of this vocabulary need more than {width} bytes")
     staged = written(encoded(docs, vocabulary, end_id, width).withColumn("row", F.monotonically_increasing_id()), "encoded")
     uses = staged.select("row", F.posexplode("digests").alias("i", "digest"))
-    range_of = uses.groupBy("digest").agg(F.min("row").alias("owner"), F.max("row").alias("last")).where("owner <> last")
+    range_of = written(uses.groupBy("digest").agg(F.min("row").alias("owner"), F.max("row").alias("last")).where("owner <> last").drop("last"), "owners")
     met = uses.join(range_of, "digest")
     pick = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("i"))))
     notes = met.groupBy("row").agg(pick(F.col("row") != F.col("owner")).alias("foreign"), pick(F.col("row") == F.col("owner")).alias("shared"))
@@ -174,7 +179,8 @@ def read(spark: SparkSession, path: str, width: int = 2, root: str | None = None
             yield pd.DataFrame(out, columns=["digest", "bytes"])
 
     chunks = by_rows(stored.where(F.size("shared") > 0).select("digests", "sizes", "own", "shared", "ids"), named, "digest binary, bytes binary")
-    fetched = wanted.select("row", "digest").distinct().join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
+    asked = written(wanted.select("row", "digest").distinct(), "asked-chunks")
+    fetched = asked.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
     whole = stored.where(complete).withColumn("fetched", F.lit(None).cast("array<struct<digest:binary,bytes:binary>>"))
     pieced = stored.where(~complete).join(fetched, "row", "left").select(*whole.columns)
     columns = ["doc_id", "row", "part", "n_tokens", "crc", "digests", "sizes", "own", "ids", "fetched"]
