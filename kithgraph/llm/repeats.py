@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import by_rows, text_of, with_columns_from, written
+from kithgraph.llm.common import Scratch, by_rows, text_of, with_columns_from, written
 
 WINDOW, GRAM = 400, 64
 #: Starts of windows that a phrase spans at most, by round.
@@ -151,14 +151,14 @@ def finer(block: int):
     return cut
 
 
-def judged(records: DataFrame, name: str) -> DataFrame:
+def judged(records: DataFrame, keep: Scratch) -> DataFrame:
     """Records of cores that occur more than once, with `repeated` (the whole does) and `open` (its windows must be looked at).
 
-    Of equal wholes beside others of the same core, one stays open, so that the others find it.
+    records: a written table. Of equal wholes beside others of the same core, one stays open, so that the others find it.
     """
-    shared = written(records.groupBy("core").agg(F.count("*").alias("_c"), F.min("whole").alias("_lo"), F.max("whole").alias("_hi")).where("_c > 1"), f"{name}-cores")
-    kept = written(records.join(shared, "core").withColumn("_id", F.xxhash64("k", "t", "at")), f"{name}-phrases")
-    wholes = written(kept.groupBy("core", "whole").agg(F.count("*").alias("_w"), F.min("_id").alias("_one")).where("_w > 1").drop("_w"), f"{name}-wholes")
+    shared = keep(records.groupBy("core").agg(F.count("*").alias("_c"), F.min("whole").alias("_lo"), F.max("whole").alias("_hi")).where("_c > 1"), "cores")
+    kept = keep(records.join(shared, "core").withColumn("_id", F.xxhash64("k", "t", "at")), "phrases")
+    wholes = keep(kept.groupBy("core", "whole").agg(F.count("*").alias("_w"), F.min("_id").alias("_one")).where("_w > 1").drop("_w"), "wholes")
     both = kept.join(wholes, ["core", "whole"], "left")  # both sides are plain tables, so a whole of very many copies is split
     repeated, mixed_core = F.col("_one").isNotNull(), F.col("_lo") != F.col("_hi")
     return both.select("k", "t", "base", "at", "n", "x", repeated.alias("repeated"), (mixed_core & (~repeated | (F.col("_id") == F.col("_one")))).alias("open"))
@@ -184,7 +184,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = docs.select("k", "t", F.lit(0).cast("long").alias("base"), F.encode("text", "UTF-8").alias("raw"))
     records, spans = by_rows(docs.select("k", "t", "text"), all_phrases, RECORD), None
     for block, next_block in zip(BLOCKS, (*BLOCKS[1:], None), strict=True):
-        found = written(judged(records, f"repeats-{block}"), f"repeats-{block}")
+        with Scratch(docs.sparkSession) as keep:
+            found = written(judged(keep(records, f"phrases-{block}"), keep), f"repeats-{block}")
         part = found.where("repeated").select("k", "t", F.col("at").alias("start"), (F.col("at") + F.col("n") + (WINDOW - 1)).alias("end"))
         spans = part if spans is None else spans.unionByName(part)
         if next_block:
@@ -213,8 +214,9 @@ def kept_of(text: str | None, spans: list | None) -> tuple[int, int, int, str]:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Per document what removing its repeats leaves (op9's contract), with the spans themselves.
 
-    Null texts count as empty; texts under WINDOW bytes hold no repeat. Repeated rows are repeats of each other. Columns
-    but doc_id and text are ignored.
+    Null texts count as empty; texts under WINDOW bytes hold no repeat; very long texts go in overlapping parts. Repeated
+    rows and equal texts are repeats of each other; null doc_ids keep their rows. An empty table gives none. Columns but
+    doc_id and text are ignored, whatever their names.
     """
     base = docs.select("doc_id", text_of().alias("text"))
     rows = base.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("k"), F.hash("text").alias("t"))
@@ -225,4 +227,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of all documents; see without_repeats for nulls and other odd rows."""
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
