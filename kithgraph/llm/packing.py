@@ -71,7 +71,11 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """The pieces of every document's ids with their checksums. Null texts count as empty: only the end id."""
+    """The pieces of every document's ids with their checksums.
+
+    Null texts count as empty: only the end id. Very long texts are encoded whole. Repeated rows and null doc_ids are
+    documents of their own; an empty table has no pieces. Columns but doc_id and text are ignored, whatever their names.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = bpe.encoder(vocabulary).encode
@@ -89,7 +93,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
 def packed(piece_rows: DataFrame) -> DataFrame:
     """Gives every piece a sequence and its offset there. Sequence ids are unique, not gapless.
 
-    Full pieces are sequences by themselves. The others are numbered and dealt by the hash of the number, so neither
+    Equal lengths go in the order of their pieces; an empty table gives no rows. Full pieces are sequences by themselves.
+    The others are numbered and dealt by the hash of the number, so neither
     equal documents nor null keys meet in one group.
     """
     rows = written(piece_rows.withColumn("_n", F.monotonically_increasing_id()), "pieces")
@@ -114,6 +119,7 @@ def packed(piece_rows: DataFrame) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents; see pieces and packed for nulls and other odd rows."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

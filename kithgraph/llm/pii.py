@@ -130,7 +130,12 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Counts and spans of personal data per document (op10's contract). Columns but doc_id and text are ignored."""
+    """Counts and spans of personal data per document (op10's contract).
+
+    Null and empty texts have none; very long texts are searched whole. Repeated rows each give a row; spans of several
+    kinds at one place are all listed, by start and kind. An empty table gives no rows. Columns but doc_id and text are
+    ignored, whatever their names.
+    """
     rows = with_spans(docs.select("doc_id", text_of().alias("text"))).drop("text")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"] < len(BASE))
@@ -138,10 +143,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
-    """Documents with personal data masked and n_chars counted anew; same columns."""
+    """Documents with personal data masked and n_chars counted anew; same columns, whatever their names. Null texts become empty."""
     rows = with_spans(packed_rows(docs))
     return unpacked_rows(rows.withColumn("masked", redacted(F.col("text"), F.col("spans"))), docs, "masked")
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; see personal_data for nulls and other odd rows."""
     return personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
