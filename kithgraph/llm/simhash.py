@@ -267,28 +267,50 @@ def covered(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return same.unionByName(edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
 
+def not_joined(shared: DataFrame, roots: DataFrame, nodes: DataFrame, keep: Scratch) -> DataFrame:
+    """The rows (s, node, n, root, top, sketch) under keys of several roots; top is the most frequent root there."""
+    rooted = shared.join(roots, "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("root"))
+    counts = rooted.groupBy("s", "root").agg(F.count("*").alias("of"))
+    top = counts.groupBy("s").agg(F.max(F.struct("of", "root"))["root"].alias("top"), F.count("*").alias("roots")).where("roots > 1").select("s", "top")
+    return keep(rooted.join(top, "s").join(nodes.select("node", "sketch"), "node"), "not-joined")
+
+
+def some_pairs(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each row outside the top root with a few others under its key: the next members of the top root on
+    both sides, and the next row, in a random order that differs from key to key."""
+    draw, members = F.xxhash64("s", "node"), F.when(F.col("root") == F.col("top"), F.struct("node", "n", "root"))
+    picks = []
+    for order in (draw, draw.desc()):
+        row = Window.partitionBy("s").orderBy(order, "node")
+        picks += [F.last(members, True).over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lag(F.struct("node", "n", "root")).over(row)]
+    met = rest.withColumn("picks", F.array(*picks)).where("root <> top").select("node", "n", "root", F.explode("picks").alias("p"))
+    return met.where(F.col("p").isNotNull() & (F.col("p.root") != F.col("root")) & sizes_fit(F.col("p.n"), F.col("n"))).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, keep: Scratch) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of sets of similarity 0.8 or more.
 
     docs: _k1, _k2, text. nodes: node, the key of one document, n, fp, sketch, keys. The covering proposes what is within
-    its radius, and each node's neighbours by size under each shared key; true ones of these join groups of near copies
-    at the cost of a chain. Then come all pairs under a key that those links have not joined. So a group is never gathered
-    in one place, and a group of near copies is never compared with itself.
+    its radius, and under each shared key a node's neighbours by size and in a random order; then, under keys that hold
+    several roots still, some members of the most frequent one. True ones of these join groups of near copies at the cost
+    of a chain. Last come all pairs under a key that those links have not joined. So a group is never gathered in one
+    place, and a group of near copies is never compared with itself.
     """
-    row = Window.partitionBy("s").orderBy("n", "node")
-    held = nodes.select("node", "n", F.explode("keys").alias("s"))
-    held = held.withColumn("before", F.lag(F.struct("node", "n")).over(row)).withColumn("after", F.lead("node").over(row))
+    by_size, at_random = Window.partitionBy("s").orderBy("n", "node"), Window.partitionBy("s").orderBy(F.xxhash64("node", "s"), "node")
+    held, one = nodes.select("node", "n", F.explode("keys").alias("s")), F.struct("node", "n")
+    held = held.withColumn("before", F.lag(one).over(by_size)).withColumn("after", F.lead("node").over(by_size)).withColumn("drawn", F.lag(one).over(at_random))
     shared = keep(held.where("before is not null or after is not null").drop("after"), "shared-shingles")
-    chain = shared.where(sizes_fit(F.col("before.n"), F.col("n"))).select(F.col("before.node").alias("a"), F.col("node").alias("b"))
+    chain = shared.select("node", "n", F.explode(F.array("before", "drawn")).alias("p")).where(F.col("p").isNotNull() & sizes_fit(F.col("p.n"), F.col("n")))
+    chain = chain.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+    to_root = lambda r: r.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = keep(components(true_links(chain.unionByName(covered(nodes)), docs, nodes, keep), keep), "roots")
-    rooted = shared.join(roots, "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("root"))
-    counts = rooted.groupBy("s", "root").agg(F.count("*").alias("of"))
-    top = counts.groupBy("s").agg(F.max(F.struct("of", "root"))["root"].alias("top"), F.count("*").alias("roots")).where("roots > 1").select("s", "top")
-    rest = keep(rooted.join(top, "s").join(nodes.select("node", "sketch"), "node"), "open-shingles")
+    more = true_links(some_pairs(not_joined(shared, roots, nodes, keep)), docs, nodes, keep)
+    roots = keep(components(to_root(roots).unionByName(more), keep), "roots")
+    rest = not_joined(shared, roots, nodes, keep)
     # of two roots under one s, one at least is not the most frequent there; the join tests a pair before it makes a row of it
     x, y = rest.alias("x"), rest.where("root <> top").alias("y")
     met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & may_be_alike("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(true_links(met, docs, nodes, keep))
+    return to_root(roots).unionByName(true_links(met, docs, nodes, keep))
 
 
 def winners(docs: DataFrame) -> DataFrame:
