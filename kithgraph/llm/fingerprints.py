@@ -7,6 +7,7 @@ bucket that holds different texts gets the SHA-256 as a suffix, so equal fingerp
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,12 +30,16 @@ def key_columns(canon: str, prefix: str = "") -> list[Column]:
     return [F.xxhash64(canon).alias(f"{prefix}a"), F.xxhash64(F.lit("wide"), F.col(canon)).alias(f"{prefix}b")]
 
 
+def constant(values: list, kind: str) -> Column:
+    """An array of constants, which the optimizer folds out of one string."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Each row with `next_text`, the text of the row that follows by ascending key; after the last comes the first.
 
     One shuffle: rows go by ranges of the key, whose bounds are sampled quantiles, and each range ends in a copy of the
-    head of the range after it. Only one key per range passes through the driver and comes back as a row of arrays. Ties
-    in the key are ordered by the hash of the text, null keys come first.
+    head of the range after it. Only one key per range passes through the driver and comes back as constants. Ties in the key are ordered by the hash of the text, null keys come first.
     """
     spark = docs.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -42,20 +47,18 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     step = max(1, math.isqrt(len(cuts)))  # bounds are looked up by block, then within the block
     blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)] + [[]]
     tops = [x[-1] for x in blocks if len(x) == step]
-    bounds = spark.createDataFrame([(tops, blocks)], "_tops array<long>, _blocks array<array<long>>")
     below = lambda array: F.size(F.filter(array, lambda b: b <= F.col(key)))
-    passed = below(F.col("_tops"))
-    place = F.when(F.col(key).isNull(), 0).otherwise(passed * step + below(F.get("_blocks", passed)) + 1)
-    rows = docs.crossJoin(bounds).withColumn("_range", place.cast("int")).drop("_tops", "_blocks")  # with one row
+    passed = below(constant(tops, "array<bigint>"))
+    place = F.when(F.col(key).isNull(), 0).otherwise(passed * step + below(F.get(constant(blocks, "array<array<bigint>>"), passed)) + 1)
+    rows = docs.withColumn("_range", place.cast("int"))
     heads = rows.groupBy("_range").agg(F.min(key).alias("head")).orderBy("_range").collect()  # a row per range
     if not heads:
         return docs.withColumn("next_text", F.lit(None).cast("string"))
     first, before = [None] * (len(cuts) + 2), [None] * (len(cuts) + 2)
     for i, r in enumerate(heads):
         first[r["_range"]], before[r["_range"]] = r["head"], heads[i - 1]["_range"]
-    known = spark.createDataFrame([(first, before)], "_first array<long>, _before array<int>")
-    is_head = F.get("_first", F.col("_range")).eqNullSafe(F.col(key))
-    copies = rows.crossJoin(known).where(is_head).withColumn("_range", F.get("_before", F.col("_range"))).drop("_first", "_before")
+    is_head = F.get(constant(first, "array<bigint>"), F.col("_range")).eqNullSafe(F.col(key))
+    copies = rows.where(is_head).withColumn("_range", F.get(constant(before, "array<int>"), F.col("_range")))
     order = Window.partitionBy("_range").orderBy("_copy", F.col(key).asc_nulls_first(), F.xxhash64(text))
     both = rows.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)))
     return both.withColumn("next_text", F.lead(text).over(order)).where(~F.col("_copy")).drop("_range", "_copy")
