@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kithgraph.llm import bpe
-from kithgraph.llm.common import by_rows, new_path, text_of, written
+from kithgraph.llm.common import Scratch, by_rows, new_path, text_of, written
 
 END_ID = 2
 #: Of chunks: ids in the rolling window, mean ids between borders beyond the least, least and most ids.
@@ -102,39 +102,40 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, wid
     """
     if max(end_id, bpe.encoder(vocabulary).library.get_vocab_size() - 1) >= 256**width:
         raise ValueError(f"ids of this vocabulary need more than {width} bytes")
-    staged = written(encoded(docs, vocabulary, end_id, width).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    uses = staged.select("row", F.posexplode("digests").alias("i", "digest"))
-    range_of = written(uses.groupBy("digest").agg(F.min("row").alias("owner"), F.max("row").alias("last")).where("owner <> last").drop("last"), "owners")
-    met = uses.join(range_of, "digest")
-    pick = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("i"))))
-    notes = met.groupBy("row").agg(pick(F.col("row") != F.col("owner")).alias("foreign"), pick(F.col("row") == F.col("owner")).alias("shared"))
-    notes = notes.join(staged.select("row", "doc_id"), "row").select(F.col("doc_id").cast("long").alias("key"), "row", "foreign", "shared")
-    full = staged.withColumn("key", F.col("doc_id").cast("long"))
-    both = full.withColumn("foreign", F.lit(None).cast("array<int>")).withColumn("shared", F.lit(None).cast("array<int>")).unionByName(notes, allowMissingColumns=True)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, noted = TaskContext.get().partitionId(), (None, (), ())
-        for rows in batches:
-            out = []
-            for doc, row, n, crc, digests, sizes, ids, foreign, shared in zip(*[rows[c].tolist() for c in PLACED], strict=True):
-                if foreign is not None:  # a note comes before its document
-                    noted = (row, set(foreign), set(shared))
-                    continue
-                away, asked = noted[1:] if noted[0] == row else ((), ())
-                ends = np.cumsum(sizes).tolist()
-                own, seen, held = [], set(), []
-                for i, (digest, end, size) in enumerate(zip(digests, ends, sizes, strict=True)):
-                    if i not in away and digest not in seen:
-                        own.append(i)
-                        held.append(ids[width * (end - size) : width * end])
-                        seen.add(digest)
-                out.append((doc, row, part, int(n), int(crc), leaf(doc, digests), list(digests), list(sizes), own, [i for i in own if i in asked], b"".join(held)))
-            yield pd.DataFrame(out, columns=["doc_id", "row", "part", "n_tokens", "crc", "leaf", "digests", "sizes", "own", "shared", "ids"])
-
-    ordered = both.repartitionByRange(parts, F.col("key").asc_nulls_first(), "row").sortWithinPartitions(F.col("key").asc_nulls_first(), "row", F.col("foreign").isNull())
-    stored = by_rows(ordered.select(*PLACED), place, STORED)
-    stored.write.option("compression", "zstd").parquet(f"{path}/store")
+    with Scratch(docs.sparkSession) as keep:
+        staged = keep(encoded(docs, vocabulary, end_id, width).withColumn("row", F.monotonically_increasing_id()), "encoded")
+        uses = staged.select("row", F.posexplode("digests").alias("i", "digest"))
+        range_of = keep(uses.groupBy("digest").agg(F.min("row").alias("owner"), F.max("row").alias("last")).where("owner <> last").drop("last"), "owners")
+        met = uses.join(range_of, "digest")
+        pick = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("i"))))
+        notes = met.groupBy("row").agg(pick(F.col("row") != F.col("owner")).alias("foreign"), pick(F.col("row") == F.col("owner")).alias("shared"))
+        notes = notes.join(staged.select("row", "doc_id"), "row").select(F.col("doc_id").cast("long").alias("key"), "row", "foreign", "shared")
+        full = staged.withColumn("key", F.col("doc_id").cast("long"))
+        both = full.withColumn("foreign", F.lit(None).cast("array<int>")).withColumn("shared", F.lit(None).cast("array<int>")).unionByName(notes, allowMissingColumns=True)
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            part, noted = TaskContext.get().partitionId(), (None, (), ())
+            for rows in batches:
+                out = []
+                for doc, row, n, crc, digests, sizes, ids, foreign, shared in zip(*[rows[c].tolist() for c in PLACED], strict=True):
+                    if foreign is not None:  # a note comes before its document
+                        noted = (row, set(foreign), set(shared))
+                        continue
+                    away, asked = noted[1:] if noted[0] == row else ((), ())
+                    ends = np.cumsum(sizes).tolist()
+                    own, seen, held = [], set(), []
+                    for i, (digest, end, size) in enumerate(zip(digests, ends, sizes, strict=True)):
+                        if i not in away and digest not in seen:
+                            own.append(i)
+                            held.append(ids[width * (end - size) : width * end])
+                            seen.add(digest)
+                    out.append((doc, row, part, int(n), int(crc), leaf(doc, digests), list(digests), list(sizes), own, [i for i in own if i in asked], b"".join(held)))
+                yield pd.DataFrame(out, columns=["doc_id", "row", "part", "n_tokens", "crc", "leaf", "digests", "sizes", "own", "shared", "ids"])
+
+        ordered = both.repartitionByRange(parts, F.col("key").asc_nulls_first(), "row").sortWithinPartitions(F.col("key").asc_nulls_first(), "row", F.col("foreign").isNull())
+        stored = by_rows(ordered.select(*PLACED), place, STORED)
+        stored.write.option("compression", "zstd").parquet(f"{path}/store")
     lines = summary(docs.sparkSession.read.schema(T._parse_datatype_string(STORED)).parquet(f"{path}/store"))
     docs.sparkSession.createDataFrame(lines, "part int, rows long, tokens long, root string").coalesce(1).write.parquet(f"{path}/manifest")
     return merkle([bytes.fromhex(r[3]) for r in lines]).hex()
