@@ -128,12 +128,13 @@ def greedy_events(posts: DataFrame, days: int = 21, above: float = 0.5, inclusiv
     posts: id, date, members (accounts, or account:role). By (date, id), a post joins the first event (with `best` the most
     alike) whose members are alike above the bound (`inclusive`: at least) and whose first date is within `days`; its members
     join the event's. The event is named by its least post. Posts that share no member within the days can't meet, so the
-    fold runs per component of those that do; a component is one task's work by the nature of the fold. Posts without a date
-    or members are events of their own.
+    fold runs per component of those that do; a component is one task's work by the nature of the fold, and one of a single
+    post needs none. Posts without a date or members are events of their own.
     """
     usable = (F.col("date").isNotNull()) & (F.size("members") > 0)
     rows = posts.where(usable)
     tagged = rows.join(linked_components(rows, days), "id").select("component", "id", "date", F.array_sort("members").alias("members"))
+    tagged = tagged.withColumn("n", F.count("*").over(Window.partitionBy("component")))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         events: list[dict] = []
@@ -156,7 +157,8 @@ def greedy_events(posts: DataFrame, days: int = 21, above: float = 0.5, inclusiv
         return pd.DataFrame(out, columns=["event_id", "post_id"])
 
     alone = posts.where(~usable | F.col("date").isNull() | F.col("members").isNull()).select(F.col("id").alias("event_id"), F.col("id").alias("post_id"))
-    return tagged.groupBy("component").applyInPandas(fold, "event_id long, post_id long").unionByName(alone)
+    single = tagged.where("n = 1").select(F.col("id").alias("event_id"), F.col("id").alias("post_id"))  # nothing to fold
+    return tagged.where("n > 1").drop("n").groupBy("component").applyInPandas(fold, "event_id long, post_id long").unionByName(single).unionByName(alone)
 
 
 def stem(handle: Column) -> Column:

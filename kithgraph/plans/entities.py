@@ -20,7 +20,10 @@ def members(spark: SparkSession, d: str) -> DataFrame:
 
 @query("er01_greedy_events")
 def er01(spark: SparkSession, d: str) -> DataFrame:
-    return E.greedy_events(members(spark, d).where("block % 10 = 1").drop("block"), days=3, above=0.3)
+    """Orders as posts of their customer, with the operator's own days and similarity: members of one customer only can be shared."""
+    posts = members(spark, d)
+    named = F.transform("members", lambda m: F.concat_ws(":", F.col("block").cast("string"), m.cast("string")))
+    return E.greedy_events(posts.select("id", "date", named.alias("members")))
 
 
 MATCH_SQL = f"""{SETS_SQL}, o AS (SELECT o_orderkey AS k, o_custkey AS b, CAST(o_orderdate AS DATE) AS dt FROM orders JOIN n ON n.k = o_orderkey),
@@ -74,7 +77,7 @@ def er09(spark: SparkSession, d: str) -> DataFrame:
     """Parts as accounts: every tenth has a twin whose name differs in punctuation."""
     k = F.col("p_partkey")
     base = F.concat_ws("", F.split("p_name", " "))
-    accounts = table(spark, d, "part").where("p_partkey <= 400").select(k.alias("id"), F.when(k % 10 == 0, F.concat(base, F.lit("_"), (k - 1).cast("string"))).otherwise(F.concat(base, k.cast("string"))).alias("username"), F.lit(None).cast("string").alias("full_name"), F.lit(None).cast("string").alias("url"), F.lit("").alias("biography"))
+    accounts = table(spark, d, "part").select(k.alias("id"), F.when(k % 10 == 0, F.concat(base, F.lit("_"), (k - 1).cast("string"))).otherwise(F.concat(base, k.cast("string"))).alias("username"), F.lit(None).cast("string").alias("full_name"), F.lit(None).cast("string").alias("url"), F.lit("").alias("biography"))
     return E.alias_signals(accounts)
 
 

@@ -141,9 +141,9 @@ def url01(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.host("url").alias("host"))
 
 
-@query("url02_key", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://(www\.)?', ''), '#.*$', ''), '/+$', '') AS key FROM pages WHERE NOT contains(url, '?')")
+@query("url02_key", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(www\.)?', ''), '#.*$', ''), '/+($|\?)', '\1', 'g') AS key FROM pages")
 def url02(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").where(~F.contains("url", F.lit("?"))).select("page_id", T.url_key("url").alias("key"))
+    return table(spark, d, "pages").select("page_id", T.url_key("url").alias("key"))
 
 
 @query("url04_shortcode", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN 'S' || CAST(o_orderkey AS VARCHAR) END AS shortcode FROM orders")

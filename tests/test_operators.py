@@ -232,3 +232,20 @@ def test_watermarked_yield(spark, tmp_path):
     q = ingest.windowed_yield(ingest.observations(spark, f"{tmp_path}/in"), "ts", "kind").writeStream.format("memory").queryName("yields").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.n, r.users) for r in spark.table("yields").collect()] == [(3, 3)]
+
+
+def test_tables_that_are_rebuilt_or_frozen(spark, tmp_path):
+    import pytest
+
+    from kithgraph.operators import currency
+
+    path = f"file://{tmp_path}/t"
+    first = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    assert sorted(map(tuple, currency.rebuilt(first, path).collect())) == [(1, "a"), (2, None)]
+    assert currency.rebuilt(first.where("k = 1"), path).count() == 1 and currency.rebuilt(first.limit(0), path).count() == 0
+    mark = currency.frozen(first, f"{path}-frozen")
+    assert mark == currency.frozen(first.orderBy("k", ascending=False), f"{path}-again") and mark.startswith("2:")
+    with pytest.raises(Exception, match="exist"):
+        currency.frozen(first, f"{path}-frozen")
+    with pytest.raises(ValueError):
+        currency.stale(first)
