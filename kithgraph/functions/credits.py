@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.functions.text import ordered_role
@@ -51,6 +51,12 @@ def credit_lines(posts: DataFrame) -> DataFrame:
     return each.select("post_id", "line_no", "role_raw", F.lower("handle").alias("handle"), ordered_role(F.col("role_raw"), ROLES).alias("role"))
 
 
+def roles_of(caption: Column) -> Column:
+    """The distinct roles of a caption's credit lines, within the row."""
+    lines = F.transform(F.split(F.coalesce(caption, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    return F.array_distinct(F.transform(F.filter(lines, lambda x: x.rlike(LINE)), lambda x: ordered_role(F.trim(F.regexp_extract(x, LINE, 1)), ROLES)))
+
+
 def has_stack_raw(credits: DataFrame, least: int = 3) -> DataFrame:
     """Posts with at least so many distinct labels as written."""
     return credits.groupBy("post_id").agg(F.countDistinct("role_raw").alias("n")).where(F.col("n") >= least).select("post_id")

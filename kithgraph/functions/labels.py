@@ -19,7 +19,7 @@ CONTEXTS = [
     ("ceremony", r"\bceremony\b"),
     ("reception", r"\breception\b"),
 ]
-#: People of the event, who are never vendors.
+#: Our own rules: people of the event, who are never vendors.
 PARTICIPANTS = [
     ("couple", r"^((the|main|real|styled) )?(couple|newlyweds|lovers|bride (&|and|\+) groom)$"),
     ("bride", r"^((the|our|beautiful) )?(bride|brides)$"),
@@ -28,12 +28,12 @@ PARTICIPANTS = [
     ("muse", r"^(muse|muses)$"),
     ("host_family", r"^(hosts?|hosted by|host family|parents)$"),
 ]
-#: Labels that name no credit.
+#: Our own rules: labels that name no credit.
 PRESS = r"^(featured( (on|in|by))?|published( (on|in))?|publication|press|magazine|as seen (on|in)|blog|repost( from)?)$"
 NOISE = r"^(by|for|with|on|at|and|of|to|day|events?|weddings?|vendors?|vendor team|team|partners?|sponsors?|sponsored by)$"
-#: Labels that are only a place of the day mean its venue.
+#: Our own rule: labels that are only a place of the day mean its venue.
 PHASE_VENUE = r"^(church|parish|chapel|temple|synagogue|cathedral|venue|location|site)?$"
-#: Roles by the first rule that the end of a label's part meets.
+#: Our own rules: roles by the first rule that the end of a label's part meets.
 HEADS = [
     ("second_shooter", r"\b(second|associate|assistant|bts) (photog|photographers?|shooters?)$"),
     ("photo_booth", r"\b(photo ?booth|360 booth|booth)$"),

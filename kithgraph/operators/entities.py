@@ -53,12 +53,21 @@ def within_edits(names: DataFrame, most: int) -> DataFrame:
 def best_match(candidates: DataFrame, events: DataFrame) -> DataFrame:
     """Per candidate the most alike event of its block, by Jaccard then least event id; none gives nulls.
 
-    Both: id, block, date, members. Candidates without a block are left out.
+    Both: id, block, date, members. Candidates without a block are left out. Pairs meet on (block, member), so only events
+    that share a member are counted; a candidate that shares none has the block's least event, at a likeness of 0.
     """
-    met = candidates.where("block is not null").alias("c").join(events.alias("e"), F.col("c.block") == F.col("e.block"), "left")
-    scored = met.select(F.col("c.id").alias("candidate_id"), F.col("e.id").alias("event_id"), jaccard(F.col("c.members"), F.col("e.members")).alias("jaccard"), F.abs(F.datediff("c.date", "e.date")).alias("days"))
-    best = scored.groupBy("candidate_id").agg(F.min_by(F.struct("event_id", "jaccard", "days"), F.struct(-F.coalesce("jaccard", F.lit(-1.0)), "event_id")).alias("m"))
-    return best.select("candidate_id", "m.*")
+    sized = lambda df, i: df.where("block is not null").select(F.col("id").alias(i), "block", F.col("date").alias(f"{i}_date"), F.array_distinct(F.coalesce("members", F.array())).alias("m"))
+    c, e = sized(candidates, "candidate_id"), sized(events, "event_id")
+    each = lambda df, i: df.select(i, "block", F.explode("m").alias("member"))
+    met = each(c, "candidate_id").join(each(e, "event_id"), ["block", "member"]).groupBy("candidate_id", "event_id").agg(F.count("*").alias("both"))
+    size = lambda df, i: df.select(i, F.col(f"{i}_date"), F.size("m").alias(f"{i}_n"))
+    scored = met.join(size(c, "candidate_id"), "candidate_id").join(size(e, "event_id"), "event_id")
+    scored = scored.withColumn("jaccard", F.col("both") / (F.col("candidate_id_n") + F.col("event_id_n") - F.col("both"))).withColumn("days", F.abs(F.datediff("candidate_id_date", "event_id_date")))
+    best = scored.groupBy("candidate_id").agg(F.min_by(F.struct("event_id", "jaccard", "days"), F.struct(-F.col("jaccard"), "event_id")).alias("best"))
+    least = e.groupBy("block").agg(F.min_by(F.struct("event_id", "event_id_date"), "event_id").alias("least"))
+    rows = c.join(best, "candidate_id", "left").join(least, "block", "left")
+    other = F.when(F.col("least").isNotNull(), F.struct(F.col("least.event_id").alias("event_id"), F.lit(0.0).alias("jaccard"), F.abs(F.datediff("candidate_id_date", "least.event_id_date")).alias("days")))
+    return rows.select("candidate_id", F.coalesce("best", other).alias("m")).select("candidate_id", "m.*")
 
 
 def reconciled(candidates: DataFrame, events: DataFrame) -> DataFrame:
@@ -87,14 +96,16 @@ def merge_groups(candidates: DataFrame, days: int = 400) -> DataFrame:
 def duplicate_pairs(events: DataFrame, keys: dict[str, DataFrame], days: int = 400) -> DataFrame:
     """Pairs of events at one venue that share something, within so many days, with the reasons in order.
 
-    events: id, venue, date. keys: reason -> (id, key). Each reason is a blocking join on venue and key.
+    events: id, venue, date. keys: reason -> (id, key). Each reason is a join on venue, key and a window of `days`, of
+    which each event looks into its own and the next on both sides.
     """
     every = None
     for reason, key in keys.items():
-        side = events.join(key, "id").where("venue is not null and key is not null")
-        a = side.select(F.col("id").alias("id_a"), "venue", "key", F.col("date").alias("date_a"))
-        b = side.select(F.col("id").alias("id_b"), "venue", "key", F.col("date").alias("date_b"))
-        part = a.join(b, ["venue", "key"]).where((F.col("id_a") < F.col("id_b")) & (F.abs(F.datediff("date_a", "date_b")) <= days)).select("id_a", "id_b", F.lit(reason).alias("reason")).distinct()
+        side = events.join(key, "id").where("venue is not null and key is not null and date is not null")
+        window = F.floor(F.unix_date("date") / (days + 1))
+        a = side.select(F.col("id").alias("id_a"), "venue", "key", F.col("date").alias("date_a"), window.alias("window"))
+        b = side.select(F.col("id").alias("id_b"), "venue", "key", F.col("date").alias("date_b"), F.explode(F.sequence(window - 1, window + 1)).alias("window"))
+        part = a.join(b, ["venue", "key", "window"]).where((F.col("id_a") < F.col("id_b")) & (F.abs(F.datediff("date_a", "date_b")) <= days)).select("id_a", "id_b", F.lit(reason).alias("reason")).distinct()
         every = part if every is None else every.unionByName(part)
     return every.groupBy("id_a", "id_b").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 

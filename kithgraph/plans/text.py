@@ -51,9 +51,9 @@ def txt02(spark: SparkSession, d: str) -> DataFrame:
     """SELECT l_orderkey AS post_id, 2 * least(count(DISTINCT l_returnflag), 5) + CASE WHEN bool_or(l_returnflag = 'R') AND bool_or(l_returnflag = 'A') THEN 3 ELSE 0 END + 1 AS score FROM lineitem GROUP BY 1""",
 )
 def txt10(spark: SparkSession, d: str) -> DataFrame:
-    posts = captions(spark, d)
-    roles = C.credit_lines(posts).groupBy("post_id").agg(F.collect_set("role").alias("roles"))
-    return posts.join(roles, "post_id", "left").select("post_id", V.candidate_score(F.col("roles"), F.col("caption")).cast("long").alias("score"))
+    """Roles are found within the row, so no post is moved once its caption is made."""
+    posts = captions(spark, d).select("post_id", "caption", C.roles_of(F.col("caption")).alias("roles"))
+    return posts.select("post_id", V.candidate_score(F.col("roles"), F.col("caption")).cast("long").alias("score"))
 
 
 @query(
@@ -105,20 +105,35 @@ def txt18(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", F.array_join(T.hashtags(caption), ",").alias("tags"))
 
 
+def url_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The URLs of the pages with a path out of a list by their id, so that every rule of the score meets some."""
+    tails = F.array(*[F.lit(x) for x in URL_TAILS])
+    tail = F.get(tails, (F.col("page_id") % len(URL_TAILS)).cast("int"))
+    return table(spark, d, "pages").select("page_id", F.concat("url", tail).alias("url"), (F.col("page_id") % 2 == 0).alias("nav"), (F.col("page_id") % 9).alias("parent"))
+
+
+URL_TAILS = [
+    "", "/weddings", "/Bridal-Suite", "/private-events/rooftop", "/faq", "/floor-plans", "/event-spaces", "/rooms", "/rooms/wedding-block", "/preferred-vendors", "/about", "/dining", "/dining/private",
+    "/blog/weddings", "/menu.pdf", "/annual.pdf", "/photo.JPG", "/wp-content/uploads/x", "/weddings?s=1", "/spaces/ballroom#top", "/the-loft", "/wedding-page", "/page/12", "/stay/offers",
+]
+TAILS_SQL = "[" + ", ".join(f"'{x}'" for x in URL_TAILS) + "]"
+# RE2 has no look-ahead: the two rules with one are written out
+ADD_SQL = " + ".join(f"CASE WHEN regexp_matches(path, '{p}') THEN {n} ELSE 0 END" for p, n in U.SCORES if "(?!" not in p)
+LODGING_SQL = r"regexp_matches(path, '/accommodations?\b|/stay\b|/suites?\b|/reservations?\b|/book(ing)?\b|/offers?\b|/spa\b') OR (regexp_matches(path, '/rooms?') AND NOT regexp_matches(path, '/rooms?.*(event|wedding)')) OR (regexp_matches(path, '/dining') AND NOT regexp_matches(path, '/dining.*private'))"
+
+
 @query(
     "txt19_url_score",
-    r"""SELECT page_id, CASE WHEN regexp_matches(path, '(?i)/weddings?\b|wedding') THEN 6 ELSE 0 END
-      + CASE WHEN regexp_matches(path, '(?i)/private-events?\b|/special-events?\b|/events?\b|/venue-rental\b|/host-an-event\b|/facility-rental\b|/celebrate\b|/rentals?\b|/packages?\b|/pricing\b|/rates?\b|/investment\b') THEN 5 ELSE 0 END
-      + CASE WHEN regexp_matches(path, '(?i)/faq\b|/policies\b|/questions\b|/terms\b|/legal\b|/contract\b|/agreement\b|/guidelines\b|/planning\b') THEN 6 ELSE 0 END
-      + CASE WHEN regexp_matches(path, '(?i)floor-?plans?|/capacit|/ballroom\b|/venues?\b') THEN 4 ELSE 0 END
-      + CASE WHEN regexp_matches(path, '(?i)/preferred\b|/vendors?\b|/partners?\b|/caterers?\b|/approved\b|/resources?\b') THEN 3 ELSE 0 END
-      + CASE WHEN regexp_matches(path, '(?i)/about\b|/contact\b|/amenities\b|/features\b|/gallery\b|/tour\b|/virtual-tour\b|/sustainability\b') THEN 2 ELSE 0 END
-      + CASE WHEN regexp_matches(path, '(?i)/accommodations?\b|/stay\b|/suites?\b|/reservations?\b|/book(ing)?\b|/offers?\b|/spa\b') THEN -10 ELSE 0 END
-      + CASE WHEN regexp_matches(path, '(?i)/blog\b|/news\b|/press\b|/careers?\b|/jobs?\b|/shop\b|/cart\b|/login\b|/account\b|/tag/|/category/|/author/|/calendar\b|/tickets?\b|/donate\b|/staff\b|/privacy') THEN -10 ELSE 0 END AS score
-    FROM (SELECT page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages)""",
+    f"""WITH u AS (SELECT page_id, url || {TAILS_SQL}[1 + page_id % {len(URL_TAILS)}] AS url FROM pages),
+    p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(.*)$', 1)) AS whole FROM u)
+    SELECT page_id, CASE WHEN NOT regexp_matches(path, '\\.pdf$') AND regexp_matches(path, '{U.NO_PAGE}') THEN NULL ELSE {ADD_SQL} + CASE WHEN {LODGING_SQL} THEN -10 ELSE 0 END
+      + CASE WHEN regexp_matches(path, '{U.SPACE}') AND regexp_matches(path, '{U.SPACE_CONTEXT}') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(regexp_replace(path, '[-_/]+', ' ', 'g'), '{U.SPACE_NAME}') THEN 4 ELSE 0 END
+      + CASE WHEN regexp_matches(whole, '{U.NOISE}') THEN -10 ELSE 0 END + CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN page_id % 9 >= 5 THEN 3 ELSE 0 END
+      + CASE WHEN regexp_matches(path, '\\.pdf$') THEN CASE WHEN regexp_matches(url, '{U.RELEVANT_PDF}') THEN 5 ELSE -5 END ELSE 0 END END AS score FROM p""",
 )
 def txt19(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", U.url_score(F.col("url")).alias("score"))
+    score = U.url_score(F.col("url"), from_nav=F.col("nav"), parent_score=F.col("parent"))
+    return url_variants(spark, d).select("page_id", score.alias("score"))
 
 
 @query("txt21_html_text")
