@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,9 @@ LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Characters below this are split here, which covers the alphabetic scripts.
 TABLED = 0x3000
 CHUNK_CHARS = 600_000
+#: What an apostrophe takes with it: one letter, or two as one number.
+SHORT = [ord(c) for c in "stmd"]
+LONG = [ord(a) << 16 | ord(b) for a, b in ("re", "ve", "ll")]
 #: Of a cache entry: the low bits hold the number of ids.
 LENGTH_BITS = 24
 #: Texts on which the splitting here must equal the library's.
@@ -53,6 +57,7 @@ class Encoder:
             if not 0xD800 <= c < 0xE000:
                 self.bytes.update(zip(chr(c).encode(), "".join(x for x, _ in split(chr(c))), strict=True))
         self.bytes.setdefault(0, split("\0")[0][0])
+        self.signs = dict(self.bytes)  # of a byte as a latin-1 character, the sign that stands for it
         self.values, self.others = np.random.default_rng(7).integers(1, 2**63, (2, TABLED), np.uint64) * np.uint64(2) + np.uint64(1)
         self._powers(1 << 16)
         self.split_here = True
@@ -72,13 +77,13 @@ class Encoder:
 
     def keep(self, hashes: list[int], seconds: list[int], words: list[str]) -> None:
         """Adds the ids of single pre-tokens, by the library's merges alone, to the cache."""
-        merge, signs = self.library.model.tokenize, self.bytes.__getitem__
-        for h, other, w in zip(hashes, seconds, words, strict=True):
-            found = [x.id for x in merge("".join(map(signs, w.encode())))]
-            self.cache[h] = len(self.places)
-            self.seconds.append(other)
-            self.places.append(len(self.pool) << LENGTH_BITS | len(found))
-            self.pool.extend(found)
+        merge, signs, at = self.library.model.tokenize, self.signs, len(self.pool)
+        found = [[x.id for x in merge(w.encode().decode("latin-1").translate(signs))] for w in words]
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        self.cache.update(zip(hashes, range(len(self.places), len(self.places) + len(found)), strict=True))
+        self.seconds.extend(seconds)
+        self.places.frombytes((((np.cumsum(lens) - lens + at) << LENGTH_BITS) | lens).astype(np.uint64).tobytes())
+        self.pool.extend(chain.from_iterable(found))
 
     def forget(self) -> None:
         self.cache.clear()
@@ -114,9 +119,9 @@ class Encoder:
         n = len(joined)
         if not n:
             return [np.zeros(0, np.uint32) for _ in texts]
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.intp)
         edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
-        kinds = self.kinds[codes]
+        kinds = self.kinds.take(codes)
         start = np.empty(n + 1, bool)
         start[1:n] = kinds[1:] != kinds[:-1]
         start[n] = True
@@ -127,24 +132,24 @@ class Encoder:
         last = np.flatnonzero((kinds[:-1] == SPACE) & (kinds[1:] != SPACE) & ~inner[1:n])
         start[last] = True
         start[last[codes[last] == 0x20] + 1] = False
-        for i in np.flatnonzero((codes == 0x27) & start[:n]).tolist():
-            stop = int(edges[np.searchsorted(edges, i, "right")])
-            tail = joined[i + 1 : min(i + 3, stop)]
-            m = 1 if tail[:1] in ("s", "t", "m", "d") and tail else 2 if tail in ("re", "ve", "ll") else 0
-            if m:
-                start[i + 1] = False
-                start[i + 1 + m] = True
+        quotes = np.flatnonzero((codes == 0x27) & start[:n])
+        stop = edges[np.searchsorted(edges, quotes, "right")]
+        one, two = (np.where(quotes + k < stop, codes[np.minimum(quotes + k, n - 1)], 0) for k in (1, 2))
+        size = np.where(np.isin(one, SHORT), 1, np.where(np.isin(one << 16 | two, LONG), 2, 0))
+        quotes, size = quotes[size > 0], size[size > 0]
+        start[quotes + 1] = False
+        start[quotes + 1 + size] = True
         begin = np.flatnonzero(start[:n])
         end = np.append(begin[1:], n)
         if n >= len(self.up):
             self._powers(n)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[codes] * self.up[:n])])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values.take(codes) * self.up[:n])])
         keys = (sums[end] - sums[begin]) * self.down[begin]
         which, distinct = pd.factorize(keys)
         first = np.empty(len(distinct), np.int64)
         first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-        other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.others[codes])])
-        second = ((other[end] - other[begin]) * np.uint64(0x9E3779B97F4A7C15) + (end - begin).astype(np.uint64)) * np.uint64(0x2545F4914F6CDD1D) + codes[begin]
+        other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.others.take(codes))])
+        second = ((other[end] - other[begin]) * np.uint64(0x9E3779B97F4A7C15) + (end - begin).astype(np.uint64)) * np.uint64(0x2545F4914F6CDD1D) + codes[begin].astype(np.uint64)
         if (second[first][which] != second).any():  # two pre-tokens with one hash
             return [np.array(x, np.uint32) for x in self.whole(texts)]
         names = distinct.tolist()
