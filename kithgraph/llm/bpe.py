@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 from array import array
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -57,7 +57,7 @@ class Encoder:
             if not 0xD800 <= c < 0xE000:
                 self.bytes.update(zip(chr(c).encode(), "".join(x for x, _ in split(chr(c))), strict=True))
         self.bytes.setdefault(0, split("\0")[0][0])
-        self.signs = dict(self.bytes)  # of a byte as a latin-1 character, the sign that stands for it
+        self.signs = np.array([ord(self.bytes.get(b, "\ufffd")) for b in range(256)], np.uint16)  # of a byte, the sign that stands for it
         self.values, self.others = np.random.default_rng(7).integers(1, 2**63, (2, TABLED), np.uint64) * np.uint64(2) + np.uint64(1)
         self._powers(1 << 16)
         self.split_here = True
@@ -76,9 +76,12 @@ class Encoder:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def keep(self, hashes: list[int], seconds: list[int], words: list[str]) -> None:
-        """Adds the ids of single pre-tokens, by the library's merges alone, to the cache."""
-        merge, signs, at = self.library.model.tokenize, self.signs, len(self.pool)
-        found = [[x.id for x in merge(w.encode().decode("latin-1").translate(signs))] for w in words]
+        """Adds the ids of single pre-tokens, by the library's merges alone, to the cache, in rows of their own at its end."""
+        merge, at, joined = self.library.model.tokenize, len(self.pool), "".join(words)
+        sizes = np.fromiter(map(len, words if joined.isascii() else map(str.encode, words)), np.int64, len(words))
+        signs = self.signs[np.frombuffer(joined.encode(), np.uint8)].astype("<u2").tobytes().decode("utf-16-le")
+        ends = np.cumsum(sizes)
+        found = [[x.id for x in merge(signs[a:b])] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
         lens = np.fromiter(map(len, found), np.int64, len(found))
         self.cache.update(zip(hashes, range(len(self.places), len(self.places) + len(found)), strict=True))
         self.seconds.extend(seconds)
@@ -153,16 +156,15 @@ class Encoder:
         if (second[first][which] != second).any():  # two pre-tokens with one hash
             return [np.array(x, np.uint32) for x in self.whole(texts)]
         names = distinct.tolist()
-        rows = list(map(self.cache.get, names))
-        missing = [i for i, row in enumerate(rows) if row is None]
-        if missing:
+        row = np.fromiter(map(self.cache.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(row < 0)
+        if len(missing):
             if len(self.cache) + len(missing) > self.most:
                 self.forget()
-                missing = range(len(names))
+                missing = np.arange(len(names))
             at = first[missing]
-            self.keep([names[i] for i in missing], second[at].tolist(), [joined[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
-            rows = list(map(self.cache.__getitem__, names))
-        row = np.array(rows, np.int64)
+            row[missing] = np.arange(len(self.places), len(self.places) + len(missing))
+            self.keep(distinct[missing].tolist(), second[at].tolist(), [joined[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
         if (np.array(self.seconds, np.uint64)[row] != second[first]).any():  # a pre-token and a kept one with one hash
             return [np.array(x, np.uint32) for x in self.whole(texts)]
         held = np.array(self.places, np.uint64)[row].astype(np.int64)
