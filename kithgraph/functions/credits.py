@@ -72,12 +72,89 @@ def has_any_credit(credits: DataFrame) -> DataFrame:
     return credits.select("post_id").distinct()
 
 
-#: Signs at the start of a line that stand for a role.
-SIGNS = {"📸": "photographer", "📷": "photographer", "🎥": "videographer", "💐": "florist", "🌸": "florist", "🎧": "dj", "🎶": "live_music", "🎂": "cake", "🍰": "cake", "💄": "makeup", "👗": "attire", "💍": "jewelry", "📍": "venue"}
+#: Signs that stand for a role, by the first group of which a run of signs has one; None is no vendor's.
+SIGN_GROUPS = [
+    (["📸", "📷"], "photographer"),
+    (["🎥", "📽", "🎞️", "🎬"], "videographer"),
+    (["💐", "🌸", "🌷", "🌹"], "florist"),
+    (["💄"], "makeup"),
+    (["💇"], "hair"),
+    (["📋", "🗓️", "📝", "📅"], "planner"),
+    (["🎧", "💽"], "dj"),
+    (["🎻", "🎷", "🎺", "🎸", "🎹"], "live_music"),
+    (["🎤", "🎶", "🎵"], "band"),
+    (["🍽️", "🍴", "🥗", "🍸", "🍹"], "catering"),
+    (["🍰", "🎂", "🧁"], "cake"),
+    (["👗", "👰"], "wedding_dress"),
+    (["🤵", "👔"], "menswear"),
+    (["💍"], "jewelry"),
+    (["💌", "✉️"], "stationery"),
+    (["🪑", "🎀", "🧺"], "rentals"),
+    (["💡"], "lighting_production"),
+    (["🚌", "🚎", "🚐", "🚗"], "transportation"),
+    (["🏨"], "accommodations"),
+    (["💒", "⛪", "🏡", "🏛️", "🏰", "📍"], "venue"),
+    (["🥂", "🎉", "✨", "🥳"], None),
+]
+#: Pictographs by code points, which every regular-expression library here knows, and what joins or tints them.
+PICTURES = r"\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{24C2}\x{25AA}-\x{25FE}\x{2600}-\x{27BF}\x{2934}\x{2935}\x{2B05}-\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}"
+JOINERS = r"\x{200D}\x{FE0F}"
+#: The forms of a labelled line; a colon wins over other separators, those over none at all.
+SIGNED = f"[A-Za-z &+/'’0-9#*\\x{{20E3}}{JOINERS}{PICTURES}]"
+TAIL = r"((?:@[A-Za-z0-9._]{2,30}[\s/,&]*)+)$"
+FORMS = [
+    rf"^\s*[•\-*]?\s*([A-Za-z]{SIGNED}{{1,40}}?)\s*:\s*(.*@.*)$",
+    rf"^\s*[•\-*]?\s*([A-Za-z]{SIGNED}{{1,40}}?)\s*[|\-–—/]+\s*(.*@.*)$",
+    rf"^\s*[•\-*]?\s*([A-Z]{SIGNED}{{0,39}})\s*{TAIL}",
+]
+SIGN_LINE = rf"^\s*([{PICTURES}][{PICTURES}{JOINERS}]{{0,7}})\s*[:|\-–—]?\s*{TAIL}"
+#: A label before a handle, and what parts several of them on one line.
+NEXT_LABEL = r"[A-Za-z][A-Za-z &+/'’]{0,35}?\s*[:|]\s*@"
+BETWEEN = r"(?: - | – | — | \| | • | · | // | / |;)\s*"
 
 
-def sign_credits(posts: DataFrame) -> DataFrame:
-    """Credits of lines that start with a sign in place of a label: (post_id, line_no, handle, role)."""
+def sign_role(run: Column) -> Column:
+    """The role of a run of signs; `other` for signs without one."""
+    out = None
+    for signs, role in SIGN_GROUPS:
+        has = F.contains(run, F.lit(signs[0]))
+        for sign in signs[1:]:
+            has = has | F.contains(run, F.lit(sign))
+        out = F.when(has, role or "other") if out is None else out.when(has, role or "other")
+    return out.otherwise("other")
+
+
+def labelled_lines(posts: DataFrame) -> DataFrame:
+    """(post_id, line_no, label, handle, source, sign_role) of lines with a label or with signs in its place.
+
+    A line with several labels before handles is cut between them. Labels may hold signs. Handles are lower-cased; lines
+    count from 0; null captions have none.
+    """
+    stripped = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     lines = posts.select("post_id", F.posexplode(F.split(F.coalesce("caption", F.lit("")), "\n")).alias("line_no", "line"))
-    role = F.coalesce(*[F.when(F.trim("line").startswith(sign), role) for sign, role in SIGNS.items()])
-    return lines.select("post_id", "line_no", role.alias("role"), F.explode(F.regexp_extract_all("line", F.lit(HANDLE), F.lit(1))).alias("handle")).where("role is not null").withColumn("handle", F.lower("handle"))
+    lines = lines.where(F.contains("line", F.lit("@"))).select("post_id", "line_no", stripped(F.col("line")).alias("line"))
+    several = F.regexp_count("line", F.lit(NEXT_LABEL)) >= 2
+    cut = F.when(several, F.split("line", f"{BETWEEN}(?={NEXT_LABEL})")).otherwise(F.array("line"))
+    parts = lines.select("post_id", "line_no", F.explode(F.transform(cut, stripped)).alias("part"))
+    form = lambda p, source: F.when(F.col("part").rlike(p), F.struct(stripped(F.regexp_extract("part", p, 1)).alias("label"), F.regexp_extract("part", p, 2).alias("rest"), F.lit(source).alias("source")))
+    found = parts.select("post_id", "line_no", F.coalesce(*[form(p, "credit_line") for p in FORMS], form(SIGN_LINE, "emoji_line")).alias("m")).where("m is not null")
+    each = found.select("post_id", "line_no", "m.label", F.explode(F.regexp_extract_all("m.rest", F.lit(HANDLE), F.lit(1))).alias("handle"), "m.source")
+    return each.select("post_id", "line_no", "label", F.lower("handle").alias("handle"), "source", F.when(F.col("source") == "emoji_line", sign_role(F.col("label"))).alias("sign_role"))
+
+
+def labelled_credits(posts: DataFrame) -> DataFrame:
+    """(post_id, line_no, label, handle, source, role, event_context, participant, rule): a row per role of each label's handle.
+
+    Labels that name people have a participant and no role. Distinct labels are classified once.
+    """
+    from kithgraph.functions.labels import with_roles
+
+    lines = labelled_lines(posts)
+    named = with_roles(lines.where("source = 'credit_line'").drop("sign_role"), "label").withColumn("role", F.explode_outer(F.split(F.nullif("roles", F.lit("")), ",")))
+    signs = lines.where("source = 'emoji_line'").select("post_id", "line_no", "label", "handle", "source", F.col("sign_role").alias("role"), F.lit("wedding_day").alias("event_context"), F.lit(None).cast("string").alias("participant"), F.lit("emoji").alias("rule"))
+    return named.select(*signs.columns).unionByName(signs)
+
+
+def sign_credits(posts: DataFrame) -> DataFrame:
+    """Credits of lines that start with signs in place of a label: (post_id, line_no, handle, role)."""
+    return labelled_lines(posts).where("source = 'emoji_line'").select("post_id", "line_no", "handle", F.col("sign_role").alias("role"))

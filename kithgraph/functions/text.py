@@ -203,3 +203,20 @@ def ordered_role(label: Column, roles: Sequence[tuple[str, Sequence[str]]], othe
 def java_regex(pattern: str) -> str:
     """A POSIX-style pattern for Java: word borders are written differently."""
     return re.sub(r"\\y", r"\\b", pattern)
+
+
+#: What the words around a handle in a biography say: its own account for events, or somebody related.
+OWN_ACCOUNT = r"(?i)events? account|weddings? account|special events|our events|book(?:ing)? (?:at|via)"
+RELATED = r"(?i)by @|managed? by|management|caterer at|in-house|hospitality|\bgroup\b|part of|sister"
+
+
+def mention_snippet(biography: Column | str, name: Column | str) -> Column:
+    """The first mention of a handle with 20 characters on either side; null where it is not mentioned as a whole handle."""
+    plain = F.regexp_replace(F.lower(F.trim(col(name))), "^@", "")
+    found = F.regexp_substr(col(biography), F.concat(F.lit(r"(?is).{0,20}?@\Q"), plain, F.lit(r"\E(?![a-z0-9._]).{0,20}")))
+    return F.when(plain != "", F.trim(found))
+
+
+def mention_kind(snippet: Column | str) -> Column:
+    """alias_like, related_not_alias or null; the first wins where both fit."""
+    return F.when(col(snippet).rlike(OWN_ACCOUNT), "alias_like").when(col(snippet).rlike(RELATED), "related_not_alias")

@@ -183,3 +183,13 @@ def golden_score(candidate: DataFrame, golden: DataFrame) -> DataFrame:
     met = golden.join(candidate.select("entity_id", "path", F.col("value").alias("_v"), F.lit(True).alias("_f")), ["entity_id", "path"], "left")
     per = met.groupBy("tier").agg(F.count("*").alias("facts"), F.count_if("_f").alias("found"), F.count_if(F.col("_v").eqNullSafe(F.col("value")) & F.col("_f")).alias("right"))
     return per.withColumn("accuracy", F.round(F.col("right") / F.col("facts"), 6))
+
+
+def rolled_back(versions: DataFrame, targets: DataFrame) -> DataFrame:
+    """All versions (id, version, doc) and, for each target (id, version), a new one after the last with the old one's content.
+
+    Nothing is rewritten. Targets without such a version, or that are the last one already, add nothing.
+    """
+    last = versions.groupBy("id").agg(F.max("version").alias("last"))
+    old = versions.join(targets.select("id", "version").distinct(), ["id", "version"]).join(last, "id").where("version < last")
+    return versions.select("id", "version", "doc").unionByName(old.select("id", (F.col("last") + 1).alias("version"), "doc"))

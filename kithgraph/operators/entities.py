@@ -133,45 +133,113 @@ def linked_components(rows: DataFrame, days: int) -> DataFrame:
             return label
 
 
-def greedy_events(posts: DataFrame, days: int = 21, above: float = 0.5, inclusive: bool = False, best: bool = False) -> DataFrame:
+def greedy_events(posts: DataFrame, days: int = 21, above: float = 0.5, inclusive: bool = False, best: bool = False, seeds: DataFrame | None = None) -> DataFrame:
     """(event_id, post_id) of the sequential fold that attaches each post to an earlier event or opens one.
 
-    posts: id, date, members (accounts, or account:role). By (date, id), a post joins the first event (with `best` the most
-    alike) whose members are alike above the bound (`inclusive`: at least) and whose first date is within `days`; its members
-    join the event's. The event is named by its least post. Posts that share no member within the days can't meet, so the
+    posts: id, date, members (accounts, or account:role) and, if known, couple. By (date, id), a post joins the first event
+    (with `best` the most alike) whose members are alike above the bound (`inclusive`: at least), whose first date is within
+    `days` and whose couple, where both name one, is the same; its members join the event's. The event is named by its least
+    post. seeds: events that exist already (id, date, members); posts meet them first, in the order of id, and the first
+    post that joins one sets its date; events of theirs keep the seed's id. Posts that share no member can't meet, so the
     fold runs per component of those that do; a component is one task's work by the nature of the fold, and one of a single
     post needs none. Posts without a date or members are events of their own.
     """
-    usable = (F.col("date").isNotNull()) & (F.size("members") > 0)
-    rows = posts.where(usable)
-    tagged = rows.join(linked_components(rows, days), "id").select("component", "id", "date", F.array_sort("members").alias("members"))
-    tagged = tagged.withColumn("n", F.count("*").over(Window.partitionBy("component")))
+    if "couple" not in posts.columns:
+        posts = posts.withColumn("couple", F.lit(None).cast("string"))
+    usable = F.coalesce(F.col("date").isNotNull() & (F.size("members") > 0), F.lit(False))
+    rows = posts.where(usable).select("id", "date", "members", "couple", F.lit(False).alias("seed"))
+    if seeds is not None:
+        old = seeds.where(usable).select(F.col("id").cast("long").alias("id"), "date", "members", F.lit(None).cast("string").alias("couple"), F.lit(True).alias("seed"))
+        rows = rows.unionByName(old)
+    node = F.struct("seed", "id")  # an event and a post may have one id
+    nodes = rows.select(node.alias("id"), "date", "members")
+    tagged = rows.withColumn("node", node).join(linked_components(nodes, days if seeds is None else 2 * days).withColumnRenamed("id", "node"), "node")
+    tagged = tagged.select("component", "id", "seed", "date", "couple", F.array_sort("members").alias("members")).withColumn("n", F.count("*").over(Window.partitionBy("component")))
+    blind = above < 0 or (inclusive and above == 0)  # then even events without a common member are alike
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         events: list[dict] = []
+        of: dict = {}  # member -> events that have it, as they were opened
         out = []
-        for post, date, members in group.sort_values(["date", "id"])[["id", "date", "members"]].itertuples(index=False):
+
+        def opened(date: object, name: int | None) -> dict:
+            events.append({"members": set(), "date": date, "posts": [], "couple": None, "seed": name, "at": len(events)})
+            return events[-1]
+
+        def joined(event: dict, members: set) -> None:
+            for m in members - event["members"]:
+                of.setdefault(m, []).append(event["at"])
+            event["members"] |= members
+
+        for name, date, members in group[group["seed"]].sort_values("id")[["id", "date", "members"]].itertuples(index=False):
+            joined(opened(date, name), set(members))
+        for post, date, members, couple in group[~group["seed"]].sort_values(["date", "id"])[["id", "date", "members", "couple"]].itertuples(index=False):
             own, found, most = set(members), None, -1.0
-            for e in events:
+            for at in range(len(events)) if blind else sorted({e for m in own for e in of.get(m, ())}):
+                e = events[at]
+                if abs((date - e["date"]).days) > days or (couple and e["couple"] and couple != e["couple"]):
+                    continue
                 share = len(own & e["members"]) / len(own | e["members"])
-                if (share > above or inclusive and share == above) and abs((date - e["date"]).days) <= days and share > most:
+                if (share > above or inclusive and share == above) and share > most:
                     found, most = e, share
                     if not best:
                         break
             if found is None:
-                found = {"members": set(), "date": date, "posts": []}
-                events.append(found)
-            found["members"] |= own
+                found = opened(date, None)
+            elif found["seed"] is not None and not found["posts"]:
+                found["date"] = date
+            found["couple"] = found["couple"] or couple
+            joined(found, own)
             found["posts"].append(post)
         for e in events:
-            out += [(min(e["posts"]), p) for p in e["posts"]]
+            out += [(min(e["posts"]) if e["seed"] is None else e["seed"], p) for p in e["posts"]]
         return pd.DataFrame(out, columns=["event_id", "post_id"])
 
-    alone = posts.where(~usable | F.col("date").isNull() | F.col("members").isNull()).select(F.col("id").alias("event_id"), F.col("id").alias("post_id"))
-    single = tagged.where("n = 1").select(F.col("id").alias("event_id"), F.col("id").alias("post_id"))  # nothing to fold
+    alone = posts.where(~usable).select(F.col("id").alias("event_id"), F.col("id").alias("post_id"))
+    single = tagged.where("n = 1 and not seed").select(F.col("id").alias("event_id"), F.col("id").alias("post_id"))  # nothing to fold
     return tagged.where("n > 1").drop("n").groupBy("component").applyInPandas(fold, "event_id long, post_id long").unionByName(single).unionByName(alone)
 
 
+def tag_clusters(posts: DataFrame, above: float = 0.5, least: int = 4) -> DataFrame:
+    """(cluster_id, reason, n_posts, posts) of rejected posts with one reason and alike hashtags, of so many posts at least.
+
+    posts: id, reason, tags. The fold of events without dates, in the order of id; tags meet within a reason, whatever
+    their case. Posts without tags are left out.
+    """
+    tags = F.array_distinct(F.transform(F.filter("tags", lambda t: t.isNotNull()), lambda t: F.concat_ws(":", "reason", F.lower(t))))
+    rows = posts.select("id", F.to_date(F.lit("2000-01-01")).alias("date"), tags.alias("members")).where(F.size("members") > 0)
+    found = greedy_events(rows, above=above).withColumnRenamed("event_id", "cluster_id").join(posts.select(F.col("id").alias("post_id"), "reason"), "post_id")
+    grouped = found.groupBy("cluster_id").agg(F.first("reason").alias("reason"), F.count("*").alias("n_posts"), F.array_sort(F.collect_list("post_id")).alias("posts"))
+    return grouped.where(F.col("n_posts") >= least)
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, days: int = 21, above: float = 0.5) -> DataFrame:
+    """(id_a, id_b, jaccard, days) of a left and a right event that are alike above the bound and within the days.
+
+    Both: id, date, members, and block where only events of one block may meet. Sets that are so alike share one of their
+    rarest members, all but the most frequent half at a bound of 0.5, so pairs meet on those, within windows of the days:
+    a member of very many events is hardly ever among them.
+    """
+    block = ["block"] if "block" in left.columns else []
+    sets = lambda df: df.where("date is not null").select("id", "date", *block, F.array_distinct(F.filter("members", lambda m: m.isNotNull())).alias("members")).where(F.size("members") > 0)
+    a, b = sets(left), sets(right)
+    count = a.select(F.explode("members").alias("member")).unionAll(b.select(F.explode("members").alias("member"))).groupBy("member").agg(F.count("*").alias("uses"))
+
+    def rare(df: DataFrame) -> DataFrame:
+        each = df.select("id", F.size("members").alias("n"), F.explode("members").alias("member")).join(count, "member")
+        ordered = each.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "member"))).alias("m"))
+        prefix = F.slice("m", F.lit(1), F.col("n") - F.ceil(F.col("n") * above - 1e-9).cast("int") + 1)
+        return ordered.select("id", F.explode(prefix["member"]).alias("member"))
+
+    window = F.floor(F.unix_date("date") / (days + 1))
+    x = rare(a).join(a, "id").select(F.col("id").alias("id_a"), F.col("date").alias("date_a"), F.col("members").alias("of_a"), *block, "member", window.alias("window"))
+    y = rare(b).join(b, "id").select(F.col("id").alias("id_b"), F.col("date").alias("date_b"), F.col("members").alias("of_b"), *block, "member", F.explode(F.sequence(window - 1, window + 1)).alias("window"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    jaccard = both / (F.size("of_a") + F.size("of_b") - both)
+    met = x.join(y, [*block, "member", "window"]).where((F.abs(F.datediff("date_a", "date_b")) <= days) & (jaccard > above))
+    return met.select("id_a", "id_b", jaccard.alias("jaccard"), F.abs(F.datediff("date_a", "date_b")).alias("days")).distinct()
+
+
 def stem(handle: Column) -> Column:
     """A handle without the words that only say what a place is; the whole where nothing else is left."""
     plain = F.regexp_replace(F.lower(handle), r"[._\-]", "")

@@ -3,6 +3,6 @@
 
 def load_all() -> None:
     """Imports every module of queries, which registers them."""
-    from kithgraph.plans import entities, further, graph, more, relational, text, views
+    from kithgraph.plans import entities, further, graph, more, relational, resolution, text, views
 
-    _ = (entities, further, graph, more, relational, text, views)
+    _ = (entities, further, graph, more, relational, resolution, text, views)

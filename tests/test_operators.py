@@ -249,3 +249,58 @@ def test_tables_that_are_rebuilt_or_frozen(spark, tmp_path):
         currency.frozen(first, f"{path}-frozen")
     with pytest.raises(ValueError):
         currency.stale(first)
+
+
+def test_labelled_credits_fan_out(spark):
+    rows = spark.createDataFrame([(1, "Catering/Bar 🥗:@chic\nBride: @her\n👰🏻‍♀️ @dress\nVenue: @xx - Photo: @yy")], "post_id long, caption string")
+    got = {(r.line_no, r.label, r.handle, r.role, r.participant) for r in credits.labelled_credits(rows).collect()}
+    assert got == {
+        (0, "Catering/Bar 🥗", "chic", "catering", None), (0, "Catering/Bar 🥗", "chic", "bar_service", None), (1, "Bride", "her", None, "bride"),
+        (2, "👰🏻‍♀️", "dress", "wedding_dress", None), (3, "Venue", "xx", "venue", None), (3, "Photo", "yy", "photographer", None),
+    }
+
+
+def seeded_fold(seeds, posts, days, above):
+    events = [{"d": d, "m": set(m), "seed": i, "posts": [], "c": None} for i, d, m in sorted(seeds)]
+    for i, d, m, c in sorted(posts, key=lambda p: (p[1], p[0])):
+        own = set(m)
+        for e in events:
+            if abs((d - e["d"]).days) <= days and len(own & e["m"]) / len(own | e["m"]) > above and not (c and e["c"] and c != e["c"]):
+                break
+        else:
+            e = {"d": d, "m": set(), "seed": None, "posts": [], "c": None}
+            events.append(e)
+        if e["seed"] is not None and not e["posts"]:
+            e["d"] = d
+        e["m"] |= own
+        e["c"] = e["c"] or c
+        e["posts"].append(i)
+    return {p: min(e["posts"]) if e["seed"] is None else e["seed"] for e in events for p in e["posts"]}
+
+
+@pytest.mark.parametrize("seeds_n", [0, 40])
+def test_greedy_events_with_seeds_and_couples_equal_the_plain_fold(spark, seeds_n):
+    rng = random.Random(8)
+    make = lambda i: (i, dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(150)), sorted(rng.sample(range(14), rng.randint(1, 3))))
+    seeds, posts = [make(i) for i in range(seeds_n)], [(*make(i), rng.choice([None, "ann & bo", "cy & di"])) for i in range(160)]
+    df = spark.createDataFrame(posts, "id long, date date, members array<int>, couple string")
+    old = spark.createDataFrame(seeds, "id long, date date, members array<int>") if seeds else None
+    got = {r.post_id: r.event_id for r in entities.greedy_events(df, seeds=old).collect()}
+    assert got == seeded_fold(seeds, posts, 21, 0.5)
+
+
+def test_tag_clusters(spark):
+    rows = [(i, "ad", ["Sale", "shop"]) for i in range(1, 5)] + [(5, "ad", ["SALE"]), (6, "ad", ["other"]), (7, "spam", ["sale", "shop"]), (8, "ad", []), (9, "ad", None), (10, None, ["sale"])]
+    df = spark.createDataFrame(rows, "id long, reason string, tags array<string>")
+    assert [(r.cluster_id, r.reason, r.n_posts, r.posts) for r in entities.tag_clusters(df).collect()] == [(1, "ad", 4, [1, 2, 3, 4])]
+
+
+def test_alike_pairs_equal_all_pairs(spark):
+    rng = random.Random(9)
+    make = lambda i: (i, None if i % 17 == 0 else dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(60)), rng.sample(range(9), rng.randint(0, 5)))
+    a, b = [make(i) for i in range(120)], [make(i) for i in range(120)]
+    frame = lambda x: spark.createDataFrame(x, "id long, date date, members array<int>")
+    for above in (0.3, 0.5):
+        got = {(r.id_a, r.id_b) for r in entities.alike_pairs(frame(a), frame(b), above=above).collect()}
+        want = {(i, j) for i, d, m in a for j, e, n in b if d and e and m and n and abs((d - e).days) <= 21 and len(set(m) & set(n)) / len(set(m) | set(n)) > above}
+        assert got == want and want
