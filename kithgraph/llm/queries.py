@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from kithgraph.llm import chat, decontaminate, fingerprints, packing, pii, quality, repeats, simhash, store, warc
+from kithgraph.llm import chat, clusters, decontaminate, fingerprints, importance, packing, pii, quality, repeats, simhash, store, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_repeats": repeats.op9_repeats,
         "op10_personal_data": pii.op10_personal_data,
+        "op11_resampling": importance.op11_resampling,
+        "op12_clusters": clusters.op12_clusters,
+        "op13_top_k": topk.op13_top_k,
     }
 
 
@@ -32,4 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": decontaminate.OP5_SQL,
         "op6_warc": warc.OP6_SQL,
         "op7_chat": chat.OP7_SQL,
+        "op11_resampling": importance.OP11_SQL,
+        "op12_clusters": clusters.OP12_SQL,
+        "op13_top_k": topk.OP13_SQL,
     }
