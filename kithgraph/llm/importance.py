@@ -11,11 +11,11 @@ The draw is by Gumbel keys: the highest sums of weight and noise are a sample wi
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ N, BUCKETS, SEED, LEAST_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
 #: Characters of a block; a longer text is a block of its own.
 BLOCK_CHARS = 4_000_000
 BLOCK = (
-    "block string, doc_id array<long>, n_words array<long>, n_features array<long>, first array<long>, code array<int>, n array<int>, "
+    "block long, doc_id array<long>, n_words array<long>, n_features array<long>, first array<long>, code array<int>, n array<int>, "
     "word array<string>, total array<long>"
 )
 SCORED = "doc_id long, n_words long, n_features long, weight long"
@@ -56,7 +56,7 @@ def grams(whole: np.ndarray, begin: np.ndarray, end: np.ndarray, owner: np.ndarr
 
 
 def block_of(ids: list[int | None], texts: list[str], sizes: int) -> list:
-    """One block's row: documents, where their pairs begin, the pairs' codes and counts, the distinct strings and their totals."""
+    """One block's row after its number: documents, where their pairs begin, the pairs' codes and counts, the distinct strings and their totals."""
     whole, begin, end, owner = word_borders(texts)
     found = [grams(whole, begin, end, owner, s) for s in range(1, sizes + 1)]
     coded = pa.concat_arrays([x for x, _ in found]).dictionary_encode()
@@ -67,19 +67,20 @@ def block_of(ids: list[int | None], texts: list[str], sizes: int) -> list:
     first = np.searchsorted(pair // max(1, distinct), np.arange(len(texts) + 1))
     total = np.bincount(code, n, distinct).astype(np.int64)
     count = lambda x: np.bincount(x, minlength=len(texts)).tolist()
-    return [uuid.uuid4().hex, ids, count(owner), count(text), first.tolist(), code.astype(np.int32), n.astype(np.int32), coded.dictionary.cast(pa.string()), total]
+    return [ids, count(owner), count(text), first.tolist(), code.astype(np.int32), n.astype(np.int32), coded.dictionary.cast(pa.string()), total]
 
 
 def blocks(docs: DataFrame, sizes: int) -> DataFrame:
-    """Documents in blocks (BLOCK). A block's name is new in every attempt, so the rows are to be written before they are read twice."""
+    """Documents in blocks (BLOCK), numbered by partition and place in it. Other partitions give other blocks: rows are to be written before they are read twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), *[pa.list_(pa.int64())] * 4, *[pa.list_(pa.int32())] * 2, pa.list_(pa.string()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), *[pa.list_(pa.int64())] * 4, *[pa.list_(pa.int32())] * 2, pa.list_(pa.string()), pa.list_(pa.int64())]
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, texts, at = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), 0
             for part in in_chunks(texts, BLOCK_CHARS):
-                row = block_of(ids[at : at + len(part)], part, sizes)
-                at += len(part)
+                row = [number, *block_of(ids[at : at + len(part)], part, sizes)]
+                at, number = at + len(part), number + 1
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=BLOCK_NAMES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, BLOCK)
