@@ -3,6 +3,6 @@
 
 def load_all() -> None:
     """Imports every module of queries, which registers them."""
-    from kithgraph.plans import alignment, crawl, entities, further, graph, more, relational, resolution, text, views
+    from kithgraph.plans import alignment, crawl, entities, further, graph, more, relational, resolution, text, venues, views
 
-    _ = (alignment, crawl, entities, further, graph, more, relational, resolution, text, views)
+    _ = (alignment, crawl, entities, further, graph, more, relational, resolution, text, venues, views)
