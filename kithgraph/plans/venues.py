@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kithgraph.functions import pages as P
+from kithgraph.operators import mustnot as N
 from kithgraph.operators import ranges as R
+from kithgraph.operators import trees as T
 from kithgraph.registry import query
 from kithgraph.tables import table
 
@@ -56,3 +59,90 @@ def doc14_extremes(spark: SparkSession, d: str) -> DataFrame:
 def doc14_range(spark: SparkSession, d: str) -> DataFrame:
     """The example range of every path."""
     return R.shown_range(prices(spark, d))
+
+
+# an order is a document, its lines are the members of an array in the order of their numbers
+DOCS_SQL = """l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS i, l_returnflag AS flag, l_partkey AS max, l_suppkey AS min, p_name AS name,
+      CASE WHEN l_linestatus = 'O' THEN 'https://' || p_type END AS url FROM lineitem JOIN part ON p_partkey = l_partkey), o AS (SELECT o_orderkey AS id, o_orderpriority AS kind, CAST(trunc(o_totalprice) AS BIGINT) AS price FROM orders)"""
+
+
+def order_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, doc): every order with its lines as JSON."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
+    line = F.struct(F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("max"), F.col("l_suppkey").alias("min"), F.col("p_name").alias("name"), F.when(F.col("l_linestatus") == "O", F.concat(F.lit("https://"), "p_type")).alias("url"))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", line.alias("line"))
+    lines = table(spark, d, "lineitem").join(part, "l_partkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]).alias("lines"))
+    rows = table(spark, d, "orders").join(lines, "o_orderkey", "left")
+    empty = F.coalesce("lines", F.array().cast(rows.schema["lines"].dataType))
+    return rows.select(F.col("o_orderkey").alias("doc_id"), F.to_json(F.struct(F.col("o_orderpriority").alias("kind"), empty.alias("lines"), F.struct(F.col("o_totalprice").cast("long").alias("price"), F.lit(None).cast("string").alias("none")).alias("pricing"))).alias("doc"))
+
+
+@query(
+    "doc02_path_rows",
+    f"""WITH {DOCS_SQL}, x AS (SELECT id, '/lines[' || i || ']' AS p, * EXCLUDE (id) FROM l)
+    SELECT id AS doc_id, '/kind' AS path, 'string' AS kind, kind AS value FROM o UNION ALL SELECT id, '/pricing/price', 'number', CAST(price AS VARCHAR) FROM o
+    UNION ALL SELECT id, p || '/flag', 'string', flag FROM x UNION ALL SELECT id, p || '/max', 'number', CAST(max AS VARCHAR) FROM x UNION ALL SELECT id, p || '/min', 'number', CAST(min AS VARCHAR) FROM x
+    UNION ALL SELECT id, p || '/name', 'string', name FROM x UNION ALL SELECT id, p || '/url', 'string', url FROM x WHERE url IS NOT NULL UNION ALL SELECT id, '/lines', 'array', NULL FROM o WHERE id NOT IN (SELECT id FROM l)""",
+)
+def doc02_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of all orders' documents."""
+    return T.leaves(T.nodes(order_documents(spark, d)))
+
+
+@query(
+    "doc02_round_trip",
+    f"""WITH {DOCS_SQL}, j AS (SELECT id, '[' || string_agg('{{"flag":"' || flag || '","max":' || max || ',"min":' || min || ',"name":"' || name || '"' || CASE WHEN url IS NULL THEN '' ELSE ',"url":"' || url || '"' END || '}}', ',' ORDER BY i) || ']' AS lines FROM l GROUP BY id)
+    SELECT o.id AS doc_id, '{{"kind":"' || kind || '","lines":' || coalesce(lines, '[]') || ',"pricing":{{"price":' || price || '}}}}' AS doc FROM o LEFT JOIN j USING (id)""",
+)
+def doc02_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All orders' documents out of their rows again, members by name."""
+    return T.documents(T.nodes(order_documents(spark, d)))
+
+
+@query("doc02_props_rows", "SELECT event_id AS doc_id, '/k' AS path, 'number' AS kind, json_extract_string(props, '$.k') AS value FROM events")
+def doc02_props(spark: SparkSession, d: str) -> DataFrame:
+    return T.leaves(T.nodes(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("doc"))))
+
+
+def page_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of what pages say of themselves and of the next page, and the pages' texts as what it is grounded in."""
+    from pyspark.sql import Window
+
+    rows = P.structures(table(spark, d, "pages")).select("page_id", "url", "title", "text", "links")
+    rows = rows.withColumn("next", F.lead("title").over(Window.partitionBy(F.pmod(F.xxhash64("url"), F.lit(64))).orderBy("page_id")))
+    claim = lambda text: F.struct(F.lit("stated").alias("status"), text.alias("value"), text.alias("quote"), F.col("url").alias("source_url"))
+    items = F.transform("links", lambda x: F.struct(x["href"].alias("id"), x["text"].alias("quote"), F.col("url").alias("source_url")))
+    doc = F.to_json(F.struct(F.struct(claim(F.col("title")).alias("title"), claim(F.coalesce("next", F.lit(""))).alias("motto")).alias("spine"), items.alias("links"), F.lit("none").alias("faqs")))
+    return rows.select(F.col("page_id").alias("doc_id"), doc.alias("doc")), rows.select(F.col("page_id").alias("doc_id"), "url", "text")
+
+
+@query("doc02_assembly")
+def doc02_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """What pages claim, assembled: counts, and a digest of what is left of each document."""
+    docs, pages = page_claims(spark, d)
+    kept, _, counts = T.assembled(docs, pages, [T.Rule("/spine/*", "demote", "ungrounded_spine", "error", "critical", True), T.Rule("/links[*]")], ("/faqs", "/spaces"))
+    return kept.join(counts, "doc_id", "left").select("doc_id", F.md5("doc").alias("doc_md5"), "checked", "passed", "failed", "critical", "needs_review")
+
+
+MUST_NOT = [
+    ("no_hot_parts", "match", "/lines[*]/name", "^hot (gear|bolt)$", None, "gear", None, None, None),
+    ("no_wide_span", "span", "/lines[*]/max", "150", "min", None, None, None, None),
+    ("no_twins", "twins", "/lines[*]/name", r"\bsmall\b", None, None, None, None, None),
+    ("no_returns", "share", "/lines[*]/flag", "^R$", "0.5", None, "/kind", "1-URGENT", None),
+    ("no_unlinked", "alone", "/lines[*]/name", "Red Ring|blue-bolt", "url", None, None, None, None),
+    ("one_of", "one_of", "/lines[*]/name", "red ring|hot gear|small bolt|blue widget", None, None, None, None, None),
+]
+
+
+@query(
+    "doc18_must_not",
+    f"""WITH {DOCS_SQL}, x AS (SELECT l.*, '/lines[' || i || ']' AS p, o.kind FROM l JOIN o USING (id)), t AS (SELECT *, regexp_replace(regexp_replace(lower(name), '\\bsmall\\b', '', 'g'), '[^a-z0-9]+', '', 'g') AS k FROM x)
+    SELECT id AS doc_id, 'no_hot_parts' AS rule_id, p || '/name' AS path, name AS value FROM x WHERE name = 'hot bolt' UNION ALL SELECT id, 'no_wide_span', p || '/max', CAST(max AS VARCHAR) FROM x WHERE min > 0 AND max / min > 150
+    UNION ALL SELECT id, 'no_twins', p || '/name', name FROM t WHERE k <> '' QUALIFY count(*) OVER (PARTITION BY id, k) > 1
+    UNION ALL SELECT id, 'no_returns', '/lines[0]/flag', max(flag) FILTER (WHERE i = 0) FROM x WHERE kind = '1-URGENT' GROUP BY id HAVING count(*) FILTER (WHERE flag = 'R') / count(*) > 0.5
+    UNION ALL SELECT id, 'no_unlinked', p || '/name', name FROM x WHERE name IN ('red ring', 'blue bolt') AND url IS NULL
+    UNION ALL SELECT id, 'one_of', p || '/name', name FROM x WHERE name IN ('red ring', 'hot gear', 'small bolt', 'blue widget') QUALIFY count(*) OVER (PARTITION BY id) > 1""",
+)
+def doc18_must_not(spark: SparkSession, d: str) -> DataFrame:
+    """What all orders' documents say against a table of rules."""
+    return N.violations(T.nodes(order_documents(spark, d)), spark.createDataFrame(MUST_NOT, N.RULES))
