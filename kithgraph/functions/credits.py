@@ -51,6 +51,15 @@ def credit_lines(posts: DataFrame) -> DataFrame:
     return each.select("post_id", "line_no", "role_raw", F.lower("handle").alias("handle"), ordered_role(F.col("role_raw"), ROLES).alias("role"))
 
 
+def credits_of(caption: Column) -> Column:
+    """The credit lines of one caption as an array of (line_no, role_raw, handle, role), in order."""
+    stripped = F.transform(F.split(F.coalesce(caption, F.lit("")), "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")).alias("line")))
+    found = F.filter(stripped, lambda x: x["line"].rlike(LINE))
+    label = lambda x: F.trim(F.regexp_extract(x["line"], LINE, 1))
+    handles = lambda x: F.regexp_extract_all(F.regexp_extract(x["line"], LINE, 2), F.lit(HANDLE), F.lit(1))
+    return F.flatten(F.transform(found, lambda x: F.transform(handles(x), lambda h: F.struct(x["i"].alias("line_no"), label(x).alias("role_raw"), F.lower(h).alias("handle"), ordered_role(label(x), ROLES).alias("role")))))
+
+
 def roles_of(caption: Column) -> Column:
     """The distinct roles of a caption's credit lines, within the row."""
     lines = F.transform(F.split(F.coalesce(caption, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))

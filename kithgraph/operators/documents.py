@@ -27,6 +27,12 @@ def words(text: Column) -> Column:
     return F.filter(plain, lambda x: (x != "") & (x.rlike("[0-9]") | ((F.length(x) >= 3) & ~F.array_contains(stops, x))))
 
 
+def coverage(quote: Column, page: Column) -> Column:
+    """The share of a quote's words that a page holds, as grounding counts it; 0 for a quote without words."""
+    said, held = words(quote), words(page)
+    return F.when(F.size(said) == 0, 0.0).otherwise(F.round(F.size(F.filter(said, lambda x: F.array_contains(held, x))) / F.size(said), 6))
+
+
 def grounding(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """Where each quote stands: pass, grounded_elsewhere, weak_quote, source_not_crawled or fail, with its coverage.
 

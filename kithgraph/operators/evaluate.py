@@ -131,6 +131,42 @@ def information_value(confidence: Column, disagrees: Column, reach: Column) -> C
     return F.round((1 - F.abs(confidence * 2 - 1)) + F.when(disagrees, 1.0).otherwise(0.0) + F.log10(1 + F.coalesce(reach, F.lit(0))) / 10, 6)
 
 
+#: What makes a result worth a look: points and bounds.
+DISAGREEMENT_POINTS, REVIEW_POINTS, DOUBT_POINTS, NEAR_BOUNDARY, FEW_EXAMPLES, EXAMPLE_POINTS = 10.0, 5.0, 6.0, 0.15, 5, 0.8
+
+
+def review_candidates(results: DataFrame, labelled: DataFrame, disagreeing: DataFrame, examples: DataFrame) -> DataFrame:
+    """(post_id, score, reasons): results that a person's look would teach most of, those with a reason only.
+
+    results: post_id, decision, confidence, exclusion_reason, one row each; labelled and disagreeing: post_id; examples:
+    exclusion_reason, a row for each labelled example. Sources that disagree, the classifier's own REVIEW, confidence near
+    0.5, and exclusion reasons with fewer than five examples. Labelled posts are left out; a null reason is a reason of its
+    own; a null confidence tells nothing.
+    """
+    per = examples.groupBy(F.coalesce("exclusion_reason", F.lit("(none)")).alias("reason")).agg(F.count("*").alias("n"))
+    rows = results.join(labelled.select("post_id").distinct(), "post_id", "left_anti").join(disagreeing.select("post_id").distinct().withColumn("other", F.lit(True)), "post_id", "left")
+    rows = rows.withColumn("reason", F.coalesce("exclusion_reason", F.lit("(none)"))).join(per, "reason", "left")
+    away, n = F.abs(F.col("confidence") - 0.5), F.coalesce("n", F.lit(0))
+    score = F.when(F.col("other"), DISAGREEMENT_POINTS).otherwise(0.0) + F.when(F.col("decision") == "REVIEW", REVIEW_POINTS).otherwise(0.0)
+    score = score + F.coalesce((0.5 - F.least(away, F.lit(0.5))) * DOUBT_POINTS, F.lit(0.0)) + F.when(n < FEW_EXAMPLES, (FEW_EXAMPLES - n) * EXAMPLE_POINTS).otherwise(0.0)
+    why = F.concat_ws(",", F.when(F.col("other"), "disagreement"), F.when(F.col("decision") == "REVIEW", "review"), F.when(away < NEAR_BOUNDARY, "boundary"), F.when(n < FEW_EXAMPLES, "coverage"))
+    return rows.select("post_id", F.round(score, 6).alias("score"), why.alias("reasons")).where("reasons <> ''")
+
+
+def weighted_sample(rows: DataFrame, key: str, stratum: str, weight: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows of each stratum drawn without replacement by weight, the same on every run: rows with their `draw` from 1.
+
+    Each row's key is -ln(u) / weight with u from the MD5 of seed and key; the least keys are the sample. Every task keeps its
+    own n least of each stratum before rows are moved, so neither a large stratum nor the whole is sorted. Rows with a
+    null, zero or negative weight are never drawn; a null stratum is one; equal keys are drawn in the order of the key column.
+    """
+    from kithgraph.operators.helpers import latest_rank
+
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    drawn = rows.where(F.col(weight) > 0).withColumn("_draw", -F.log(u) / F.col(weight))
+    return latest_rank(drawn, [stratum], [F.col("_draw"), F.col(key)]).where(F.col("rn") <= n).drop("_draw").withColumnRenamed("rn", "draw")
+
+
 def labelling_queue(buckets: list[tuple[str, DataFrame]], sizes: dict[str, int]) -> DataFrame:
     """A frozen queue: of each bucket the first rows by hash; a post in several buckets stays in the first; ranked by hash."""
     from kithgraph.operators.helpers import latest_rank, priority_pick
