@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kithgraph.functions.labels import Rule, with_roles
 from kithgraph.functions.text import ordered_role
 
 #: A credit line is a label, a separator and something with a handle.
@@ -151,15 +154,13 @@ def labelled_lines(posts: DataFrame) -> DataFrame:
     return each.select("post_id", "line_no", "label", F.lower("handle").alias("handle"), "source", F.when(F.col("source") == "emoji_line", sign_role(F.col("label"))).alias("sign_role"))
 
 
-def labelled_credits(posts: DataFrame) -> DataFrame:
+def labelled_credits(posts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(post_id, line_no, label, handle, source, role, event_context, participant, rule): a row per role of each label's handle.
 
-    Labels that name people have a participant and no role. Distinct labels are classified once.
+    The labels mean what the rules say. Labels that name people have a participant and no role. Distinct labels are classified once.
     """
-    from kithgraph.functions.labels import with_roles
-
     lines = labelled_lines(posts)
-    named = with_roles(lines.where("source = 'credit_line'").drop("sign_role"), "label").withColumn("role", F.explode_outer(F.split(F.nullif("roles", F.lit("")), ",")))
+    named = with_roles(lines.where("source = 'credit_line'").drop("sign_role"), "label", rules).withColumn("role", F.explode_outer(F.split(F.nullif("roles", F.lit("")), ",")))
     signs = lines.where("source = 'emoji_line'").select("post_id", "line_no", "label", "handle", "source", F.col("sign_role").alias("role"), F.lit("wedding_day").alias("event_context"), F.lit(None).cast("string").alias("participant"), F.lit("emoji").alias("rule"))
     return named.select(*signs.columns).unionByName(signs)
 

@@ -1,116 +1,118 @@
-"""What a credit line's label means: roles, event context, participants. Distinct labels are classified once and joined back."""
+"""What a credit line's label means: roles, event context, participants. Distinct labels are classified once and joined back.
+
+The words are not ours to know: they come as a table of rules (kind, pattern, value), in the order of their rank. Kinds:
+`context` (a pattern anywhere in a label sets the event context), `participant` (a pattern of people who are no vendors),
+`press` and `noise` (patterns of labels that credit nobody), `phase` (a whole label that means the venue of a context),
+`exact` (a whole label or part with its roles, comma-joined), `qualifier` (a pattern that a part is also tried without),
+`head` (a pattern with its roles, comma-joined).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Event contexts by the first pattern that a label has.
-CONTEXTS = [
-    ("rehearsal_dinner", r"\brehearsal( dinner)?\b"),
-    ("welcome_party", r"\bwelcome (party|event|dinner|drinks)\b"),
-    ("after_party", r"\b(after ?party|afterparty|late night party)\b"),
-    ("getting_ready", r"\b(getting ready|get ready|prep|bridal suite|morning of)\b"),
-    ("cocktail_hour", r"\bcocktail( hour)?\b"),
-    ("brunch", r"\b(brunch|day after|farewell)\b"),
-    ("engagement", r"\bengagement( session| shoot| party)?\b"),
-    ("shower", r"\b(bridal|baby|wedding) shower\b"),
-    ("sangeet_mehndi", r"\b(sangeet|mehndi|mehendi|haldi|baraat|nikkah|pithi|garba)\b"),
-    ("ceremony", r"\bceremony\b"),
-    ("reception", r"\breception\b"),
-]
-#: Our own rules: people of the event, who are never vendors.
-PARTICIPANTS = [
-    ("couple", r"^((the|main|real|styled) )?(couple|newlyweds|lovers|bride (&|and|\+) groom)$"),
-    ("bride", r"^((the|our|beautiful) )?(bride|brides)$"),
-    ("groom", r"^((the|our) )?(groom|grooms)$"),
-    ("model", r"^(models?|model couple)$"),
-    ("muse", r"^(muse|muses)$"),
-    ("host_family", r"^(hosts?|hosted by|host family|parents)$"),
-]
-#: Our own rules: labels that name no credit.
-PRESS = r"^(featured( (on|in|by))?|published( (on|in))?|publication|press|magazine|as seen (on|in)|blog|repost( from)?)$"
-NOISE = r"^(by|for|with|on|at|and|of|to|day|events?|weddings?|vendors?|vendor team|team|partners?|sponsors?|sponsored by)$"
-#: Our own rule: labels that are only a place of the day mean its venue.
-PHASE_VENUE = r"^(church|parish|chapel|temple|synagogue|cathedral|venue|location|site)?$"
-#: Our own rules: roles by the first rule that the end of a label's part meets.
-HEADS = [
-    ("second_shooter", r"\b(second|associate|assistant|bts) (photog|photographers?|shooters?)$"),
-    ("photo_booth", r"\b(photo ?booth|360 booth|booth)$"),
-    ("content_creator", r"\bcontent( creators?| creation)?$"),
-    ("videographer", r"\b(videograph(y|er|ers)|video|films?|filmmaker|cinematograph(y|er)|cinema)$"),
-    ("photographer", r"\b(photograph(y|er|ers)|photos?|photog|pics?)$"),
-    ("coordinator", r"\bcoordinat(or|ors|ion)$"),
-    ("planner", r"\b(plann(er|ers|ing)|consultant)$"),
-    ("florist", r"\b(florals?( design)?|florists?|flowers?|bouquets?|blooms?)$"),
-    ("event_design", r"\b(design|designers?|styling|stylist|concept)$"),
-    ("lighting_production", r"\b(lighting|lights|draping|production|av|audio|sound|dance ?floor|staging)$"),
-    ("rentals", r"\b(rentals?|linens?|tableware|tabletop|furniture|chairs?|tables?)$"),
-    ("bar_service", r"\b(bar|bartend(er|ers|ing)|drinks|cocktails|beverages?)$"),
-    ("cake", r"\b(cakes?|bakery|baker|cupcakes)$"),
-    ("desserts", r"\b(desserts?|sweets|treats|cookies|donuts)$"),
-    ("catering", r"\b(catering|caterers?|food|chefs?|dinner)$"),
-    ("dj", r"\b(djs?|entertainment)$"),
-    ("band", r"\bbands?$"),
-    ("live_music", r"\b(music|musicians?|strings?|quartet|trio|violin(ist)?|harp(ist)?|pian(o|ist)|guitar(ist)?|singer)$"),
-    ("makeup", r"\b(makeup|make up|mua)$"),
-    ("hair", r"\b(hair|hair ?stylists?)$"),
-    ("jewelry", r"\b(jewel(ry|lery|er|ers|s)|rings?)$"),
-    ("menswear", r"\b(suits?|tux|tuxedos?|menswear)$"),
-    ("wedding_dress", r"\b(dress|dresses|gowns?|attire|bridal|boutique)$"),
-    ("stationery", r"\b(stationery|stationer|invitations?|paper|paper goods)$"),
-    ("transportation", r"\b(transportation|transport|limo|trolley|shuttle|bus)$"),
-    ("officiant", r"\b(officiant|celebrant|minister|pastor|rabbi|priest)$"),
-    ("accommodations", r"\b(hotels?|accommodations?|lodging|room block)$"),
-    ("venue", r"\b(venues?|locations?|church|chapel|estate)$"),
-]
+KINDS = ("context", "participant", "press", "noise", "phase", "exact", "qualifier", "head")
+#: Rules of a table that one session may hold; a longer table is refused.
+MOST_RULES = 5_000
+NO_CONTEXT = "wedding_day"
 SPLIT = r"\s*(?:&|\+|/|,|\band\b|\bwith\b)\s*"
 
 
+class Rule(NamedTuple):
+    kind: str
+    pattern: str
+    value: str = ""
+
+
+def rules_of(table: DataFrame) -> list[Rule]:
+    """The rules of a table (kind, pattern, value, rank), by rank. Tables of unknown kinds or too many rules are refused."""
+    rows = table.select("kind", "pattern", F.coalesce("value", F.lit("")).alias("value"), "rank").orderBy("rank", "kind", "pattern").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES or any(r.kind not in KINDS for r in rows):
+        raise ValueError(f"a table of rules has at most {MOST_RULES} rows of the kinds {', '.join(KINDS)}")
+    return [Rule(r.kind, r.pattern, r.value) for r in rows]
+
+
 def normal(label: Column) -> Column:
     """Lower case, without signs that only decorate, without 'the', blanks folded."""
     plain = F.regexp_replace(F.lower(label), r"[^\p{L}\p{N}\s&+/,'’]", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[’`]", "'"), r"\bthe\b", " "), r"\s+", " "))
 
 
-def first_of(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return F.coalesce(*[F.when(text.rlike(p), name) for name, p in rules])
+class Rules:
+    """The rules by kind, as expressions of a normalised label."""
 
+    def __init__(self, rules: Sequence[Rule]):
+        self.of = {k: [r for r in rules if r.kind == k] for k in KINDS}
 
-def context(normalized: Column) -> Column:
-    return F.coalesce(first_of(normalized, CONTEXTS), F.lit("wedding_day"))
+    def first(self, kind: str, text: Column) -> Column:
+        """The value of the first rule whose pattern the text has, else null."""
+        return F.coalesce(*[F.when(text.rlike(r.pattern), r.value) for r in self.of[kind]], F.lit(None).cast("string"))
 
+    def has(self, kind: str, text: Column) -> Column:
+        return self.first(kind, text).isNotNull()
 
-def without_context(normalized: Column) -> Column:
-    out = normalized
-    for _, p in CONTEXTS:
-        out = F.regexp_replace(out, p, " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    def looked_up(self, kind: str, text: Column) -> Column:
+        """The value of the rule that names the whole text, else null."""
+        table = {r.pattern: r.value for r in reversed(self.of[kind])}
+        if not table:
+            return F.lit(None).cast("string")
+        return F.try_element_at(F.map_from_arrays(F.array(*map(F.lit, table)), F.array(*map(F.lit, table.values()))), text)
 
+    def without(self, kind: str, text: Column) -> Column:
+        """A text without what a kind's patterns match, blanks folded."""
+        for r in self.of[kind]:
+            text = F.regexp_replace(text, r.pattern, " ")
+        return F.trim(F.regexp_replace(text, r"\s+", " "))
 
-def classified(labels: DataFrame) -> DataFrame:
+    def part(self, text: Column) -> Column:
+        """Roles of a part, comma-joined: named as a whole, named without qualifiers, then by head rules likewise; null for none."""
+        bare = self.without("qualifier", text)
+        return F.coalesce(self.looked_up("exact", text), self.looked_up("exact", bare), self.first("head", bare), self.first("head", text))
+
+    def parts(self, text: Column) -> Column:
+        """Distinct roles of a compound's parts, in their order."""
+        each = F.filter(F.split(text, SPLIT), lambda x: x != "")
+        named = F.filter(F.transform(each, self.part), lambda r: r.isNotNull())
+        return F.array_distinct(F.flatten(F.transform(named, lambda r: F.split(r, ","))))
+
+
+def classified(labels: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(label, roles, event_context, participant, rule) of distinct labels; roles comma-joined in order of appearance.
 
-    People, press and noise come first; a label that is only a phase or a place means the venue; else each part of a
-    compound gets the first head rule that its end meets; what meets none is `other`.
+    People, press and noise come first, then labels that name a phase's venue and those that are named as a whole. Else the
+    words of the context go: nothing left is the venue of that phase; what is left is a compound's parts or a part. What no
+    rule meets is `other`. Null labels are left out, an empty one is noise.
     """
+    r = Rules(rules)
     one = labels.select("label").where("label is not null").distinct().withColumn("n", normal(F.col("label")))
-    rest = without_context(F.col("n"))
-    parts = F.filter(F.split(F.when(rest == "", F.col("n")).otherwise(rest), SPLIT), lambda x: x != "")
-    heads = F.array_distinct(F.filter(F.transform(parts, lambda x: first_of(x, HEADS)), lambda r: r.isNotNull()))
-    phase = (rest != F.col("n")) & rest.rlike(PHASE_VENUE) | F.col("n").rlike(r"^(church|parish|chapel|temple|synagogue|cathedral)$") | (F.size(parts) == 0)
-    person = first_of(F.col("n"), PARTICIPANTS)
-    rows = one.select("label", "n", person.alias("participant"), context(F.col("n")).alias("c"), phase.alias("phase"), F.array_join(heads, ",").alias("heads"), (F.size(parts) > 1).alias("compound"))
+    n = F.col("n")
+    rows = one.select("label", "n", r.first("participant", n).alias("participant"), r.first("context", n).alias("c"), r.looked_up("phase", n).alias("phase"), F.coalesce(r.looked_up("exact", n), r.looked_up("exact", r.without("qualifier", n))).alias("exact"), r.without("context", n).alias("rest"))
+    whole = F.when(F.col("rest") == "", n).otherwise(F.col("rest"))
+    rows = rows.withColumn("parts", r.parts(whole)).withColumn("several", F.size(F.filter(F.split(whole, SPLIT), lambda x: x != "")) > 1)
+    only_phase = (F.col("rest") == "") & F.col("c").isNotNull()
     rule = (
-        F.when(F.col("n") == "", "empty").when(F.col("participant").isNotNull(), "participant").when(F.col("n").rlike(PRESS), "press").when(F.col("n").rlike(NOISE), "noise")
-        .when(F.col("phase"), "phase_venue").when(F.col("heads") == "", "unmatched").when(F.col("compound"), "compound").otherwise("head")
+        F.when(n == "", "empty").when(F.col("participant").isNotNull(), "participant").when(r.has("press", n), "press").when(r.has("noise", n), "noise").when(F.col("phase").isNotNull(), "phase_venue")
+        .when(F.col("exact").isNotNull(), "exact").when(only_phase, "phase_venue").when(F.size("parts") == 0, "unmatched").when(F.col("several"), "compound").otherwise("head")
+    )
+    roles = (
+        F.when(rule.isin("empty", "noise"), "noise").when(rule == "participant", "").when(rule == "press", "press_feature").when(rule == "phase_venue", "venue")
+        .when(rule == "exact", F.col("exact")).when(rule == "unmatched", "other").otherwise(F.array_join("parts", ","))
     )
-    roles = F.when(rule.isin("empty", "noise"), "noise").when(rule == "participant", "").when(rule == "press", "press_feature").when(rule == "phase_venue", "venue").when(rule == "unmatched", "other").otherwise(F.col("heads"))
     plain = rule.isin("empty", "participant", "press", "noise")
-    return rows.select("label", roles.alias("roles"), F.when(plain, "wedding_day").otherwise(F.col("c")).alias("event_context"), "participant", rule.alias("rule"))
+    return rows.select("label", roles.alias("roles"), F.when(plain, NO_CONTEXT).otherwise(F.coalesce("phase", "c", F.lit(NO_CONTEXT))).alias("event_context"), "participant", rule.alias("rule"))
 
 
-def with_roles(entries: DataFrame, label: str) -> DataFrame:
+def with_roles(entries: DataFrame, label: str, rules: Sequence[Rule]) -> DataFrame:
     """Entries with their label's classification: labels are few, so they are classified once."""
-    found = classified(entries.select(F.col(label).alias("label"))).withColumnRenamed("label", label)
+    found = classified(entries.select(F.col(label).alias("label")), rules).withColumnRenamed("label", label)
     return entries.join(found, label, "left")
+
+
+def label_coverage(entries: DataFrame, label: str, rules: Sequence[Rule]) -> DataFrame:
+    """(rule, labels, entries): how many distinct labels and entries each kind of rule decides."""
+    per = entries.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    return per.join(classified(per, rules), "label").groupBy("rule").agg(F.count("*").alias("labels"), F.sum("n").alias("entries"))

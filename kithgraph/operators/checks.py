@@ -25,6 +25,9 @@ OTHER_TITLE = (
 RECAP = r"(?i)wedding day|newlyweds|mr\.? (&|and) mrs|just married|tied the knot|said i do|our wedding|their wedding"
 NAME_STOPS = ["the", "a", "an", "of", "or", "and", "for", "with", "per", "each", "min", "minimum", "package", "add", "ons", "on"]
 SIMILAR_NAMES, LONGEST_TITLE = 0.6, 60
+NAME = r"([A-Za-z][A-Za-z'’-]*)"
+POSSESSIVE, BOTH_MRS, SURNAME = rf"(?i)\b{NAME}\s*(?:and|&|\+)\s*{NAME}'s\s+wedding\b", rf"(?i)\bMrs?\.?\s*(?:&|and)\s*Mrs\.?\s+{NAME}\b", r"\bthe\s+([A-Z][A-Za-z'’-]*)\s+wedding\b"
+BY_X, BY_SIGN = rf"(?i)\b{NAME}\s+x\s+{NAME}\b", rf"(?i)\b{NAME}\s*(?:\+|&|and)\s*{NAME}\b"
 
 
 def mapped(value: Column, table: dict[str, str], default: Column | None = None) -> Column:
@@ -67,7 +70,7 @@ def name_word(word: Column) -> Column:
 def couple_title(caption: Column, blocked: list[str]) -> Column:
     """The couple that a caption names, by the most specific pattern that gives names: a possessive wedding, Mr and Mrs, the
     surname wedding, two names with an x, two names with a sign. Words of `blocked` are no names."""
-    text, word = F.trim(caption), r"([A-Za-z][A-Za-z'’-]*)"
+    text = F.trim(caption)
     is_name = lambda w: (F.char_length(w) >= 2) & ~F.lower(w).isin(blocked)
 
     def pair(pattern: str) -> Column:
@@ -78,10 +81,7 @@ def couple_title(caption: Column, blocked: list[str]) -> Column:
         a = F.regexp_extract(text, pattern, 1)
         return F.when(is_name(a), F.concat(F.lit("The "), name_word(a)))
 
-    return F.coalesce(
-        pair(rf"(?i)\b{word}\s*(?:and|&|\+)\s*{word}'s\s+wedding\b"), surname(rf"(?i)\bMrs?\.?\s*(?:&|and)\s*Mrs\.?\s+{word}\b"),
-        surname(r"\bthe\s+([A-Z][A-Za-z'’-]*)\s+wedding\b"), pair(rf"(?i)\b{word}\s+x\s+{word}\b"), pair(rf"(?i)\b{word}\s*(?:\+|&|and)\s*{word}\b"),
-    )
+    return F.coalesce(pair(POSSESSIVE), surname(BOTH_MRS), surname(SURNAME), pair(BY_X), pair(BY_SIGN))
 
 
 def identity_bucket(is_alias: Column, blocked: Column, umbrella: Column, events: Column, located: Column, in_metro: Column, venue_role: Column, status: Column, known: Column, fetched: Column) -> Column:
@@ -119,18 +119,19 @@ def readiness(needs_review: Column, failures: Column, headline: Column, catering
 
 def similar_names(names: DataFrame) -> DataFrame:
     """Pairs (venue_id, id_a, id_b) of a venue's add-ons whose names are one: equal or a prefix once normalised, or 0.6 of the
-    lesser one's words in common. names: venue_id, id, name. Pairs meet on a shared word, never all within a venue.
+    lesser one's words in common. names: venue_id, id, name. Names meet where one is what another begins with, or on a shared
+    word, never all within a venue; an empty name begins all others. Null names are like no other.
     """
     flat = F.trim(F.regexp_replace(F.regexp_replace(F.lower("name"), r"\(.*?\)", " "), r"[^a-z0-9]+", " "))
     words = F.array_distinct(F.filter(F.split(flat, " "), lambda t: (F.length(t) > 1) & ~t.isin(NAME_STOPS)))
-    rows = names.select("venue_id", "id", flat.alias("flat"), words.alias("words"))
-    # names of no words of their own meet on their first word
-    token = rows.select("*", F.explode(F.array_distinct(F.concat("words", F.slice(F.split("flat", " "), 1, 1)))).alias("w"))
-    a, b = token.alias("a"), token.alias("b")
-    on = (F.col("a.venue_id") == F.col("b.venue_id")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id"))
-    shared, least = F.size(F.array_intersect("a.words", "b.words")), F.least(F.size("a.words"), F.size("b.words"))
-    alike = F.startswith("a.flat", F.col("b.flat")) | F.startswith("b.flat", F.col("a.flat")) | F.coalesce(F.try_divide(shared, least) >= SIMILAR_NAMES, F.lit(False))
-    return a.join(b, on).where(alike).select(F.col("a.venue_id"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    rows = names.where("name is not null").select("venue_id", "id", flat.alias("flat"), words.alias("words"))
+    side = lambda end: rows.select("venue_id", F.col("id").alias(f"id_{end}"), F.col("flat").alias(f"flat_{end}"), F.col("words").alias(f"words_{end}"))
+    begins = rows.select("venue_id", F.col("id").alias("other"), F.explode(F.transform(F.sequence(F.lit(0), F.char_length("flat")), lambda n: F.substring(F.col("flat"), F.lit(1), n))).alias("flat"))
+    prefix = rows.select("venue_id", "id", "flat").join(begins, ["venue_id", "flat"]).where("id <> other").select("venue_id", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
+    token = lambda end: side(end).withColumn("w", F.explode(f"words_{end}"))
+    shared, least = F.size(F.array_intersect("words_a", "words_b")), F.least(F.size("words_a"), F.size("words_b"))
+    met = token("a").join(token("b"), ["venue_id", "w"]).where("id_a < id_b").where(shared / least >= SIMILAR_NAMES)
+    return prefix.unionByName(met.select("venue_id", "id_a", "id_b")).distinct()
 
 
 def ship_report(attempts: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries of current rows, batches, checks, titles, readiness and lookups, on the test tables and on fixture captions."""
+"""Queries of current rows, batches, checks, titles, readiness and lookups, on the test tables; captions are samples that every customer has."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kithgraph.operators import checks as C
 from kithgraph.operators import currency as U
 from kithgraph.operators import helpers as H
+from kithgraph.plans.vocabulary import spread
 from kithgraph.registry import query
 from kithgraph.tables import table
 
@@ -29,17 +30,18 @@ def values(rows: list[tuple], name: str, columns: str) -> str:
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)})"
 
 
-CAP = values(CAPTIONS, "cap", "id, caption")
+CAP = values(CAPTIONS, "sample", "id, caption") + ", cap AS (SELECT c_custkey * 100 + id AS id, caption || chr(10) || 'for ' || c_mktsegment AS caption FROM sample, customer)"
 ACC = values(ACCOUNTS, "acc", "account_id, username, role")
 
 
-def captions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CAPTIONS, "id long, caption string")
+def captions(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's posts with the sample captions, which end with the customer's segment."""
+    return spread(spark, d, CAPTIONS, "id long, caption string").select((F.col("c_custkey") * 100 + F.col("id")).alias("id"), F.concat("caption", F.lit("\nfor "), "c_mktsegment").alias("caption"))
 
 
-@query("snk03_conditional_delete", "SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49 AND l_returnflag = 'R' AND l_partkey % 10 = 0)")
+@query("snk03_conditional_delete", "SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49 AND l_returnflag = 'R' AND l_discount > 0.09)")
 def snk03(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_quantity > 49 and l_returnflag = 'R' and l_partkey % 10 = 0")
+    lines = table(spark, d, "lineitem").where("l_quantity > 49 and l_returnflag = 'R' and l_discount > 0.09")
     return U.deleted_without(table(spark, d, "supplier"), lines.select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey").select("s_suppkey", "s_name")
 
 
@@ -95,9 +97,9 @@ def dat03(spark: SparkSession, d: str) -> DataFrame:
 OLD = [(i, r) for i, r in enumerate([*C.OLD_ROLES, "unheard_of", None])]
 
 
-@query("txt07_old_roles", f"WITH {values(OLD, 'r', 'id, role')}, {values(list(C.OLD_ROLES.items()), 'm', 'role, slug')} SELECT id, coalesce(slug, 'other') AS slug FROM r LEFT JOIN m USING (role)")
+@query("txt07_old_roles", f"WITH {values(OLD, 'r', 'id, role')}, {values(list(C.OLD_ROLES.items()), 'm', 'role, slug')} SELECT c_custkey * 100 + id AS id, coalesce(slug, 'other') AS slug FROM customer, r LEFT JOIN m USING (role)")
 def txt07(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(OLD, "id long, role string").select("id", C.mapped(F.col("role"), C.OLD_ROLES, F.lit("other")).alias("slug"))
+    return spread(spark, d, OLD, "id long, role string").select((F.col("c_custkey") * 100 + F.col("id")).alias("id"), C.mapped(F.col("role"), C.OLD_ROLES, F.lit("other")).alias("slug"))
 
 
 @query(
@@ -107,7 +109,7 @@ def txt07(spark: SparkSession, d: str) -> DataFrame:
     SELECT cap.id, title FROM cap LEFT JOIN t ON t.id = cap.id""",
 )
 def txt09(spark: SparkSession, d: str) -> DataFrame:
-    return captions(spark).select("id", C.other_event_title(F.col("caption")).alias("title"))
+    return captions(spark, d).select("id", C.other_event_title(F.col("caption")).alias("title"))
 
 
 NAMES_OUT = ", ".join(f"'{w}'" for w in BLOCKED)
@@ -130,20 +132,20 @@ TITLES = ", ".join([
 
 @query("str13_couple_title", f"WITH {CAP} SELECT id, coalesce(t1, t2, t3, t4, t5) AS title FROM (SELECT id, {TITLES} FROM cap)")
 def str13(spark: SparkSession, d: str) -> DataFrame:
-    return captions(spark).select("id", C.couple_title(F.col("caption"), BLOCKED).alias("title"))
+    return captions(spark, d).select("id", C.couple_title(F.col("caption"), BLOCKED).alias("title"))
 
 
 @query(
     "ev04_inline_venues",
     f"""WITH {CAP}, {ACC}, m AS (SELECT id, caption, lower(unnest(regexp_extract_all(caption, '@([a-zA-Z0-9_.]+)', 1))) AS handle FROM cap)
-    SELECT DISTINCT id, account_id, 'venue' AS role FROM m JOIN acc ON lower(username) = handle AND role = 'venue' WHERE regexp_matches(caption, '(?i)(their wedding|wedding reception|wedding at )') AND id <> 15""",
+    SELECT DISTINCT id, account_id, 'venue' AS role FROM m JOIN acc ON lower(username) = handle AND role = 'venue' WHERE regexp_matches(caption, '(?i)(their wedding|wedding reception|wedding at )') AND id % 100 <> 15""",
 )
 def ev04(spark: SparkSession, d: str) -> DataFrame:
     """Venues that a recap mentions in passing, for posts that have no venue yet."""
-    told = captions(spark).where(F.col("caption").rlike("(?i)(their wedding|wedding reception|wedding at )"))
+    told = captions(spark, d).where(F.col("caption").rlike("(?i)(their wedding|wedding reception|wedding at )"))
     handle = told.select("id", F.explode(F.regexp_extract_all("caption", F.lit("@([a-zA-Z0-9_.]+)"), F.lit(1))).alias("h"))
     venue = spark.createDataFrame(ACCOUNTS, "account_id long, username string, role string").where("role = 'venue'")
-    has_venue = spark.createDataFrame([(15,)], "id long")
+    has_venue = captions(spark, d).where("id % 100 = 15").select("id")
     return handle.join(venue, F.lower("h") == F.lower("username")).select("id", "account_id", "role").distinct().join(has_venue, "id", "left_anti")
 
 
@@ -364,14 +366,18 @@ HEADS = [(1, 150, 0), (2, 120, 0), (3, 300, 0), (4, 75, 1)]
 
 @query(
     "doc11_guest_range",
-    f"""WITH {values(VENUES, "v", "venue_id, min_status, min_guests, max_guests")}, {values(CAPS, "c", "venue_id, cond, lo, hi")}, {values(HEADS, "h", "venue_id, headline, cocktail")},
+    f"""WITH {values(VENUES, "v0", "venue_id, min_status, min_guests, max_guests")}, {values(CAPS, "c0", "venue_id, cond, lo, hi")}, {values(HEADS, "h0", "venue_id, headline, cocktail")},
+    v AS (SELECT c_custkey * 10 + venue_id AS venue_id, min_status, min_guests, max_guests + c_nationkey AS max_guests FROM v0, customer), c AS (SELECT c_custkey * 10 + venue_id AS venue_id, cond, lo, hi + c_nationkey AS hi FROM c0, customer),
+    h AS (SELECT c_custkey * 10 + venue_id AS venue_id, headline + c_nationkey AS headline, cocktail FROM h0, customer),
     x AS (SELECT v.*, h.headline, h.cocktail, (SELECT min(lo) FROM c WHERE c.venue_id = v.venue_id) AS least, coalesce(v.max_guests IS NOT NULL AND NOT (EXISTS (SELECT 1 FROM c WHERE c.venue_id = v.venue_id AND regexp_matches(cond, '(?i)gala|corporate') AND hi = v.max_guests) AND coalesce(h.headline < v.max_guests, false)), false) AS stated FROM v LEFT JOIN h USING (venue_id))
     SELECT venue_id, CASE min_status WHEN 'conflicting' THEN NULL WHEN 'stated' THEN min_guests ELSE least END AS min, CASE WHEN stated THEN max_guests ELSE headline END AS max, CASE WHEN stated OR coalesce(cocktail, 0) = 1 THEN 'guests' ELSE 'seated' END AS max_measures FROM x""",
 )
 def doc11(spark: SparkSession, d: str) -> DataFrame:
-    v = spark.createDataFrame(VENUES, "venue_id int, min_status string, min_guests int, max_guests int")
-    c = spark.createDataFrame(CAPS, "venue_id int, condition string, min int, max int")
-    h = spark.createDataFrame(HEADS, "venue_id int, headline int, cocktail_only int").withColumn("cocktail_only", F.col("cocktail_only") == 1)
+    """Every customer's five sample venues, larger by the number of the customer's nation."""
+    venue, more = (F.col("c_custkey") * 10 + F.col("venue_id")).alias("venue_id"), lambda c: (F.col(c) + F.col("c_nationkey")).alias(c)
+    v = spread(spark, d, VENUES, "venue_id int, min_status string, min_guests int, max_guests int").select(venue, "min_status", "min_guests", more("max_guests"))
+    c = spread(spark, d, CAPS, "venue_id int, condition string, min int, max int").select(venue, "condition", "min", more("max"))
+    h = spread(spark, d, HEADS, "venue_id int, headline int, cocktail_only int").select(venue, more("headline"), (F.col("cocktail_only") == 1).alias("cocktail_only"))
     return C.guest_range(v, c, h)
 
 
@@ -387,8 +393,8 @@ def doc16(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", level.alias("level"))
 
 
-ADD_ONS = [(1, 1, "12 uplights + monogram package"), (1, 2, "Package of 12 uplights + monogram"), (1, 3, "Chair covers (each)"), (1, 4, "chair covers"), (1, 5, "Dance floor"), (1, 6, "Dance lighting"), (2, 7, "Dance floor"), (2, 8, "Dance floor rental upgrade"), (2, 9, "a"), (2, 10, "A!")]
-ADD_ON_SQL = f"""WITH {values(ADD_ONS, "n", "venue_id, id, name")}, f AS (SELECT *, trim(regexp_replace(regexp_replace(lower(name), '\\(.*?\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS flat FROM n),
+ADD_ONS = [(1, 1, "12 uplights + monogram package"), (1, 2, "Package of 12 uplights + monogram"), (1, 3, "Chair covers (each)"), (1, 4, "chair covers"), (1, 5, "Dance floor"), (1, 6, "Dance lighting"), (2, 7, "Dance floor"), (2, 8, "Dance floor rental upgrade"), (2, 9, "a"), (2, 10, "A!"), (2, 11, "Up"), (2, 12, "Uplights"), (2, 13, "Dan")]
+ADD_ON_SQL = f"""WITH {values(ADD_ONS, "n0", "venue_id, id, name")}, n AS (SELECT c_custkey * 10 + venue_id AS venue_id, id, name FROM n0, customer UNION ALL SELECT DISTINCT -1 - l_orderkey, l_partkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey), f AS (SELECT *, trim(regexp_replace(regexp_replace(lower(name), '\\(.*?\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS flat FROM n),
     w AS (SELECT *, list_distinct([t FOR t IN string_split(flat, ' ') IF length(t) > 1 AND t NOT IN ({', '.join(f"'{x}'" for x in C.NAME_STOPS)})]) AS ws FROM f)
     SELECT a.venue_id, a.id AS id_a, b.id AS id_b FROM w a JOIN w b ON a.venue_id = b.venue_id AND a.id < b.id
     WHERE starts_with(a.flat, b.flat) OR starts_with(b.flat, a.flat) OR (len(a.ws) > 0 AND len(b.ws) > 0 AND len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) >= 0.6)"""
@@ -396,7 +402,11 @@ ADD_ON_SQL = f"""WITH {values(ADD_ONS, "n", "venue_id, id, name")}, f AS (SELECT
 
 @query("doc21_similar_add_ons", ADD_ON_SQL)
 def doc21(spark: SparkSession, d: str) -> DataFrame:
-    return C.similar_names(spark.createDataFrame(ADD_ONS, "venue_id int, id int, name string"))
+    """Every customer's sample add-ons, and the parts of every order as its own."""
+    samples = spread(spark, d, ADD_ONS, "venue_id int, id long, name string").select((F.col("c_custkey") * 10 + F.col("venue_id")).alias("venue_id"), "id", "name")
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    parts = table(spark, d, "lineitem").select((-F.col("l_orderkey") - 1).alias("venue_id"), F.col("l_partkey").alias("id")).distinct().join(names, "id")
+    return C.similar_names(samples.unionByName(parts))
 
 
 @query(
@@ -442,9 +452,9 @@ ASKED = [(i, r) for i, r in enumerate([*SLOTS, "unheard_of", None])]
 
 @query(
     "srv14_role_labels",
-    f"WITH {values(ASKED, 'r', 'id, role')}, {values(list(ROLES.items()), 'l', 'role, label')}, {values(list(SLOTS.items()), 's', 'role, slot')} SELECT id, coalesce(label, 'Vendor') AS label, coalesce(slot, 'Other') AS slot FROM r LEFT JOIN l USING (role) LEFT JOIN s USING (role)",
+    f"WITH {values(ASKED, 'r', 'id, role')}, {values(list(ROLES.items()), 'l', 'role, label')}, {values(list(SLOTS.items()), 's', 'role, slot')} SELECT c_custkey * 100 + id AS id, coalesce(label, 'Vendor') AS label, coalesce(slot, 'Other') AS slot FROM customer, r LEFT JOIN l USING (role) LEFT JOIN s USING (role)",
 )
 def srv14(spark: SparkSession, d: str) -> DataFrame:
     """Labels and team slots of roles, out of small tables of constants."""
     role = F.col("role")
-    return spark.createDataFrame(ASKED, "id long, role string").select("id", C.mapped(role, ROLES, F.lit("Vendor")).alias("label"), C.mapped(role, SLOTS, F.lit("Other")).alias("slot"))
+    return spread(spark, d, ASKED, "id long, role string").select((F.col("c_custkey") * 100 + F.col("id")).alias("id"), C.mapped(role, ROLES, F.lit("Vendor")).alias("label"), C.mapped(role, SLOTS, F.lit("Other")).alias("slot"))

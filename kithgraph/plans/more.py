@@ -11,6 +11,7 @@ from kithgraph.operators import acquire as A
 from kithgraph.operators import decisions as D
 from kithgraph.operators import evidence as E
 from kithgraph.operators import helpers as H
+from kithgraph.plans.vocabulary import RULES
 from kithgraph.registry import query
 from kithgraph.tables import table
 
@@ -149,7 +150,7 @@ def flt11(spark: SparkSession, d: str) -> DataFrame:
 def txt06(spark: SparkSession, d: str) -> DataFrame:
     flag, phase = F.col("l_returnflag"), F.when(F.col("l_linestatus") == "O", "Rehearsal Dinner ").otherwise("")
     label = F.when(flag == "R", F.concat(phase, F.lit("Photography"))).when(flag == "A", "Reception:").otherwise(F.concat(phase, F.lit("Hair & Makeup")))
-    return L.with_roles(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", label.alias("raw")), "raw").groupBy("l_returnflag", "l_linestatus", "roles", "event_context").agg(F.count("*").alias("n"))
+    return L.with_roles(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", label.alias("raw")), "raw", RULES).groupBy("l_returnflag", "l_linestatus", "roles", "event_context").agg(F.count("*").alias("n"))
 
 
 @query("txt15_venue_kind", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'country_club' WHEN 1 THEN 'farm_estate' WHEN 2 THEN 'event_space' ELSE 'other' END AS kind FROM part")

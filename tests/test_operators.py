@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kithgraph.functions import credits, places, text, urls
 from kithgraph.operators import acquire, documents, entities, evaluate, evidence, helpers, serving
+from kithgraph.plans.vocabulary import RULES
 from kithgraph.sources import files, posts
 from kithgraph.streaming import ingest
 
@@ -253,7 +254,7 @@ def test_tables_that_are_rebuilt_or_frozen(spark, tmp_path):
 
 def test_labelled_credits_fan_out(spark):
     rows = spark.createDataFrame([(1, "Catering/Bar 🥗:@chic\nBride: @her\n👰🏻‍♀️ @dress\nVenue: @xx - Photo: @yy")], "post_id long, caption string")
-    got = {(r.line_no, r.label, r.handle, r.role, r.participant) for r in credits.labelled_credits(rows).collect()}
+    got = {(r.line_no, r.label, r.handle, r.role, r.participant) for r in credits.labelled_credits(rows, RULES).collect()}
     assert got == {
         (0, "Catering/Bar 🥗", "chic", "catering", None), (0, "Catering/Bar 🥗", "chic", "bar_service", None), (1, "Bride", "her", None, "bride"),
         (2, "👰🏻‍♀️", "dress", "wedding_dress", None), (3, "Venue", "xx", "venue", None), (3, "Photo", "yy", "photographer", None),
