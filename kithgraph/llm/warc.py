@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import by_rows, new_path, written
+from kithgraph.llm.common import Scratch, by_rows, new_path, written
 
 VERSION = "WARC/1.1"
 #: Characters of a block in one record, and of a payload in one chunk.
@@ -67,7 +67,7 @@ def record(headers: list[tuple[str, object]], block: str) -> str:
     return f"{VERSION}\r\n{lines}Content-Length: {len(block.encode())}\r\n\r\n{block}"
 
 
-def decisions(pages: DataFrame) -> DataFrame:
+def decisions(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds digest, n_bytes, record_type and refers_to: of equal payloads of LEAST bytes or more, the largest page_id answers.
 
     Only digests, ids and urls are grouped. Rows that share both the payload and that page_id are all responses; a group
@@ -76,7 +76,7 @@ def decisions(pages: DataFrame) -> DataFrame:
     """
     rows = pages.withColumn("digest", F.sha1(F.encode("payload", "UTF-8"))).withColumn("n_bytes", F.octet_length("payload").cast("long"))
     chosen = rows.where(F.col("n_bytes") >= LEAST).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("_top"), F.count("*").alias("_n")).where("_n > 1")
-    chosen = written(chosen.select("digest", F.col("_top.page_id").alias("_first"), F.col("_top.url").alias("_first_url")), "responses")
+    chosen = scratch(chosen.select("digest", F.col("_top.page_id").alias("_first"), F.col("_top.url").alias("_first_url")), "responses")
     again = F.coalesce(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")) & (F.col("n_bytes") >= LEAST), F.lit(False))
     return rows.join(chosen, "digest", "left").select(
         "page_id", "url", "payload", "digest", "n_bytes",
@@ -85,8 +85,8 @@ def decisions(pages: DataFrame) -> DataFrame:
 
 
 def uri(url: str | None) -> str | None:
-    """A url as a header value: no white space or control characters."""
-    return quote(url or "", safe=":/?#[]@!$&'()*+,;=%") or None
+    """A url as a header value: no white space or control characters, and not the text that records start with."""
+    return quote(url or "", safe=":/?#[]@!$&'()*+,;=%").replace(VERSION, quote(VERSION, safe="")) or None
 
 
 def records(rows: Iterator[pd.DataFrame], date: str) -> Iterator[pd.DataFrame]:
@@ -128,7 +128,12 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> No
     segments. Repeated rows are records of their own, equal ids and payloads all responses. An empty table gives archives
     without records. Other columns are ignored, whatever their names.
     """
-    rows = decisions(pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")))
+    with Scratch(pages.sparkSession) as scratch:
+        rows = decisions(pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")), scratch)
+        write_records(rows, path, date)
+
+
+def write_records(rows: DataFrame, path: str, date: str) -> None:
     texts = rows.select(F.col("page_id").cast("string").alias("page"), F.col("url").cast("string"), "payload", "digest", "record_type", F.col("refers_to").cast("string").alias("refers"), F.col("refers_url").cast("string"))
     lines = by_rows(texts, lambda rows: records(rows, date), "value string")
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
@@ -164,6 +169,8 @@ def decoded(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of archives: (page_id, record_type, refers_to, digest, payload as bytes, null for revisits).
 
+    Records without a page come with a null page_id; repeated records each for itself; a folder of empty archives gives none.
+
     Segments of a record are brought together by the id of their origin; all others are decoded where they are read. A
     group is one record, so its size is one payload's. A missing segment or a wrong length fails the job.
     """
@@ -187,8 +194,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     rows = read(spark, path).select("page_id", "record_type", "refers_to", F.col("digest").alias("payload_digest"), F.octet_length("payload").cast("long").alias("own_bytes"))
-    told = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("own_bytes").alias("their_bytes"))
-    return rows.join(told, ["refers_to", "payload_digest"], "left").select("page_id", F.coalesce("own_bytes", "their_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    with Scratch(spark) as scratch:
+        rows = scratch(rows, "read-back")
+        # a written table, so that Spark can split a response that a large part of the pages refer to
+        told = scratch(rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("own_bytes").alias("their_bytes")), "told")
+        out = rows.join(told, ["refers_to", "payload_digest"], "left").select("page_id", F.coalesce("own_bytes", "their_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+        return written(out, "warc-told")
 
 
 OP6_SQL = """

@@ -105,3 +105,14 @@ def test_quality_scores(spark):
     assert kept.columns == docs.columns and kept.where("doc_id between 100 and 159").count() == 0 and kept.where("doc_id < 60").count() == 61
     assert quality.scored(docs.limit(0), labels).count() == 0
     assert {r.score for r in quality.scored(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_archives_survive_any_url(spark):
+    """Urls, referred ones too, that hold or end in what records start with; a payload that half of the pages share."""
+    hard = [f"https://v.com/{warc.VERSION}", warc.VERSION, f"{warc.VERSION}\r\n", f"x {warc.VERSION}\r\n{warc.VERSION}", "Content-Length: 5", "", None, "https://v.com/%0d%0aé"]
+    shared = f"same {warc.VERSION}\r\n payload " * 60
+    rows = [(i, hard[i % len(hard)], shared if i % 2 else f"own {i} {warc.VERSION}") for i in range(40)] + [(99, f"a/{warc.VERSION}", shared)]
+    path = new_path(spark, "warc-test")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = {r.page_id: (r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload).decode()) for r in warc.read(spark, path).collect()}
+    assert got == {i: ("revisit", 99, None) if h == shared and i != 99 else ("response", None, h) for i, _, h in rows}
