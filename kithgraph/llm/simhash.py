@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -209,11 +208,6 @@ def keys_of(hashes: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray
     return hashes[np.lexsort((hashes, last))][:m].view(np.int64)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
-    return (LINK + OF) * len(np.intersect1d(a, b, assume_unique=True)) >= LINK * (len(a) + len(b))
-
-
 def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of many documents of a sample, in order, and the rank of each by its documents."""
     some = docs.where(F.pmod("_k1", F.lit(SAMPLE)) == 0).select("text")
@@ -248,13 +242,9 @@ def true_links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, keep: Scratc
     texts = docs.select(*KEY, "text").join(nodes.select("node", *KEY).join(ends, "node", "left_semi"), KEY).dropDuplicates(["node"])
     sets = keep(with_columns_from(texts, "text", lambda: lambda ts: [[shingle_set(t).view(np.int64) for t in ts]], "sh array<long>").select("node", "sh"), "sets")
 
-    def check(batches):
-        for batch in batches:
-            good = [alike(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
-    return keep(met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    shared = F.size(F.array_intersect("x", "y"))  # in the plan: batches of pairs of whole sets would fill the memory beside the heap
+    return keep(met.where(shared * (LINK + OF) >= (F.size("x") + F.size("y")) * LINK).select("a", "b"), "links")
 
 
 def covered(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
