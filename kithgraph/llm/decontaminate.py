@@ -18,7 +18,7 @@ from kithgraph.llm.common import packed_rows, text_of, unpacked_rows, with_colum
 N = 10
 #: Words of items that one broadcast set holds at most (about 100 bytes each).
 BLOCK_WORDS = 1_000_000
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 MANY = np.uint64(0x9E3779B97F4A7C15)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 WORD = np.array([b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
