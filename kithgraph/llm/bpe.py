@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Characters below this are split here, which covers the alphabetic scripts.
 TABLED = 0x3000
-CHUNK_CHARS = 600_000
+CHUNK_CHARS = 300_000
 #: What an apostrophe takes with it: one letter, or two as one number.
 SHORT = [ord(c) for c in "stmd"]
 LONG = [ord(a) << 16 | ord(b) for a, b in ("re", "ve", "ll")]

@@ -78,14 +78,15 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = bpe.encoder(vocabulary).encode
+        encoder = bpe.encoder(vocabulary)
         for rows in batches:
             out = []
-            for doc, ids in zip(rows.doc_id.tolist(), encode(rows.text.tolist()), strict=True):
+            for doc, ids in zip(rows.doc_id.tolist(), encoder.encode(rows.text.tolist()), strict=True):
                 raw = np.append(ids, end_id).astype("<u4").tobytes()
                 n = len(raw) // 4
                 out += [(doc, a, m, zlib.crc32(raw[4 * a : 4 * (a + m)]), n) for a, m in cuts(n)]
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder.forget()  # the worker stays for later stages, its cache need not
 
     return by_rows(docs.select(F.col("doc_id").cast("string"), text_of().alias("text")), cut, PIECES)
 
