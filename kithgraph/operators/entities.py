@@ -31,22 +31,28 @@ def pairs_in_groups(rows: DataFrame, most: int) -> DataFrame:
 
 
 def within_edits(names: DataFrame, most: int) -> DataFrame:
-    """Pairs (id_a < id_b, distance) of names within so many edits. names: id, name.
+    """Pairs (id_a < id_b, distance) of names within so many edits. names: id, name, and block where only names of one block may meet.
 
     Names of nearby lengths meet by a piece: of two names within k edits, one of the k + 1 even pieces of the one is found
     in the other, shifted by k at most, so rows join on (length, piece, text) instead of on length alone.
     """
-    size = F.char_length("name")
-    base = names.where("name is not null").select("id", "name", size.alias("n"))
+    size, block = F.char_length("name"), ["block"] if "block" in names.columns else []
+    base = names.where("name is not null").select("id", "name", *block, size.alias("n"))
     parts = most + 1
     begin = lambda n, i: F.floor(n * i / parts).cast("int")
-    piece = base.select(F.col("id").alias("id_a"), F.col("name").alias("name_a"), F.col("n").alias("n_a"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.substring(F.col("name"), begin(F.col("n"), i) + 1, begin(F.col("n"), i + 1) - begin(F.col("n"), i)))).alias("i", "piece"))
-    shifted = base.select(F.col("id").alias("id_b"), F.col("name").alias("name_b"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - most), F.col("n") + most)).alias("n_a"), "n")
-    shifted = shifted.select("id_b", "name_b", "n_a", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("i"))
-    shifted = shifted.select("id_b", "name_b", "n_a", "i", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift"))
+    cut = lambda i: F.substring(F.col("name"), begin(F.col("n"), i) + 1, begin(F.col("n"), i + 1) - begin(F.col("n"), i))
+    pieces = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(most)), cut)).alias("i", "piece")
+    piece = base.select(F.col("id").alias("id_a"), F.col("name").alias("name_a"), F.col("n").alias("n_a"), *block, pieces)
+    lengths = F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - most), F.col("n") + most)).alias("n_a")
+    shifted = base.select(F.col("id").alias("id_b"), F.col("name").alias("name_b"), *block, lengths, "n")
+    shifted = shifted.select("id_b", "name_b", "n_a", *block, F.explode(F.sequence(F.lit(0), F.lit(most))).alias("i"))
+    shifted = shifted.select("id_b", "name_b", "n_a", *block, "i", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift"))
     at, length = begin(F.col("n_a"), F.col("i")) + F.col("shift"), begin(F.col("n_a"), F.col("i") + 1) - begin(F.col("n_a"), F.col("i"))
-    shifted = shifted.where((at >= 0) & (at + length <= F.char_length("name_b"))).select("id_b", "name_b", "n_a", "i", F.substring(F.col("name_b"), at + 1, length).alias("piece")).distinct()
-    near = piece.join(shifted, ["n_a", "i", "piece"]).where("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.when(F.col("id_a") < F.col("id_b"), F.col("name_a")).otherwise(F.col("name_b")).alias("x"), F.when(F.col("id_a") < F.col("id_b"), F.col("name_b")).otherwise(F.col("name_a")).alias("y")).distinct()
+    inside = shifted.where((at >= 0) & (at + length <= F.char_length("name_b")))
+    shifted = inside.select("id_b", "name_b", "n_a", *block, "i", F.substring(F.col("name_b"), at + 1, length).alias("piece")).distinct()
+    first = lambda x, y: F.when(F.col("id_a") < F.col("id_b"), F.col(x)).otherwise(F.col(y))
+    met = piece.join(shifted, ["n_a", *block, "i", "piece"]).where("id_a <> id_b")
+    near = met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), first("name_a", "name_b").alias("x"), first("name_b", "name_a").alias("y")).distinct()
     return near.withColumn("distance", F.levenshtein("x", "y")).where(F.col("distance") <= most).select("id_a", "id_b", "distance")
 
 
