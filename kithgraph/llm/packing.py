@@ -27,6 +27,8 @@ PIECE = 256
 #: Pieces in a group that is partitioned at once, on average.
 GROUP = 768
 END_ID = 1
+#: Characters that are split at once: half of the encoder's own, as packing shares its workers with other stages.
+CHUNK_CHARS = 300_000
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -81,7 +83,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
         encoder = bpe.encoder(vocabulary)
         for rows in batches:
             out = []
-            for doc, ids in zip(rows.doc_id.tolist(), encoder.encode(rows.text.tolist()), strict=True):
+            for doc, ids in zip(rows.doc_id.tolist(), encoder.encode(rows.text.tolist(), CHUNK_CHARS), strict=True):
                 raw = np.append(ids, end_id).astype("<u4").tobytes()
                 n = len(raw) // 4
                 out += [(doc, a, m, zlib.crc32(raw[4 * a : 4 * (a + m)]), n) for a, m in cuts(n)]
