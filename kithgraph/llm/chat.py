@@ -110,9 +110,16 @@ def formatted(turns: DataFrame, template: Template = default_template, local: bo
     turns: conv_id, turn, role, text. Null texts and roles are empty. Turns go by (turn, role, text), null turns first;
     repeated rows are turns. A null conv_id is a conversation. Very long texts and conversations are rendered whole. An
     empty table gives none; other columns are ignored, whatever their names. starts and ends are the assistant texts'
-    places in the slice. `local` overrides the probes; a local template that joins turns otherwise fails the job.
+    places in the slice.
+
+    Only a template that renders turns one by one may see a conversation in segments, and no probe can tell that of a black
+    box: one may change after any number of turns. So `local` is the caller's word; without it all templates but our own
+    see whole conversations. A template that is called local but fails the probes, or whose segments are not what their
+    halves give, fails the job.
     """
-    local = is_local(template) if local is None else local
+    local = template is default_template if local is None else local
+    if local and not is_local(template):
+        raise ValueError("the template does not render turns one by one; pass local=False")
     rows = turns.select(F.col("conv_id").cast("string"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-1)).cast("long") if local else F.lit(0).cast("long"))
 

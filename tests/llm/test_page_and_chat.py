@@ -83,12 +83,20 @@ def test_template_that_rewrites_history(spark):
     assert [p.text[a:b] for p in parts for a, b in zip(p.starts, p.ends, strict=True)] == [t for r, t in turns if r == "assistant"]
 
 
-def test_template_that_looks_local_at_first(spark):
-    late = lambda ts: "".join(f"{r}: {t}|" for r, t in ts) + ("many turns" if len(ts) > 100 else "")
-    rows = spark.createDataFrame([(1, i, "user", str(i)) for i in range(300)], "conv_id long, turn long, role string, text string")
-    with pytest.raises(Exception, match="local=False"):
-        chat.formatted(rows, late).collect()
-    assert "".join(p.text for p in chat.formatted(rows, late, local=False).orderBy("number").collect()) == late([("user", str(i)) for i in range(300)])
+@pytest.mark.parametrize("after", [100, 300, 700])
+def test_template_that_looks_local_at_first(spark, after):
+    late = lambda ts: "".join(f"{r}: {t}|" for r, t in ts) + ("many turns" if len(ts) > after else "")
+    rows = spark.createDataFrame([(1, i, "user", str(i)) for i in range(800)], "conv_id long, turn long, role string, text string")
+    assert "".join(p.text for p in chat.formatted(rows, late).orderBy("number").collect()) == late([("user", str(i)) for i in range(800)])
+    if after == 100:
+        with pytest.raises(Exception, match="local=False"):
+            chat.formatted(rows, late, local=True).collect()
+
+
+def test_template_that_is_called_local_wrongly(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(ValueError, match="local=False"):
+        chat.formatted(rows, lambda ts: f"[{len(ts)}]", local=True)
 
 
 def test_quality_scores(spark):
