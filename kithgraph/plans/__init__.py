@@ -3,6 +3,6 @@
 
 def load_all() -> None:
     """Imports every module of queries, which registers them."""
-    from kithgraph.plans import accounts, alignment, crawl, entities, further, graph, more, relational, resolution, sampling, settled, text, venues, views
+    from kithgraph.plans import accounts, alignment, batches, crawl, entities, further, graph, more, relational, resolution, sampling, settled, text, venues, views
 
-    _ = (accounts, alignment, crawl, entities, further, graph, more, relational, resolution, sampling, settled, text, venues, views)
+    _ = (accounts, alignment, batches, crawl, entities, further, graph, more, relational, resolution, sampling, settled, text, venues, views)
