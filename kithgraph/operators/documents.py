@@ -36,20 +36,26 @@ def coverage(quote: Column, page: Column) -> Column:
 def grounding(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """Where each quote stands: pass, grounded_elsewhere, weak_quote, source_not_crawled or fail, with its coverage.
 
-    quotes: quote_id, entity_id, quote, source_url; pages: entity_id, url, text. A quote's words meet the words of its
-    entity's pages in an equi-join; pages without any of them never pair with it.
+    quotes: quote_id, entity_id, quote, source_url; pages: entity_id, url, text. A page that holds 0.8 of a quote's n words
+    lacks few of them, so it holds one of the rarest n - ceil(0.8 n) + 1; pages are looked for by those alone, and a word that
+    most pages of an entity have pairs nothing. What is found, and the page that a quote names, is then counted in full.
     """
     from kithgraph.functions.text import url_key
 
     q = quotes.select("quote_id", "entity_id", url_key("source_url").alias("source"), words(F.col("quote")).alias("w"))
-    of_page = pages.select("entity_id", url_key("url").alias("page"), F.explode(F.array_distinct(words(F.col("text")))).alias("word")).distinct()
-    known = pages.select("entity_id", url_key("url").alias("source")).distinct().withColumn("crawled", F.lit(True))
-    each = q.select("quote_id", "entity_id", F.explode("w").alias("word"))
-    found = each.join(of_page, ["entity_id", "word"]).groupBy("quote_id", "page").agg(F.count("*").alias("hits"), F.count_if(F.col("word").rlike("^[0-9]")).alias("numbers"))
+    p = pages.select("entity_id", url_key("url").alias("page"), words(F.col("text")).alias("held")).groupBy("entity_id", "page").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
+    of_page = p.select("entity_id", "page", F.explode("held").alias("word"))
+    uses = of_page.groupBy("entity_id", "word").agg(F.count("*").alias("uses"))
+    each = q.select("quote_id", "entity_id", F.size("w").alias("n"), F.explode("w").alias("word")).join(uses, ["entity_id", "word"], "left")
+    ordered = each.groupBy("quote_id", "entity_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "word"))).alias("o"))
+    rare = ordered.select("quote_id", "entity_id", F.explode(F.array_distinct(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * CLEAN - 1e-9).cast("int") + 1)["word"])).alias("word"))
+    near = rare.join(of_page, ["entity_id", "word"]).select("quote_id", "entity_id", "page").unionByName(q.select("quote_id", "entity_id", F.col("source").alias("page"))).distinct()
+    holds = F.filter("w", lambda x: F.array_contains("held", x))
     sized = q.select("quote_id", "source", "entity_id", F.size("w").alias("n"), F.size(F.filter("w", lambda x: x.rlike("^[0-9]"))).alias("n_numbers"))
-    scored = found.join(sized, "quote_id").withColumn("coverage", F.col("hits") / F.col("n"))
-    best = scored.groupBy("quote_id").agg(F.min_by(F.struct("page", "coverage", "numbers"), F.struct(-F.col("coverage"), F.col("page") != F.col("source"), "page")).alias("best"))
-    own = scored.where("page = source").select("quote_id", F.col("coverage").alias("own"))
+    scored = near.join(q, ["quote_id", "entity_id"]).join(p, ["entity_id", "page"]).select("quote_id", "source", "page", F.try_divide(F.size(holds), F.size("w")).alias("coverage"), F.size(F.filter(holds, lambda x: x.rlike("^[0-9]"))).alias("numbers"))
+    best = scored.where(F.col("coverage") >= CLEAN).groupBy("quote_id").agg(F.min_by(F.struct("page", "coverage", "numbers"), F.struct(-F.col("coverage"), F.col("page") != F.col("source"), "page")).alias("best"))
+    own = scored.where("page = source and coverage > 0").select("quote_id", F.col("coverage").alias("own"))
+    known = p.select("entity_id", F.col("page").alias("source")).withColumn("crawled", F.lit(True))
     rows = sized.join(best, "quote_id", "left").join(own, "quote_id", "left").join(known, ["entity_id", "source"], "left")
     clean = (F.col("best.coverage") >= CLEAN) & (F.col("best.numbers") >= F.col("n_numbers")) & (F.col("n") >= STRICT_WORDS)
     at_source = F.coalesce("own", F.lit(0.0))
