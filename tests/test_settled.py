@@ -100,6 +100,15 @@ def one_by_one(names):
     return into
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_small_venues_in_pairs_and_large_ones_on_pieces_find_the_same(spark, seed):
+    rng = random.Random(seed)
+    rows = [(v, p, "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 8))) if rng.random() < 0.95 else None) for v in (1, 2, None) for p in range(25)]
+    spaces = spark.createDataFrame(rows, "venue_id long, place int, name string")
+    found = lambda most: sorted(map(tuple, S.alike_names(spaces, most).collect()))
+    assert found(256) == found(1) and len(found(256)) == len(set(found(256))) > 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_merged_spaces_are_read_one_by_one(spark, seed):
     rng = random.Random(seed)
