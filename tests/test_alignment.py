@@ -7,6 +7,7 @@ import pytest
 from kithgraph.operators import clusterings as C
 from kithgraph.operators import entities as E
 from kithgraph.operators import matching as M
+from pyspark.sql import functions as F
 
 
 def greedy(pairs):
@@ -120,3 +121,14 @@ def test_inclusive_fold_merges_what_the_strict_one_keeps(spark):
     fold = lambda **how: E.greedy_events(posts, **how).selectExpr("post_id AS item", "event_id AS cluster")
     r = C.compared(fold(), fold(inclusive=True)).first()
     assert (r.clusters_a, r.clusters_b, r.merges, r.splits, r.same) == (3, 2, 1, 0, 1)
+
+
+def test_rows_linked_to_none_are_in_no_component_and_folds_share_rows(spark):
+    rows = [(i, f"2024-01-{1 + i % 9:02d}", [f"{i // 3}:a", f"{i // 3}:{i % 2}"]) for i in range(60)] + [(90, "2024-01-01", ["x"]), (91, None, ["x"]), (92, "2024-01-01", [])]
+    posts = spark.createDataFrame(rows, "id long, date string, members array<string>").withColumn("date", F.to_date("date"))
+    found = E.fold_rows(posts)
+    assert {r.id for r in found.where("component_id is null").collect()} == {90, 91, 92}
+    got = sorted(map(tuple, E.greedy_events(posts, inclusive=True).collect()))
+    assert got == sorted(map(tuple, E.greedy_events(posts, inclusive=True, rows=found).collect())) and len(got) == 63
+    alone = [E.greedy_events(posts.where(F.col("id").between(i, i + 2)), inclusive=True) for i in (0, 30)]  # components fold as if they were by themselves
+    assert all(set(map(tuple, a.collect())) <= set(got) for a in alone)
