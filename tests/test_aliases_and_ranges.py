@@ -143,3 +143,34 @@ def test_extremes_equal_enumeration(spark, seed):
                 want.setdefault(v, []).append(total)
     got = {r.venue_id: (r.low, r.high) for r in R.extremes(priced(spark, paths, fees, tiers, rates)).collect()}
     assert got == {v: (min(x), max(x)) for v, x in want.items()}
+
+
+def test_names_within_edits_are_those_of_all_pairs(spark):
+    import random
+
+    from kithgraph.operators import entities
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 7))) for _ in range(60)] + ["x" * n + t for n in (36, 37, 38, 39) for t in ("", "a", "ab", "abc", "bca")]
+    rows = [(i, t, i % 2) for i, t in enumerate(texts)] + [(99, None, 0)]
+    names = spark.createDataFrame(rows, "id long, name string, block int")
+
+    def edits(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, line[0] = line[0], i + 1
+            for j, y in enumerate(b):
+                last, line[j + 1] = line[j + 1], min(line[j + 1] + 1, line[j] + 1, last + (x != y))
+        return line[-1]
+
+    for most in (1, 2):
+        want = sorted((i, j, edits(a, b)) for i, a, x in rows for j, b, y in rows if i < j and a is not None and b is not None and x == y and edits(a, b) <= most)
+        assert sorted(map(tuple, entities.within_edits(names, most).collect())) == want
+
+
+def test_a_shared_beginning_brings_no_pairs_together(spark):
+    from kithgraph.operators import entities
+
+    names = spark.range(40).select("id", F.concat(F.lit("thehallofthelake"), F.md5(F.col("id").cast("string")).substr(1, 10)).alias("name"))
+    keys = names.select("id", F.explode(entities.variants(F.col("name"), 2)).alias("v"))
+    assert keys.groupBy("v").count().where("count > 1").isEmpty() and entities.within_edits(names, 2).isEmpty()
