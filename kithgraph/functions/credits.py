@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kithgraph.functions.labels import Rule, with_roles
+from kithgraph.functions.labels import Rule, classified
 from kithgraph.functions.text import ordered_role
 
 #: A credit line is a label, a separator and something with a handle.
@@ -119,6 +119,8 @@ FORMS = [
     rf"^\s*[•\-*]?\s*([A-Za-z]{SIGNED}{{1,40}}?)\s*[|\-–—/]+\s*(.*@.*)$",
     rf"^\s*[•\-*]?\s*([A-Z]{SIGNED}{{0,39}})\s*{TAIL}",
 ]
+#: A sign that each form can't do without, which is found faster than the form.
+SEPARATORS = [":", r"[|\-–—/]", "@"]
 SIGN_LINE = rf"^\s*([{PICTURES}][{PICTURES}{JOINERS}]{{0,7}})\s*[:|\-–—]?\s*{TAIL}"
 #: A label before a handle, and what parts several of them on one line.
 NEXT_LABEL = r"[A-Za-z][A-Za-z &+/'’]{0,35}?\s*[:|]\s*@"
@@ -143,13 +145,15 @@ def labelled_lines(posts: DataFrame) -> DataFrame:
     count from 0; null captions have none.
     """
     stripped = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    lines = posts.select("post_id", F.posexplode(F.split(F.coalesce("caption", F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.where(F.contains("line", F.lit("@"))).select("post_id", "line_no", stripped(F.col("line")).alias("line"))
-    several = F.regexp_count("line", F.lit(NEXT_LABEL)) >= 2
-    cut = F.when(several, F.split("line", f"{BETWEEN}(?={NEXT_LABEL})")).otherwise(F.array("line"))
-    parts = lines.select("post_id", "line_no", F.explode(F.transform(cut, stripped)).alias("part"))
-    form = lambda p, source: F.when(F.col("part").rlike(p), F.struct(stripped(F.regexp_extract("part", p, 1)).alias("label"), F.regexp_extract("part", p, 2).alias("rest"), F.lit(source).alias("source")))
-    found = parts.select("post_id", "line_no", F.coalesce(*[form(p, "credit_line") for p in FORMS], form(SIGN_LINE, "emoji_line")).alias("m")).where("m is not null")
+    lines = posts.select("post_id", F.posexplode(F.split(F.coalesce("caption", F.lit("")), "\n")).alias("line_no", "line")).where(F.contains("line", F.lit("@")))
+    two = lambda x: F.contains(F.substring(x, F.instr(x, "@") + 1, F.char_length(x)), F.lit("@"))
+    several = lambda x: two(x) & x.rlike("[:|]") & (F.regexp_count(x, F.lit(NEXT_LABEL)) >= 2)
+    cut = lambda x: F.when(several(x), F.split(x, f"{BETWEEN}(?={NEXT_LABEL})")).otherwise(F.array(x))
+    form = lambda x, p, source, sign: F.when(F.coalesce(x.rlike(sign), F.lit(False)) & x.rlike(p), F.struct(stripped(F.regexp_extract(x, p, 1)).alias("label"), F.regexp_extract(x, p, 2).alias("rest"), F.lit(source).alias("source")))
+    told = lambda x: F.coalesce(*[form(x, p, "credit_line", sign) for p, sign in zip(FORMS, SEPARATORS, strict=True)], form(x, SIGN_LINE, "emoji_line", "@"))
+    parts = F.transform(F.flatten(F.transform(F.array(stripped(F.col("line"))), cut)), stripped)
+    # the generator keeps later filters above it, so each part is matched once
+    found = lines.select("post_id", "line_no", F.explode(F.filter(F.transform(parts, told), lambda m: m.isNotNull())).alias("m"))
     each = found.select("post_id", "line_no", "m.label", F.explode(F.regexp_extract_all("m.rest", F.lit(HANDLE), F.lit(1))).alias("handle"), "m.source")
     return each.select("post_id", "line_no", "label", F.lower("handle").alias("handle"), "source", F.when(F.col("source") == "emoji_line", sign_role(F.col("label"))).alias("sign_role"))
 
@@ -157,12 +161,15 @@ def labelled_lines(posts: DataFrame) -> DataFrame:
 def labelled_credits(posts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(post_id, line_no, label, handle, source, role, event_context, participant, rule): a row per role of each label's handle.
 
-    The labels mean what the rules say. Labels that name people have a participant and no role. Distinct labels are classified once.
+    The labels mean what the rules say. Labels that name people have a participant and no role. Distinct labels are classified
+    once; the captions are read twice, for the labels and for the rows.
     """
     lines = labelled_lines(posts)
-    named = with_roles(lines.where("source = 'credit_line'").drop("sign_role"), "label", rules).withColumn("role", F.explode_outer(F.split(F.nullif("roles", F.lit("")), ",")))
-    signs = lines.where("source = 'emoji_line'").select("post_id", "line_no", "label", "handle", "source", F.col("sign_role").alias("role"), F.lit("wedding_day").alias("event_context"), F.lit(None).cast("string").alias("participant"), F.lit("emoji").alias("rule"))
-    return named.select(*signs.columns).unionByName(signs)
+    signs = F.col("source") == "emoji_line"
+    found = classified(lines.where(~signs).select("label"), rules)
+    rows = lines.join(found.withColumn("source", F.lit("credit_line")), ["label", "source"], "left").withColumn("role", F.explode_outer(F.split(F.nullif("roles", F.lit("")), ",")))
+    of_sign = lambda sign, name: F.when(signs, sign).otherwise(F.col(name)).alias(name)
+    return rows.select("post_id", "line_no", "label", "handle", "source", of_sign(F.col("sign_role"), "role"), of_sign(F.lit("wedding_day"), "event_context"), "participant", of_sign(F.lit("emoji"), "rule"))
 
 
 def sign_credits(posts: DataFrame) -> DataFrame:

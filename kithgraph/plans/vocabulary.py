@@ -19,9 +19,13 @@ RULES = [
 
 
 def spread(spark: SparkSession, d: str, rows: list[tuple], schema: str) -> DataFrame:
-    """Every customer with every one of a few sample rows: the customers' columns and the rows' ones. The rows are constants."""
+    """Every customer with every one of a few sample rows: the customers' columns and the rows' ones. The rows are constants.
+
+    The table is small on disk for the work that its rows make, so it is dealt to as many tasks as a shuffle has.
+    """
     from pyspark.sql.types import _parse_datatype_string
 
     fields = _parse_datatype_string(schema).fields
     each = F.array(*[F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(row, fields, strict=True)]) for row in rows])
-    return table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", F.explode(each).alias("x")).select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", "x.*")
+    customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return customers.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", F.explode(each).alias("x")).select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", "x.*")

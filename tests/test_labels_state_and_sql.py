@@ -160,3 +160,19 @@ def test_similar_names_meet_on_prefixes(spark):
     rows = [(1, i, n) for i, n in enumerate(names)] + [(2, 0, "!"), (2, 1, "x"), (2, 2, None), (3, 0, "x")]
     got = {(r.venue_id, r.id_a, r.id_b) for r in checks.similar_names(spark.createDataFrame(rows, "venue_id int, id int, name string")).collect()}
     assert got == {(1, 0, 1), (1, 0, 7), (1, 1, 7), (1, 2, 3), (1, 2, 4), (1, 3, 4), (1, 1, 6), (1, 6, 7), (2, 0, 1)}
+
+
+def test_credits_read_their_captions_twice_and_match_each_part_once(spark):
+    import contextlib
+    import io
+
+    from kithgraph.functions import credits
+    from kithgraph.functions.labels import Rule
+
+    posts = spark.createDataFrame([(1, "Photo: @one and @two\n💐 @bloom\nVenue | @hall - DJ: @mix"), (2, None)], "post_id long, caption string")
+    found = credits.labelled_credits(posts, [Rule("head", "^photo$", "photographer"), Rule("head", "^venue$", "venue,hotel")])
+    got = sorted((r.line_no, r.handle, r.role, r.rule) for r in found.collect())
+    assert got == [(0, "one", "photographer", "head"), (0, "two", "photographer", "head"), (1, "bloom", "florist", "emoji"), (2, "hall", "hotel", "head"), (2, "hall", "venue", "head"), (2, "mix", "other", "unmatched")]
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        found.explain("simple")
+    assert plan.getvalue().split("== Initial Plan ==")[-1].count("Generate posexplode(split(") == 2
