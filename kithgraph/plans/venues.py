@@ -86,7 +86,7 @@ def order_documents(spark: SparkSession, d: str) -> DataFrame:
 )
 def doc02_rows(spark: SparkSession, d: str) -> DataFrame:
     """The leaves of all orders' documents."""
-    return T.leaves(T.nodes(order_documents(spark, d)))
+    return T.nodes(order_documents(spark, d), holding=False)
 
 
 @query(
@@ -101,7 +101,7 @@ def doc02_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("doc02_props_rows", "SELECT event_id AS doc_id, '/k' AS path, 'number' AS kind, json_extract_string(props, '$.k') AS value FROM events")
 def doc02_props(spark: SparkSession, d: str) -> DataFrame:
-    return T.leaves(T.nodes(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("doc"))))
+    return T.nodes(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("doc")), holding=False)
 
 
 def page_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
