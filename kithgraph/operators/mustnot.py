@@ -75,7 +75,7 @@ def violations(found: DataFrame, rules: DataFrame) -> DataFrame:
     told = lambda x: F.when(x["op"] == "match", fit(x)).when(x["op"].isin("one_of", "alone"), F.coalesce(fold(x), F.lit(False))).when(x["op"].isin("share", "span", "twins"), True).otherwise(False)
     mine = F.filter("asked", lambda x: (x["only"].isNull() | (x["only"] == F.col("doc_id").cast("string"))) & told(x))
     met = met.withColumn("asked", F.transform(mine, lambda x: x["row"])).where("size(asked) > 0 or is_beside or is_scope")
-    met = met.select("doc_id", "path", "v", F.coalesce("asked", F.array().cast("array<bigint>")).alias("asked"), "is_beside", "is_scope").repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    met = met.select("doc_id", "path", "v", F.coalesce("asked", F.array().cast("array<bigint>")).alias("asked"), "is_beside", "is_scope").repartition(2 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # twice as many: documents that come by document would stay in few tasks
     # in its document every leaf meets those beside it and the scopes
     scope = F.collect_set(F.when(F.col("is_scope"), F.struct("path", "v"))).over(Window.partitionBy("doc_id"))
     near = F.collect_list(F.when(F.col("is_beside"), F.struct(F.regexp_extract("path", r"/([^/\[]*)$", 1).alias("k"), F.col("v").alias("v")))).over(Window.partitionBy("doc_id", "holder"))
