@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithgraph.operators.documents import OTHER_EVENT
+from kithgraph.session import ensure_checkpoints
 
 # Fixed values.
 DECISIONS = ["INCLUDE", "EXCLUDE", "REVIEW"]
@@ -25,6 +26,8 @@ OTHER_TITLE = (
 RECAP = r"(?i)wedding day|newlyweds|mr\.? (&|and) mrs|just married|tied the knot|said i do|our wedding|their wedding"
 NAME_STOPS = ["the", "a", "an", "of", "or", "and", "for", "with", "per", "each", "min", "minimum", "package", "add", "ons", "on"]
 SIMILAR_NAMES, LONGEST_TITLE = 0.6, 60
+#: Names of a venue up to which they are compared in its row.
+MOST_NAMES = 128
 NAME = r"([A-Za-z][A-Za-z'’-]*)"
 POSSESSIVE, BOTH_MRS, SURNAME = rf"(?i)\b{NAME}\s*(?:and|&|\+)\s*{NAME}'s\s+wedding\b", rf"(?i)\bMrs?\.?\s*(?:&|and)\s*Mrs\.?\s+{NAME}\b", r"\bthe\s+([A-Z][A-Za-z'’-]*)\s+wedding\b"
 BY_X, BY_SIGN = rf"(?i)\b{NAME}\s+x\s+{NAME}\b", rf"(?i)\b{NAME}\s*(?:\+|&|and)\s*{NAME}\b"
@@ -117,15 +120,32 @@ def readiness(needs_review: Column, failures: Column, headline: Column, catering
     return F.when(ready & (verified | ((paths >= 1) & has_estimate)), "excellent").when(ready, "compare_ready")
 
 
-def similar_names(names: DataFrame) -> DataFrame:
+def similar_names(names: DataFrame, most: int = MOST_NAMES) -> DataFrame:
     """Pairs (venue_id, id_a, id_b) of a venue's add-ons whose names are one: equal or a prefix once normalised, or 0.6 of the
-    lesser one's words in common. names: venue_id, id, name. Names meet where one is what another begins with, or on a shared
-    word, never all within a venue; an empty name begins all others. Null names are like no other.
+    lesser one's words in common. names: venue_id, id, name. Names move once, to their venue; those of a venue of at most `most` names
+    are compared in its row. In larger ones names meet where one is what another begins with, or on a shared word, never all within a
+    venue. An empty name begins all others. Null names are like no other.
     """
+    ensure_checkpoints(names.sparkSession)
     flat = F.trim(F.regexp_replace(F.regexp_replace(F.lower("name"), r"\(.*?\)", " "), r"[^a-z0-9]+", " "))
-    words = F.array_distinct(F.filter(F.split(flat, " "), lambda t: (F.length(t) > 1) & ~t.isin(NAME_STOPS)))
-    rows = names.where("name is not null").select("venue_id", "id", flat.alias("flat"), words.alias("words"))
-    side = lambda end: rows.select("venue_id", F.col("id").alias(f"id_{end}"), F.col("flat").alias(f"flat_{end}"), F.col("words").alias(f"words_{end}"))
+    words = F.array_distinct(F.filter(F.split("flat", " "), lambda t: (F.length(t) > 1) & ~t.isin(NAME_STOPS)))
+    rows = names.where("venue_id is not null and id is not null and name is not null").select("venue_id", "id", flat.alias("flat")).repartition("venue_id")
+    large = F.count("*").over(Window.partitionBy("venue_id")) > most
+    venues = rows.withColumn("apart", F.when(large, F.struct("id", "flat"))).withColumn("words", F.when(F.col("apart").isNull(), words)).groupBy("venue_id", "apart").agg(F.collect_list(F.struct("id", "flat", "words")).alias("all"))
+    shared, least = lambda a, b: F.size(F.array_intersect(a["words"], b["words"])), lambda a, b: F.least(F.size(a["words"]), F.size(b["words"]))
+    begins = lambda a, b: F.startswith(a["flat"], b["flat"]) | F.startswith(b["flat"], a["flat"])
+    alike = lambda a, b: (a["id"] < b["id"]) & (begins(a, b) | F.coalesce(F.try_divide(shared(a, b), least(a, b)) >= SIMILAR_NAMES, F.lit(False)))
+    of = lambda a: F.transform(F.filter("all", lambda b: alike(a, b)), lambda b: F.struct(a["id"].alias("id_a"), b["id"].alias("id_b")))
+    pairs = F.when(F.col("apart").isNull() & (F.size("all") > 1), F.array_distinct(F.flatten(F.transform("all", of))))
+    found = venues.select("venue_id", "apart", pairs.alias("pairs")).where(F.col("apart").isNotNull() | (F.size("pairs") > 0)).checkpoint()
+    out = found.where("apart is null").select("venue_id", F.inline("pairs"))
+    rest = found.where("apart is not null").select("venue_id", "apart.*")
+    return out if rest.isEmpty() else out.unionByName(similar_by_joins(rest.withColumn("words", words)))
+
+
+def similar_by_joins(rows: DataFrame) -> DataFrame:
+    """The same for venues of any size. rows: venue_id, id, flat, words."""
+    side = lambda end: rows.select("venue_id", F.col("id").alias(f"id_{end}"), F.col("words").alias(f"words_{end}"))
     begins = rows.select("venue_id", F.col("id").alias("other"), F.explode(F.transform(F.sequence(F.lit(0), F.char_length("flat")), lambda n: F.substring(F.col("flat"), F.lit(1), n))).alias("flat"))
     prefix = rows.select("venue_id", "id", "flat").join(begins, ["venue_id", "flat"]).where("id <> other").select("venue_id", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
     token = lambda end: side(end).withColumn("w", F.explode(f"words_{end}"))

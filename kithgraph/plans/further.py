@@ -405,7 +405,7 @@ def doc21(spark: SparkSession, d: str) -> DataFrame:
     """Every customer's sample add-ons, and the parts of every order as its own."""
     samples = spread(spark, d, ADD_ONS, "venue_id int, id long, name string").select((F.col("c_custkey") * 10 + F.col("venue_id")).alias("venue_id"), "id", "name")
     names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    parts = table(spark, d, "lineitem").select((-F.col("l_orderkey") - 1).alias("venue_id"), F.col("l_partkey").alias("id")).distinct().join(names, "id")
+    parts = table(spark, d, "lineitem").select((-F.col("l_orderkey") - 1).alias("venue_id"), F.col("l_partkey").alias("id")).join(names, "id")
     return C.similar_names(samples.unionByName(parts))
 
 
