@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,15 +78,14 @@ def couple_title(caption: Column, blocked: list[str]) -> Column:
     text = F.trim(caption)
     is_name = lambda w: (F.char_length(w) >= 2) & ~F.lower(w).isin(blocked)
 
-    def pair(pattern: str) -> Column:
-        a, b = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
-        return F.when(is_name(a) & is_name(b), F.concat(name_word(a), F.lit(" & "), name_word(b)))
-
-    def surname(pattern: str) -> Column:
-        a = F.regexp_extract(text, pattern, 1)
-        return F.when(is_name(a), F.concat(F.lit("The "), name_word(a)))
+    def by(pattern: str, word: str, n: int, title: Callable[[Column], Column]) -> Column:
+        found = F.transform(F.array(*[F.regexp_extract(text, pattern, i + 1) for i in range(n)]), lambda w: F.when(is_name(w), name_word(w)))
+        return F.when(low.rlike(word), F.get(F.transform(F.array(found), title), F.lit(0)))
 
-    return F.coalesce(pair(POSSESSIVE), surname(BOTH_MRS), surname(SURNAME), pair(BY_X), pair(BY_SIGN))
+    # a name that is null makes the title null; the searches for a word only spare those for names
+    low = F.lower(text)
+    pair, surname = lambda p, w: by(p, w, 2, lambda x: F.concat(x[0], F.lit(" & "), x[1])), lambda p, w: by(p, w, 1, lambda x: F.concat(F.lit("The "), x[0]))
+    return F.coalesce(pair(POSSESSIVE, "'s\\s+wedding"), surname(BOTH_MRS, "mrs"), surname(SURNAME, "\\swedding"), pair(BY_X, "\\sx\\s"), pair(BY_SIGN, "and|[&+]"))
 
 
 def identity_bucket(is_alias: Column, blocked: Column, umbrella: Column, events: Column, located: Column, in_metro: Column, venue_role: Column, status: Column, known: Column, fetched: Column) -> Column:
