@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -211,10 +212,22 @@ RELATED = r"(?i)by @|managed? by|management|caterer at|in-house|hospitality|\bgr
 
 
 def mention_snippet(biography: Column | str, name: Column | str) -> Column:
-    """The first mention of a handle with 20 characters on either side; null where it is not mentioned as a whole handle."""
-    plain = F.regexp_replace(F.lower(F.trim(col(name))), "^@", "")
-    found = F.regexp_substr(col(biography), F.concat(F.lit(r"(?is).{0,20}?@\Q"), plain, F.lit(r"\E(?![a-z0-9._]).{0,20}")))
-    return F.when(plain != "", F.trim(found))
+    """The first mention of a handle with 20 characters on either side; null where it is not mentioned as a whole handle.
+
+    Case is that of A-Z. Where the first place of the handle is a whole one, that is the mention; only where a longer handle
+    comes first a pattern is made of the name, which is compiled for every row.
+    """
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    text = col(biography)
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
+    needle = F.concat(F.lit("@"), F.regexp_replace(F.lower(F.trim(col(name))), "^@", ""))
+    quoted = lambda w: F.concat(F.lit(r"(?is).{0,20}?\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-z0-9._]).{0,20}"))
+    size = lambda x: F.char_length(x["w"])
+    piece = lambda x: F.substring(text, F.greatest(x["at"] - 20, F.lit(1)), F.least(x["at"] - 1, F.lit(20)) + size(x) + 20)
+    whole = lambda x: ~F.substring(x["low"], x["at"] + size(x), F.lit(1)).rlike("[a-z0-9._]")
+    first = lambda x: F.struct(x["w"].alias("w"), x["low"].alias("low"), F.position(x["w"], x["low"]).alias("at"))
+    found = lambda x: F.when((x["at"] > 0) & (x["w"] != "@"), F.trim(F.when(whole(x), piece(x)).otherwise(F.regexp_substr(text, quoted(x["w"])))))
+    return bound(bound(F.struct(needle.alias("w"), low.alias("low")), first), found)
 
 
 def mention_kind(snippet: Column | str) -> Column:
