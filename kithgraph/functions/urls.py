@@ -128,13 +128,8 @@ def html_text(html: str | None) -> tuple[str, list[str]]:
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, links, sha256) of pages (page_id, url, html): parsed in Arrow batches, hashed in the plan."""
-    import pandas as pd
-
-    def run(batches):
-        for rows in batches:
-            found = [html_text(h) for h in rows["html"]]
-            yield pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": [t for t, _ in found], "links": [x for _, x in found]})
-
-    out = pages.select(F.col("page_id").cast("string"), "url", "html").mapInPandas(run, "page_id string, url string, text string, links array<string>")
-    return out.withColumn("page_id", F.col("page_id").cast("long")).withColumn("sha256", F.sha2("text", 256))
+    """(page_id, url, text, links, sha256) of pages (page_id, url, html): a worker holds some hundred pages at once, whatever an
+    Arrow batch holds; hashed in the plan."""
+    parsed = F.udf(html_text, "text string, links array<string>", useArrow=False)
+    out = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), parsed("html").alias("page"))
+    return out.select("page_id", "url", "page.text", "page.links", F.sha2("page.text", 256).alias("sha256"))
