@@ -44,18 +44,22 @@ def structural_evidence(posts: DataFrame, entries: DataFrame, accounts: DataFram
     extracted: post_id, account_id. The latest entry of a line and handle counts. A post's venue is that of the first source
     that names one: a labelled credit (by tier, line, account), its location tag, its author if a venue and of no other
     category, a mention, a hashtag, a reading. Venues stand for their canonical account. Several credited venues are a
-    conflict. Other roles are evidence as they are; `other` is none. All sources are one union with one pick per post.
+    conflict. Other roles are evidence as they are; `other` is none. All sources are one union with one pick per post. Entries
+    are cut to the posts before they are sorted, by the posts' ids alone, and dealt to twice the usual tasks.
     """
-    last = latest_by(entries, ["post_id", "line_no", "handle"], [F.desc("extracted_at"), F.col("role"), F.col("role_raw"), F.col("source")])
-    last = last.join(posts.select("post_id"), "post_id", "left_semi")
+    tasks = 2 * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = entries.repartition(tasks, "post_id").join(posts.select("post_id").hint("shuffle_hash"), "post_id", "left_semi")
+    last = latest_by(mine, ["post_id", "line_no", "handle"], [F.desc("extracted_at"), F.col("role"), F.col("role_raw"), F.col("source")])
     known = accounts.select("account_id", F.lower("username").alias("handle"), "category", "is_venue")
     credited = last.join(known.select("handle", "account_id"), "handle")
     whole = aliases.groupBy(F.col("alias_id").alias("account_id")).agg(F.min("canonical_id").alias("canonical"))
     row = lambda df, source, tier=F.lit(0), line=F.lit(None).cast("int"), raw=F.lit(None).cast("string"): df.select("post_id", "account_id", F.lit(SOURCES.index(source)).alias("rank"), tier.alias("tier"), line.alias("line_no"), raw.alias("role_raw"), F.lit(source).alias("anchor_source"))
-    venues = credited.where("role = 'venue'")
-    of = lambda source: row(venues.where(F.col("source") == source), source, label_tier(F.coalesce("role_raw", F.lit(""))) if source == "credit_line" else F.lit(0), F.col("line_no"), F.col("role_raw"))
+    credit, told = F.col("source") == "credit_line", ["credit_line", "inline_at", "venue_hashtag"]
+    rank = F.when(credit, SOURCES.index("credit_line")).when(F.col("source") == "inline_at", SOURCES.index("inline_at")).otherwise(SOURCES.index("venue_hashtag"))
+    venues = credited.where((F.col("role") == "venue") & F.col("source").isin(told))
+    named = venues.select("post_id", "account_id", rank.alias("rank"), F.when(credit, label_tier(F.coalesce("role_raw", F.lit("")))).otherwise(0).alias("tier"), "line_no", "role_raw", F.col("source").alias("anchor_source"))
     own = posts.select("post_id", F.lower("owner").alias("handle")).join(known, "handle").where((F.coalesce("is_venue", F.lit(False)) | (F.col("category") == "venue")) & F.coalesce(F.col("category") == "venue", F.lit(True)))
-    sources = [of("credit_line"), row(posts.select("post_id", "location_tag").join(locations, "location_tag"), "location_tag"), row(own, "author"), of("inline_at"), of("venue_hashtag"), row(extracted.join(posts.select("post_id"), "post_id", "left_semi"), "extracted")]
+    sources = [named, row(posts.select("post_id", "location_tag").join(locations, "location_tag"), "location_tag"), row(own, "author"), row(extracted.join(posts.select("post_id"), "post_id", "left_semi"), "extracted")]
     every = reduce(DataFrame.unionByName, sources).join(whole, "account_id", "left").withColumn("account_id", F.coalesce("canonical", "account_id")).drop("canonical")
     torn = every.where("anchor_source = 'credit_line'").groupBy("post_id").agg((F.min("account_id") != F.max("account_id")).alias("torn"))
     one = every.groupBy("post_id").agg(F.min(F.struct("rank", "tier", F.coalesce("line_no", F.lit(0)).alias("at"), "account_id", "line_no", "role_raw", "anchor_source")).alias("x")).select("post_id", "x.*").join(torn, "post_id", "left")

@@ -60,3 +60,16 @@ def test_batch_is_the_whole_cut_to_its_posts(spark):
     whole = {r for r in found(spark, posts, locations=[("T", 1)]).collect() if r.post_id in (0, 3)}
     assert set(found(spark, cut, locations=[("T", 1)]).collect()) == whole and len(whole) == 2
     assert found(spark, []).count() == 0
+
+
+def test_entries_are_cut_before_they_are_sorted(spark):
+    """Only entries of the posts are sorted for the latest of a line."""
+    cols = {"posts": "post_id long, caption string, location_tag string, owner string", "entries": "post_id long, line_no int, handle string, role string, role_raw string, source string, extracted_at date", "accounts": "account_id long, username string, category string, is_venue boolean", "aliases": "alias_id long, canonical_id long", "locations": "location_tag string, account_id long", "extracted": "post_id long, account_id long"}
+    plan = S.structural_evidence(*[spark.createDataFrame([], c) for c in cols.values()])._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if line.lstrip(" :+-").startswith("Window"):
+            below = [x.lstrip(" :+-") for x in lines[i + 1 :] if depth(x) > depth(line)]
+            assert next(x for x in below if "Join" in x.split()[0]).startswith("ShuffledHashJoin")
+    assert "Window" in plan
