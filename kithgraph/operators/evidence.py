@@ -13,6 +13,8 @@ from kithgraph.operators.helpers import latest_by, priority_pick
 LEAST_SCORE = 12
 #: Signs of a couple in a caption.
 COUPLE = r"(Mr\.? *& *Mrs\.?|Couple: *@|Bride: *@|[A-Z][a-z]+ *(&|\+|and) *[A-Z][a-z]+)"
+#: What the rows of a post say of it, as bits that are joined by or.
+IS_POST, HAS_COUPLE, IS_TAGGED, IS_DOCUMENTED = 1, 2, 4, 8
 #: Words of a wedding post that names no couple.
 OCCASION = r"(?i)(wedding day|.s wedding|their wedding|wedding at |wedding weekend|wedding celebration|wedding reception|wedding ceremony|congrat.*wedding|bride|groom|mr\.? *& *mrs\.?)"
 #: Cities and regions elsewhere.
@@ -100,16 +102,24 @@ def association(posts: DataFrame, vendors: DataFrame, evidence: DataFrame) -> Da
     return rows.select("post_url", author.alias("author_is_vendor"), n.alias("tagged_vendor_count"), kind.alias("association"))
 
 
-def portfolio(own: DataFrame, tagged: DataFrame, documented: DataFrame) -> DataFrame:
-    """Posts of venues' portfolios, own before tagged, with captions of more than 15 characters.
+def portfolio(posts: DataFrame, tagged: DataFrame, documented: DataFrame) -> DataFrame:
+    """Posts of venues' portfolios, own before tagged, with captions of more than 15 characters; `is_tagged`: any account is tagged.
 
-    own, tagged: post_url, caption, account_id.
+    posts: post_url, caption (one a post), account_id (of the venue whose profile it is on, or null); tagged: post_url, account_id;
+    documented: post_url. All three meet in one aggregation of numbers per post, with no join and nothing sorted. Rows are dealt to its
+    tasks before: the posts of a file's part have few rows in common, so combining them there would hold all of them.
     """
-    both = own.withColumn("connection", F.lit("own_profile")).unionByName(tagged.withColumn("connection", F.lit("tagged")))
-    long = both.where(F.char_length(F.trim(F.coalesce("caption", F.lit("")))) > 15)
-    one = latest_by(long, ["post_url"], [F.col("connection"), F.col("account_id")])
-    flag = documented.select("post_url", F.lit(True).alias("_d")).distinct()
-    return one.join(flag, "post_url", "left").select("post_url", "account_id", "connection", F.col("caption").rlike(COUPLE).alias("has_couple_evidence"), F.coalesce("_d", F.lit(False)).alias("is_documented"))
+    no_one = F.lit(None).cast(tagged.schema["account_id"].dataType)
+    couple = F.when(F.col("caption").rlike(COUPLE), F.lit(IS_POST | HAS_COUPLE)).otherwise(IS_POST)
+    rows = posts.where(F.char_length(F.trim("caption")) > 15).select("post_url", F.col("account_id").alias("own"), no_one.alias("other"), couple.alias("marks"))
+    rows = rows.unionByName(tagged.select("post_url", no_one.alias("own"), F.col("account_id").alias("other"), F.lit(IS_TAGGED).alias("marks")))
+    rows = rows.unionByName(documented.select("post_url", no_one.alias("own"), no_one.alias("other"), F.lit(IS_DOCUMENTED).alias("marks")))
+    tasks = 4 * int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = rows.repartition(tasks, "post_url").groupBy("post_url").agg(F.min("own").alias("own"), F.min("other").alias("other"), F.bit_or("marks").alias("marks"))
+    has = lambda mark: F.col("marks").bitwiseAND(F.lit(mark)) > 0
+    is_own = F.col("own").isNotNull()
+    one = one.where(has(IS_POST) & (is_own | has(IS_TAGGED)))
+    return one.select("post_url", F.coalesce("own", "other").alias("account_id"), F.when(is_own, "own_profile").otherwise("tagged").alias("connection"), has(HAS_COUPLE).alias("has_couple_evidence"), has(IS_DOCUMENTED).alias("is_documented"), has(IS_TAGGED).alias("is_tagged"))
 
 
 def has_styled_phrase(caption: Column) -> Column:
