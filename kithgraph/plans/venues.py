@@ -22,12 +22,13 @@ PRICES_SQL = f"""x AS (SELECT l_orderkey AS v, l_returnflag AS p, l_linenumber A
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as venues with price lists."""
+    """Orders as venues with price lists; all that a venue has meets in one of four times the usual tasks, so a task holds little."""
     names = F.array(*map(F.lit, ["sun", "weekday", "weekday", "weekday", "weekday", "fri", "sat"]))
     day = F.when(F.col("l_quantity") >= 8, F.get(names, F.dayofweek("l_shipdate") - 1))
     season = F.when(F.col("l_tax") >= 0.03, F.when(F.month("l_shipdate").between(5, 10), "peak").otherwise("off"))
     space = (F.col("l_suppkey") % 3).cast("string")
     rows = table(spark, d, "lineitem").select("*", F.col("l_orderkey").alias("venue_id"), F.col("l_returnflag").alias("path_id"), day.alias("day"), season.alias("season"), space.alias("space"))
+    rows = rows.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "venue_id")
     first = F.min("l_linenumber") * 10 + 20
     paths = rows.groupBy("venue_id", "path_id").agg(first.alias("min_guests"), (first + F.count("*") * 25).alias("max_guests"), F.min("space").alias("space_id"))
     fees = rows.where("l_linestatus = 'F'").select("venue_id", "path_id", F.col("l_linenumber").alias("place"), F.lit("Rental").alias("label"), F.col("l_extendedprice").alias("amount"), F.when(F.col("l_quantity") < 30, F.col("space")).alias("space_id"), "day", "season")
