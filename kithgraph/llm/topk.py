@@ -7,8 +7,8 @@ bitmap. What stands for a negative weight are the complements of the slices. The
 slices, the most significant first: rows are in, out, or still level; those still level after the last slice have equal
 scores, and the smallest ids among them fill what is left.
 
-Blocks and chunks of queries meet in pairs, one join row each; what a pair finds is at most k rows a query, merged by
-windows of bounded groups.
+Blocks and chunks of queries meet in pairs, one join row each: a chunk goes to every block by a shuffle, never as a whole
+to the driver. What a pair finds is at most k rows a query, merged by windows of bounded groups.
 """
 
 from __future__ import annotations
@@ -166,9 +166,19 @@ def chunks(queries: DataFrame, scale: int = SCALE, size: int = QUERIES) -> tuple
     return spread.mapInArrow(run, CHUNK), n
 
 
-def searched(blocks: DataFrame, asked: DataFrame, n_blocks: int, k: int) -> DataFrame:
-    """The best k rows of every block for every query (FOUND). Each pair of a block and a chunk is one row of a keyed join."""
-    copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "chunk", F.col("n").alias("m"), "wide", F.col("ids").alias("asked"), "vectors")
+def searched(blocks: DataFrame, asked: DataFrame, n_blocks: int, n_chunks: int, k: int) -> DataFrame:
+    """The best k rows of every block for every query (FOUND). Each pair of a block and a chunk is one row of a keyed join.
+
+    Where there are fewer blocks than tasks, the chunks of a block are dealt to several groups.
+    """
+    tasks = 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, min(n_chunks, tasks // n_blocks))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = blocks.select("*", upto(groups).alias("group"))
+    copies = asked.select(upto(n_blocks).alias("block"), (F.col("chunk") % groups).alias("group"), "chunk", F.col("n").alias("m"), "wide", F.col("ids").alias("asked"), "vectors")
+    # what the copies come to is not seen in the size of the queries, so they must not be broadcast; the side that is held for a key is its one block
+    pairs = copies.repartition(max(n_blocks, tasks), "block", "group").hint("merge").join(held.hint("merge"), ["block", "group"])
+    pairs = pairs.select("block", "n", "nulls", "ids", "low", "bits", "slices", "chunk", "m", "wide", "asked", "vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, block = None, None
@@ -192,7 +202,7 @@ def searched(blocks: DataFrame, asked: DataFrame, n_blocks: int, k: int) -> Data
                 made = [pa.array(np.full(sum(count), chunk), pa.int32()), each(0, pa.int32()), pa.array(np.full(sum(count), b), pa.int32()), each(1, pa.int64()), pa.array(whole(2), pa.int64(), mask=whole(3)), pa.array(whole(4), pa.int64())]
                 yield pa.RecordBatch.from_arrays(made, names=["chunk", "at", "block", "query_id", "vec_id", "score"])
 
-    return blocks.join(copies, "block").mapInArrow(run, FOUND)
+    return pairs.mapInArrow(run, FOUND)
 
 
 def best(found: DataFrame, groups: list[str], k: int) -> DataFrame:
@@ -213,8 +223,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, b
     spark = rows.sparkSession
     with Scratch(spark) as scratch:
         indexed, n = index(rows, scale, block)
-        asked, _ = chunks(queries, scale, chunk)
-        found = scratch(searched(scratch(indexed, "index"), scratch(asked, "queries"), n, k), "found")
+        asked, m = chunks(queries, scale, chunk)
+        found = scratch(searched(scratch(indexed, "index"), scratch(asked, "queries"), n, m, k), "found")
         while n > MERGE:
             n = -(-n // MERGE)
             found = scratch(best(found.withColumn("block", F.floor(F.col("block") / MERGE).cast("int")), ["chunk", "at", "block"], k).drop("rank"), "merged")
