@@ -25,6 +25,8 @@ from kithgraph.llm.decontaminate import LOWER, WORD, in_chunks
 N, BUCKETS, SEED, LEAST_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
 #: Characters of a block; a longer text is a block of its own.
 BLOCK_CHARS = 4_000_000
+#: Blocks that a task which writes or reads them holds at once.
+TOGETHER = 4
 BLOCK = (
     "block long, doc_id array<long>, n_words array<long>, n_features array<long>, first array<long>, code array<int>, n array<int>, "
     "word array<string>, total array<long>"
@@ -120,21 +122,22 @@ def weights(parsed: DataFrame, words: DataFrame, by_bucket: DataFrame) -> DataFr
     known = words.where("s > 0").join(F.broadcast(by_bucket), "bucket").select("word", "gain")  # at most one row a bucket is broadcast
     own = parsed.select("block", F.posexplode("word").alias("place", "word")).join(known, "word")
     both = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("gain") + (1 << 31))  # place and gain as one number: a quarter of a struct's bytes
-    told = own.groupBy("block").agg(F.collect_list(both).alias("told"))
+    told = own.select(F.col("block").alias("of"), both.alias("told"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                ids, n_words, n_features, first, code, n, found = (batch.column(c)[i].values for c in range(7))
-                both = np.zeros(0, np.int64) if found is None else found.to_numpy()
-                gain = np.zeros(len(both), np.int64)
-                gain[both >> 32] = (both & 0xFFFFFFFF) - (1 << 31)
-                first = first.to_numpy()
-                upto = np.concatenate([[0], np.cumsum(gain[code.to_numpy()] * n.to_numpy())]) if len(gain) else np.zeros(1, np.int64)
-                yield pa.RecordBatch.from_arrays([ids, n_words, n_features, pa.array(upto[first[1:]] - upto[first[:-1]], pa.int64())], names=["doc_id", "n_words", "n_features", "weight"])
+    def run(told: pa.Table, block: pa.Table) -> pa.Table:
+        both = told["told"].to_numpy()
+        out = []
+        for row in block.to_batches(max_chunksize=1):
+            ids, n_words, n_features, first, code, n = (row.column(c)[0].values for c in BLOCK_NAMES[1:7])
+            gain = np.zeros(len(both), np.int64)
+            gain[both >> 32] = (both & 0xFFFFFFFF) - (1 << 31)
+            first = first.to_numpy()
+            upto = np.concatenate([[0], np.cumsum(gain[code.to_numpy()] * n.to_numpy())]) if len(gain) else np.zeros(1, np.int64)
+            out.append(pa.RecordBatch.from_arrays([ids, n_words, n_features, pa.array(upto[first[1:]] - upto[first[:-1]], pa.int64())], names=["doc_id", "n_words", "n_features", "weight"]))
+        return pa.Table.from_batches(out)
 
-    columns = ["doc_id", "n_words", "n_features", "first", "code", "n", "told"]
-    return parsed.join(told, "block", "left").select(*columns).mapInArrow(run, SCORED)
+    # a block and its gains are in memory one at a time, the rest of a task's is sorted and may spill
+    return told.groupBy("of").cogroup(parsed.select(*BLOCK_NAMES[:7]).groupBy("block")).applyInArrow(run, SCORED)
 
 
 def noise(seed: int) -> Column:
@@ -174,8 +177,8 @@ def resampled(docs: DataFrame, target: DataFrame, sizes: int = N, buckets: int =
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        parsed = scratch(blocks(docs, sizes), "blocks")
-        goal = scratch(blocks(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), sizes), "target")
+        parsed = scratch(blocks(docs, sizes), "blocks", TOGETHER)
+        goal = scratch(blocks(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), sizes), "target", TOGETHER)
         words = scratch(dictionary(parsed, goal, buckets), "dictionary")
         scored = scratch(weights(parsed, words, gains(words, buckets)).withColumn("score", F.col("weight") + noise(seed)), "scores")
         return Scratch(spark)(with_ranks(scratch, scored, percent, least), "resampled")
