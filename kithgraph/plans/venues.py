@@ -97,7 +97,7 @@ def doc02_rows(spark: SparkSession, d: str) -> DataFrame:
 )
 def doc02_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """All orders' documents out of their rows again, members by name."""
-    return T.documents(T.nodes(order_documents(spark, d)))
+    return T.documents(T.nodes(order_documents(spark, d)), in_runs=True)
 
 
 @query("doc02_props_rows", "SELECT event_id AS doc_id, '/k' AS path, 'number' AS kind, json_extract_string(props, '$.k') AS value FROM events")
