@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kithgraph.functions.text import host, mention_kind, mention_snippet, mentions, url_key, without_tracking
 from kithgraph.operators.entities import pairs_in_groups, within_edits
+from kithgraph.session import ensure_checkpoints
 
 # Words of a handle that say nothing about which place it is, kinds of room at its end, least lengths and counts.
 STEM_NOISE = r"(chicago|chi|events?|weddings?|venue|banquets?|official|il|the|and|at)"
@@ -70,7 +71,7 @@ def pair(a: str, b: str) -> list[Column]:
 
 
 def signals(accounts: DataFrame, lines: DataFrame, readings: DataFrame, listing_hosts: list[str], most: int = MOST_IN_GROUP) -> DataFrame:
-    """(id_a, id_b, code, posts, alike): the signals between accounts, a row for each; see `proposals`."""
+    """(id_a, id_b, code, posts, alike): the signals between accounts but for S6, a row for each; see `proposals`."""
     near = accounts.where("in_scope")
     group = lambda rows, code: pairs_in_groups(rows.where("block is not null"), most).select("id_a", "id_b", F.lit(code).alias("code"))
     kept = lambda c, n: F.when(F.char_length(c) >= n, c)
@@ -89,11 +90,6 @@ def signals(accounts: DataFrame, lines: DataFrame, readings: DataFrame, listing_
     other = named.select(F.col("id").alias("id_b"), F.col("username").alias("username_b"), "plain")
     met = named.withColumnRenamed("id", "id_a").join(other, "plain").where("id_a < id_b").withColumn("code", punctuation_signal(F.col("username"), F.col("username_b")))
     found.append(met.where("code is not null").select("id_a", "id_b", "code"))
-    real = (F.col("followers").isNotNull()) | (F.coalesce("events", F.lit(0)) >= REAL_EVENTS)
-    long = near.where(F.char_length("username") >= LEAST_HANDLE).select("id", F.lower("username").alias("name"), real.alias("real"), (F.col("followers").isNull() & ~F.col("scraped")).alias("unseen"))
-    kind = lambda end: long.select(F.col("id").alias(f"id_{end}"), F.col("real").alias(f"real_{end}"), F.col("unseen").alias(f"unseen_{end}"))
-    close = within_edits(long.where("real or unseen").select("id", "name"), MOST_EDITS).where("distance >= 1").join(kind("a"), "id_a").join(kind("b"), "id_b")
-    found.append(close.where("(real_a and unseen_b) or (real_b and unseen_a)").select("id_a", "id_b", F.lit("S6").alias("code")))
     every = reduce(DataFrame.unionByName, found).select("*", F.lit(None).cast("long").alias("posts"), F.lit(None).cast("string").alias("alike"))
     by_name = near.select(F.col("id").alias("other"), F.lower("username").alias("handle"))
     said = near.select("id", "biography", F.explode(mentions("biography")).alias("handle")).join(by_name, "handle").where("id <> other")
@@ -105,6 +101,56 @@ def signals(accounts: DataFrame, lines: DataFrame, readings: DataFrame, listing_
     return every.unionByName(told).unionByName(count(credited, "S5")).unionByName(count(read, "S7"))
 
 
+def cards(accounts: DataFrame, known: DataFrame, denied: list[str]) -> DataFrame:
+    """What pairs need to know of an account, worked out once for each; see `proposals`."""
+    no, handle = F.lit(False), F.lower("username")
+    worship = [F.col("username").rlike(WORSHIP), F.col("full_name").rlike(WORSHIP_WORD), F.col("biography").rlike(WORSHIP_WORD)]
+    trade = [F.col("biography").rlike(OTHER_TRADE) & ~F.col("biography").rlike(OWN_PLACE), F.col("category") != "venue"]
+    related = reduce(lambda x, y: x | y, [F.coalesce(t, no) for t in [*worship, *trade, *([handle.isin(denied)] if denied else [])]])
+    other = F.coalesce(F.col("username").rlike(TRADE_HANDLE), no) | F.coalesce(F.col("username").rlike(UMBRELLA), no)
+    can_be_edited = F.coalesce(F.col("in_scope") & (F.char_length("username") >= LEAST_HANDLE), no)
+    real = F.col("followers").isNotNull() | (F.coalesce("events", F.lit(0)) >= REAL_EVENTS)
+    whole = known.groupBy(F.col("alias_id").alias("id")).agg(F.min("canonical_id").alias("canonical"))
+    each = accounts.select(
+        "id", handle.alias("name"), stem(F.col("username")).alias("stem"), F.coalesce(unpunctuated(F.col("username")), F.lit("")).alias("plain"), related.alias("related"), F.coalesce(F.col("category") == "venue", no).alias("venue"), other.alias("other"),
+        (can_be_edited & real).alias("real"), (can_be_edited & F.col("followers").isNull() & ~F.col("scraped")).alias("unseen"), F.struct((~F.col("scraped")).alias("s"), F.coalesce(F.col("full_name") == "", F.lit(True)).alias("n"), (-F.coalesce("followers", F.lit(-1))).alias("f"), F.coalesce(handle, F.lit("")).alias("u"), F.col("id").alias("i")).alias("rank"),
+    )
+    return each.join(whole, "id", "left").withColumn("canonical", F.coalesce("canonical", "id"))
+
+
+def side(rows: DataFrame, end: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{c}_{end}") for c in rows.columns])
+
+
+def one_is_edited() -> Column:
+    """Whether one of two accounts was never seen and the other is real."""
+    return (F.col("real_a") & F.col("unseen_b")) | (F.col("real_b") & F.col("unseen_a"))
+
+
+def trusted() -> Column:
+    """Whether two long stems are one edit apart at most."""
+    return F.coalesce((F.char_length("stem_a") >= LEAST_TRUSTED_STEM) & (F.char_length("stem_b") >= LEAST_TRUSTED_STEM) & (F.levenshtein("stem_a", "stem_b", 1) >= 0), F.lit(False))
+
+
+def edited(rows: DataFrame, paired: DataFrame) -> DataFrame:
+    """Pairs of cards whose only signal is S6, sides in any order, with `trusted`. paired: id_a, id_b of pairs that are told elsewhere.
+
+    Handles are compared once however many accounts have them, and accounts meet on the handles: a pair is written where it
+    is made and neither moved nor compared again. What is told elsewhere is kept with the account, if it is such a pair.
+    """
+    names = rows.where("real or unseen").groupBy("name").agg(F.first("stem").alias("stem"), F.first("plain").alias("plain"), F.bool_or("real").alias("real"), F.bool_or("unseen").alias("unseen"))
+    near = within_edits(names.select(F.struct("name", "stem", "plain", "real", "unseen").alias("id"), "name"), MOST_EDITS).where("distance >= 1")
+    near = near.select("id_a.name", "id_a.stem", "id_a.plain", "id_a.real", "id_a.unseen", "id_b").toDF("name_a", "stem_a", "plain_a", "real_a", "unseen_a", "b")
+    near = near.select("*", *[F.col(f"b.{c}").alias(f"{c}_b") for c in ("name", "stem", "plain", "real", "unseen")]).where(one_is_edited())
+    near = near.where((F.col("plain_a") != F.col("plain_b")) | (F.col("plain_a") == "")).select("name_a", "name_b", trusted().alias("trusted"))  # else S1b or S1c tells of it
+    kinds = rows.select("id", "name", "real", "unseen")
+    both = paired.join(side(kinds, "a"), "id_a").join(side(kinds, "b"), "id_b").where(one_is_edited()).where(F.levenshtein("name_a", "name_b", MOST_EDITS) >= 1)
+    told = both.select(F.explode(F.array(F.struct("id_a", "id_b"), F.struct(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))).alias("x")).groupBy(F.col("x.id_a").alias("id")).agg(F.collect_set("x.id_b").alias("told"))
+    able = rows.where("real or unseen").select("id", "name", "related", "real", "unseen", "rank", "canonical")
+    met = near.join(side(able.join(told, "id", "left"), "a"), "name_a").join(side(able, "b"), "name_b").where(one_is_edited())
+    return met.where(~F.coalesce(F.array_contains("told_a", F.col("id_b")), F.lit(False)))
+
+
 def tier() -> Column:
     """T1, T2 or T3 by the codes of a pair (`codes`, `both_venues`, `alias_like`, `host_counts`, `edits_count`, `credit_posts`, `reader_posts`)."""
     has = lambda c: F.array_contains("codes", c)
@@ -129,35 +175,40 @@ def proposals(accounts: DataFrame, lines: DataFrame, readings: DataFrame, known:
     # of repeated ids one row, the same on every run
     rows = accounts.groupBy("id").agg(F.min(F.struct("username", "full_name", "url", "biography", "followers", "scraped", "category", "events", "in_scope")).alias("x")).select("id", "x.*")
     rows = rows.withColumn("scraped", F.coalesce("scraped", F.lit(False))).withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
-    each = signals(rows, lines, readings, listing_hosts, most)
+    ensure_checkpoints(accounts.sparkSession)
+    card = cards(rows, known, denied).checkpoint()
     no = F.lit(False)
+    each = signals(rows, lines, readings, listing_hosts, most)
     grouped = each.groupBy("id_a", "id_b").agg(
-        F.array_sort(F.collect_set("code")).alias("codes"), F.coalesce(F.bool_or(F.col("alike") == "alias_like"), no).alias("alias_like"),
+        F.collect_set("code").alias("codes"), F.coalesce(F.bool_or(F.col("alike") == "alias_like"), no).alias("alias_like"),
         F.coalesce(F.bool_and(F.col("alike") == "related_not_alias"), no).alias("only_related"),
         F.coalesce(F.max(F.when(F.col("code") == "S5", F.col("posts"))), F.lit(0)).alias("credit_posts"), F.coalesce(F.max(F.when(F.col("code") == "S7", F.col("posts"))), F.lit(0)).alias("reader_posts"),
-    )
-    side = lambda end: rows.select(*[F.col(c).alias(c if c == "id" else f"{c}_{end}") for c in ("id", "username", "full_name", "biography", "followers", "scraped", "category")]).withColumnRenamed("id", f"id_{end}")
-    whole = lambda end: known.groupBy("alias_id").agg(F.min("canonical_id").alias(f"canonical_{end}")).withColumnRenamed("alias_id", f"id_{end}")
-    p = grouped.join(side("a"), "id_a").join(side("b"), "id_b").join(whole("a"), "id_a", "left").join(whole("b"), "id_b", "left")
-    p = p.where(F.coalesce("canonical_a", "id_a") != F.coalesce("canonical_b", "id_b"))
-    p = p.join(known.select(*pair("alias_id", "canonical_id")), ["id_a", "id_b"], "left_anti")
-    a, b = F.lower("username_a"), F.lower("username_b")
-    either = lambda test: F.coalesce(test("a"), no) | F.coalesce(test("b"), no)
-    worship = either(lambda e: F.col(f"username_{e}").rlike(WORSHIP)) | either(lambda e: F.col(f"full_name_{e}").rlike(WORSHIP_WORD)) | either(lambda e: F.col(f"biography_{e}").rlike(WORSHIP_WORD))
-    trade = either(lambda e: F.col(f"biography_{e}").rlike(OTHER_TRADE) & ~F.col(f"biography_{e}").rlike(OWN_PLACE)) | either(lambda e: F.col(f"category_{e}") != "venue")
-    deny = (a.isin(denied) | b.isin(denied)) if denied else no
+    ).checkpoint()
+    one = known.select(*pair("alias_id", "canonical_id")).distinct()
+    columns = ["id_a", "id_b", "codes", "alias_like", "only_related", "credit_posts", "reader_posts", "trusted", "both_venues", "neither_other", *[f"{c}_{e}" for c in ("name", "related", "canonical", "rank") for e in "ab"]]
+    p = grouped.join(one, ["id_a", "id_b"], "left_anti").join(side(card, "a"), "id_a").join(side(card, "b"), "id_b")
+    edits = F.coalesce(one_is_edited() & (F.levenshtein("name_a", "name_b", MOST_EDITS) >= 1), no)
+    p = p.withColumn("codes", F.array_sort(F.when(edits, F.array_append("codes", "S6")).otherwise(F.col("codes"))))
+    p = p.withColumn("trusted", trusted()).withColumn("both_venues", F.col("venue_a") & F.col("venue_b")).withColumn("neither_other", ~F.col("other_a") & ~F.col("other_b")).select(columns)
+    # pairs of S6 alone, of which there may be very many, have none of what other signals say
+    alone = edited(card, grouped.select("id_a", "id_b").unionByName(one).distinct())
+    alone = alone.select("*", F.array(F.lit("S6")).alias("codes"), no.alias("alias_like"), no.alias("only_related"), F.lit(0).cast("long").alias("credit_posts"), F.lit(0).cast("long").alias("reader_posts"), no.alias("both_venues"), no.alias("neither_other")).select(columns)
+    return judged(p, apart).unionByName(judged(alone, apart))
+
+
+def judged(p: DataFrame, apart: list[tuple[str, str]]) -> DataFrame:
+    """Pairs with all that is known of both sides as proposals, but for those that are one already."""
+    no = F.lit(False)
+    p = p.where(F.col("canonical_a") != F.col("canonical_b"))
+    a, b = F.col("name_a"), F.col("name_b")
     split = reduce(lambda x, y: x | y, [((a == x) & (b == y)) | ((a == y) & (b == x)) for x, y in apart], no)
-    soft = (F.size("codes") == 1) & F.array_contains("codes", "S4") & F.col("only_related")
-    stem_a, stem_b = stem(F.col("username_a")), stem(F.col("username_b"))
-    trusted = (F.char_length(stem_a) >= LEAST_TRUSTED_STEM) & (F.char_length(stem_b) >= LEAST_TRUSTED_STEM) & (F.levenshtein(stem_a, stem_b) <= 1)
     has = lambda c: F.array_contains("codes", c)
-    p = p.withColumn("both_venues", F.coalesce((F.col("category_a") == "venue") & (F.col("category_b") == "venue"), no))
-    p = p.withColumn("host_counts", has("S3b") & ~either(lambda e: F.col(f"username_{e}").rlike(TRADE_HANDLE)) & ~either(lambda e: F.col(f"username_{e}").rlike(UMBRELLA)))
-    p = p.withColumn("edits_count", has("S6") & (has("S1") | has("S3b") | F.coalesce(trusted, no)))
-    rank = lambda e: F.struct((~F.col(f"scraped_{e}")).alias("s"), F.coalesce(F.col(f"full_name_{e}") == "", F.lit(True)).alias("n"), (-F.coalesce(F.col(f"followers_{e}"), F.lit(-1))).alias("f"), F.coalesce(F.lower(f"username_{e}"), F.lit("")).alias("u"), F.col(f"id_{e}").alias("i"))
-    first = rank("a") <= rank("b")
-    out = F.coalesce(worship | trade | deny | split | soft, no)
+    soft = (F.size("codes") == 1) & has("S4") & F.col("only_related")
+    p = p.withColumn("host_counts", has("S3b") & F.col("neither_other"))
+    p = p.withColumn("edits_count", has("S6") & (has("S1") | has("S3b") | F.col("trusted")))
+    first = F.col("rank_a") <= F.col("rank_b")
+    out = F.coalesce(F.col("related_a") | F.col("related_b") | split | soft, no)
     return p.select(
-        "id_a", "id_b", F.array_join("codes", ",").alias("signals"), F.when(out, "T3").otherwise(tier()).alias("tier"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("alias_id"),
+        *pair("id_a", "id_b"), F.array_join("codes", ",").alias("signals"), F.when(out, "T3").otherwise(tier()).alias("tier"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("alias_id"),
         F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("canonical_id"), F.when(out, "related").otherwise("proposal").alias("section"),
     )
