@@ -61,15 +61,17 @@ def violations(found: DataFrame, rules: DataFrame) -> DataFrame:
     nothing; null values fit nothing; a rule may have several rows.
     """
     r = rules.select("rule_id", "op", F.col("path").alias("shape"), "operand", "other", "unless", "scope_path", "scope_value", F.col("doc_id").alias("only"), F.xxhash64(*rules.columns).alias("row"))
+    r = r.withColumn("names", F.when(F.col("op").isin("one_of", "alone"), F.transform(F.split("operand", r"\|"), plain)))
     # what the rules ask of a leaf: those on its own shape, those that look at it beside another, those that it is the scope of
-    own = r.select("shape", F.struct("row", "op", "operand", "other", "unless", "scope_path", "scope_value", "only").alias("rule"))
-    by_shape = own.groupBy("shape").agg(F.collect_list("rule").alias("asked"))
+    own = r.select("shape", F.struct("row", "op", "operand", "names", "other", "unless", "scope_path", "scope_value", "only").alias("rule"))
     beside = r.where("other is not null and op in ('span', 'alone')").select(F.concat(parent(F.col("shape")), F.lit("/"), F.col("other")).alias("shape")).distinct().withColumn("is_beside", F.lit(True))
+    by_shape = own.unionByName(beside, allowMissingColumns=True).groupBy("shape").agg(F.collect_list("rule").alias("asked"), F.bool_or("is_beside").alias("is_beside"))
     scopes = r.where("scope_path is not null").select(F.col("scope_path").alias("path"), F.lit(True).alias("is_scope")).distinct()
     leaf = found.where(~F.col("kind").isin(CONTAINERS)).select("doc_id", "path", F.col("value").alias("v"), shape(F.col("path")).alias("shape"))
     # the rules do not grow with the documents, so they go to every task and only leaves that they ask for are moved, once, by document
-    met = leaf.join(F.broadcast(by_shape), "shape", "left").join(F.broadcast(beside), "shape", "left").join(F.broadcast(scopes), "path", "left")
-    v, fold = F.col("v"), lambda x: F.array_contains(F.transform(F.split(x["operand"], r"\|"), plain), plain(F.col("v")))
+    met = leaf.join(F.broadcast(by_shape), "shape", "left").join(F.broadcast(scopes), "path", "left")
+    met = met.where("asked is not null or is_beside or is_scope").withColumn("folded", F.when(F.exists("asked", lambda x: x["names"].isNotNull()), plain(F.col("v"))))
+    v, fold = F.col("v"), lambda x: F.array_contains(x["names"], F.col("folded"))
     fit = lambda x: F.coalesce(F.rlike(v, x["operand"]), F.lit(False)) & ~F.coalesce(F.rlike(v, x["unless"]), F.lit(False))
     # a rule that is about single leaves is told of those that fit it
     told = lambda x: F.when(x["op"] == "match", fit(x)).when(x["op"].isin("one_of", "alone"), F.coalesce(fold(x), F.lit(False))).when(x["op"].isin("share", "span", "twins"), True).otherwise(False)
@@ -79,8 +81,9 @@ def violations(found: DataFrame, rules: DataFrame) -> DataFrame:
     # in its document every leaf meets those beside it and the scopes
     scope = F.collect_set(F.when(F.col("is_scope"), F.struct("path", "v"))).over(Window.partitionBy("doc_id"))
     near = F.collect_list(F.when(F.col("is_beside"), F.struct(F.regexp_extract("path", r"/([^/\[]*)$", 1).alias("k"), F.col("v").alias("v")))).over(Window.partitionBy("doc_id", "holder"))
-    rows = met.withColumn("scopes", scope).withColumn("holder", parent(F.col("path"))).withColumn("near", near).where("size(asked) > 0")
-    rows = rows.select("doc_id", "path", "v", "scopes", "near", F.explode("asked").alias("row")).join(F.broadcast(r.drop("shape")), "row")
+    # the finer window goes first, so that the coarser one finds its rows in order
+    rows = met.withColumn("holder", parent(F.col("path"))).withColumn("near", near).withColumn("scopes", scope).where("size(asked) > 0")
+    rows = rows.select("doc_id", "path", "v", "scopes", "near", F.explode("asked").alias("row")).join(F.broadcast(r.drop("shape", "names")), "row")
     rows = rows.where(F.col("scope_path").isNull() | F.exists("scopes", lambda x: (x["path"] == F.col("scope_path")) & (x["v"] == F.col("scope_value"))))
     rows = rows.withColumn("other_v", F.get(F.filter("near", lambda x: x["k"] == F.col("other")), F.lit(0))["v"]).drop("scopes", "near")
     fits = F.coalesce(F.rlike("v", "operand"), F.lit(False)) & ~F.coalesce(F.rlike("v", "unless"), F.lit(False))
@@ -88,8 +91,8 @@ def violations(found: DataFrame, rules: DataFrame) -> DataFrame:
     cut = F.when(F.col("op") == "twins", F.regexp_replace(F.lower("v"), F.col("operand"), F.lit(""))).otherwise(F.col("v"))
     rows = rows.withColumn("fits", F.when(F.col("op") == "share", fits).otherwise(F.col("op").isin("match", "one_of", "alone"))).withColumn("key", F.when(F.col("op") == "twins", F.nullif(plain(cut), F.lit(""))))
     of_rule, of_key = Window.partitionBy("doc_id", "row"), Window.partitionBy("doc_id", "row", "key")
-    rows = rows.withColumn("n", F.count("*").over(of_rule)).withColumn("n_fits", F.count_if("fits").over(of_rule)).withColumn("n_key", F.count("key").over(of_key))
-    rows = rows.withColumn("first", F.min("path").over(of_rule) == F.col("path"))
+    rows = rows.withColumn("n_key", F.count("key").over(of_key))
+    rows = rows.select("*", F.count("*").over(of_rule).alias("n"), F.count_if("fits").over(of_rule).alias("n_fits"), (F.min("path").over(of_rule) == F.col("path")).alias("first"))
     wrong = (
         F.when(F.col("op") == "match", F.col("fits")).when(F.col("op") == "alone", F.col("fits") & (F.coalesce("other_v", F.lit("")) == ""))
         .when(F.col("op") == "span", (less > 0) & (number / less > F.col("operand").try_cast("double"))).when(F.col("op") == "twins", F.col("n_key") > 1)
